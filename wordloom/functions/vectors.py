@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wordloom.settings import LAYER_EPS, RMS_EPS
 
 
-def doubles(vec: Column) -> Column:
-    return vec.cast("array<double>")
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` evaluated once per row.  A plain column used inside a
+    lambda would be evaluated again for every array element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def total(vec: Column) -> Column:
     return F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return total(F.zip_with(a, b, lambda x, y: x * y))
+def square_sum(vec: Column) -> Column:
+    return F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x)
 
 
-def norm(vec: Column) -> Column:
-    return F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x))
+def dot(a: Column, b: Column) -> Column:
+    return total(F.zip_with(a, b, lambda x, y: x * y))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    return dot(a, b) / F.sqrt(square_sum(a) * square_sum(b))
 
 
 def _affine(vec: Column, weight: Column | None, bias: Column | None) -> Column:
@@ -38,26 +42,28 @@ def _affine(vec: Column, weight: Column | None, bias: Column | None) -> Column:
 
 def rms_norm(vec: Column, weight: Column | None = None, eps: float = RMS_EPS) -> Column:
     """weight * x / sqrt(mean(x^2) + eps)"""
-    scale = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x) / F.size(vec) + eps)
-    return _affine(F.transform(vec, lambda x: x / scale), weight, None)
+    scale = F.sqrt(square_sum(vec) / F.size(vec) + eps)
+    return _affine(bind(scale, lambda s: F.transform(vec, lambda x: x / s)), weight, None)
 
 
 def layer_norm(
     vec: Column, weight: Column | None = None, bias: Column | None = None, eps: float = LAYER_EPS
 ) -> Column:
     """Centre, divide by sqrt(population variance + eps), then weight and bias."""
+
+    def scaled(centred: Column) -> Column:
+        scale = F.sqrt(square_sum(centred) / F.size(centred) + eps)
+        return bind(scale, lambda s: F.transform(centred, lambda x: x / s))
+
     mean = total(vec) / F.size(vec)
-    centred = F.transform(vec, lambda x: x - mean)
-    scale = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda acc, x: acc + x * x) / F.size(vec) + eps)
-    return _affine(F.transform(centred, lambda x: x / scale), weight, bias)
+    centred = bind(mean, lambda m: F.transform(vec, lambda x: x - m))
+    return _affine(bind(centred, scaled), weight, bias)
 
 
 def softmax(logits: Column) -> Column:
     """Class probabilities; the maximum is subtracted first."""
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda x: F.exp(x - top))
-    mass = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    return F.transform(powers, lambda p: p / mass)
+    powers = bind(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return bind(powers, lambda p: bind(total(p), lambda mass: F.transform(p, lambda x: x / mass)))
 
 
 def argmax(logits: Column) -> Column:
@@ -67,6 +73,8 @@ def argmax(logits: Column) -> Column:
 
 def cross_entropy(logits: Column, label: Column) -> Column:
     """log-sum-exp of the logits minus the logit of the true class."""
-    top = F.array_max(logits)
-    mass = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    return F.log(mass) + top - F.element_at(logits, label + 1)
+    log_mass = bind(
+        F.array_max(logits),
+        lambda top: F.log(F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))) + top,
+    )
+    return log_mass - F.element_at(logits, label + 1)
