@@ -28,7 +28,8 @@ def linear_logits(df: DataFrame, weights: DataFrame, features: str = "features")
     subquery: one small constant for all tasks, and no join that multiplies rows."""
     table = weights.agg(F.array_sort(F.collect_list(F.struct("label_id", "weight", "bias"))).alias("w")).scalar()
     values = F.col(features).cast("array<double>")
-    return df.withColumn("logits", F.transform(table, lambda c: vx.dot(values, c["weight"]) + c["bias"]))
+    scores = F.transform("_weights", lambda c: vx.dot(values, c["weight"]) + c["bias"])
+    return df.withColumn("_weights", table).withColumn("logits", scores).drop("_weights")
 
 
 def with_probabilities(df: DataFrame) -> DataFrame:

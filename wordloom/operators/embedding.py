@@ -99,7 +99,8 @@ def most_similar(vectors: DataFrame, word: object, n: int = 5, id_col: str = "to
     query = vectors.where(F.col(id_col) == F.lit(word)).select(values.alias("q")).scalar()
     scored = (
         vectors.where(F.col(id_col) != F.lit(word))
-        .select(id_col, F.round(vx.cosine(values, query), 9).alias("similarity"))
+        .withColumn("_query", query)
+        .select(id_col, F.round(vx.cosine(values, F.col("_query")), 9).alias("similarity"))
         .orderBy(F.desc("similarity"), id_col)
         .limit(n)
     )
