@@ -32,7 +32,9 @@ def embedding_matrix(
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
     drawn = F.when(F.col("idx") == PAD_IDX, zeros).otherwise(hashing.normal_vector(F.col("idx"), dim, seed, std))
     trained = vectors.select("token", F.col("vector").cast("array<float>").alias("trained"))
-    return vocab.join(trained, "token", "left").select(
+    # a ranked vocabulary leaves its top-k in one partition; drawing needs all slots
+    slots = vocab.sparkSession.sparkContext.defaultParallelism
+    return vocab.join(trained, "token", "left").repartition(slots, "idx").select(
         "idx", "token", F.coalesce("trained", drawn).alias("vector"), F.col("trained").isNotNull().alias("found")
     )
 
@@ -78,7 +80,9 @@ def pool(
     rows = matrix.select("idx", array_to_vector("vector").alias("vector"))
     joined = bounded_join(long, rows, "idx", matrix_rows, 8 * dim + 96, how="inner")
     metrics = {"mean": ["mean"], "max": ["max"], "meanmax": ["mean", "max"]}[how]
-    pooled = joined.groupBy(key, *keep).agg(Summarizer.metrics(*metrics).summary(F.col("vector")).alias("s"))
+    pooled = joined.groupBy(key).agg(
+        *[F.any_value(c).alias(c) for c in keep], Summarizer.metrics(*metrics).summary(F.col("vector")).alias("s")
+    )
     parts = [vector_to_array(F.col(f"s.{m}")) for m in metrics]
     return pooled.select(key, *keep, (F.concat(*parts) if len(parts) > 1 else parts[0]).alias("features"))
 

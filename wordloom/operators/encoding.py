@@ -37,9 +37,13 @@ def encode(
     long = cut.select(key, *keep, F.posexplode_outer("tokens").alias("pos", "token"))
     ids = (
         lookup_ids(long, vocab, vocab_rows)
-        .groupBy(key, *keep)
-        # the one row of an empty document carries no position and is not collected
-        .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "idx")))).alias("hits"))
+        # by the key alone, so that later groupings by key need no further shuffle
+        .groupBy(key)
+        .agg(
+            *[F.any_value(c).alias(c) for c in keep],
+            # the one row of an empty document carries no position and is not collected
+            F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "idx")))).alias("hits"),
+        )
     )
     return ids.select(
         key,

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.hashing import order_hash
-from wordloom.session import cut_lineage
+from wordloom.session import written
 from wordloom.settings import BATCH_SIZE, SEED, VAL_SIZE
 
 # Hex digits of a bucket name: 16^3 buckets per class to find a split, 16^4 to shuffle.
@@ -25,7 +25,11 @@ def split_quotas(df: DataFrame, label: str = "label", val_size: float = VAL_SIZE
 
     n_val in total is ceil(val_size * rows).  Raises at run time for a class with fewer
     than two rows, and when either side has fewer rows than there are classes."""
-    counts = df.groupBy(label).agg(F.count("*").alias("n"))
+    return _quotas(df.groupBy(label).agg(F.count("*").alias("n")), label, val_size)
+
+
+def _quotas(counts: DataFrame, label: str, val_size: float) -> DataFrame:
+    """Quotas from the (label, n) counts."""
     everything = Window.partitionBy()  # one row per class
     wide = "decimal(38,0)"  # rows * rows leaves BIGINT at large scale
     sized = counts.select(
@@ -76,8 +80,9 @@ def split_cuts(
         .agg(F.count("*").alias("here"))
         .withColumn("before", F.coalesce(F.sum("here").over(below), F.lit(0)))
     )
+    sizes = filled.groupBy(label).agg(F.sum("here").alias("n"))
     edge = (
-        filled.join(F.broadcast(split_quotas(df, label, val_size).select(label, "n_train")), label)
+        filled.join(F.broadcast(_quotas(sizes, label, val_size).select(label, "n_train")), label)
         .where((F.col("before") < F.col("n_train")) & (F.col("n_train") <= F.col("before") + F.col("here")))
         .select(label, "bucket", (F.col("n_train") - F.col("before")).alias("take"))
     )
@@ -101,9 +106,9 @@ def stratified_split(
 ) -> DataFrame:
     """Adds `split` = 'train' | 'val' with exact per-class quotas.  `key` must be unique.
 
-    Each row compares its own hash with the cut of its class: the rows themselves are not
-    shuffled."""
-    cuts = split_cuts(df, label, key, val_size, seed)
+    Finds and writes the cuts (one row per class) at once.  After that each row compares
+    its own hash with the cut of its class: the rows themselves are not shuffled."""
+    cuts = written(split_cuts(df, label, key, val_size, seed))
     mine = order_hash(F.col(key), seed)
     before = (mine < F.col("cut_hash")) | ((mine == F.col("cut_hash")) & (F.col(key) <= F.col("cut_key")))
     return (
@@ -143,10 +148,10 @@ def ordered_rank(df: DataFrame, *order: Column | str, parts: int | None = None,
     """Adds the position (BIGINT from 1) of every row in the order of `order`, which must
     leave no ties.
 
-    Range partitions are sampled, so the partition of a row is written down once (a
-    reliable checkpoint) and both the counts and the ranks are taken from that copy."""
+    Range partitions are sampled, so the partition of a row is written down once in
+    the shared folder, and both the counts and the ranks are taken from that copy."""
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    ranged = written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     offsets = (
         ranged.groupBy("_part")
         .agg(F.count("*").alias("_here"))

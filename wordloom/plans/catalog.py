@@ -137,8 +137,8 @@ def encode(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def unk_rate(spark: SparkSession, sf: str) -> DataFrame:
-    tokenized = _tokenized(spark, sf)
-    return encoding.unknown_rate(tokenized, train_vocab(tokenized))
+    prepared = _prepared(spark, sf)
+    return encoding.unknown_rate(prepared.tokenized, prepared.vocab, vocab_rows=prepared.vocab_rows)
 
 
 @query
@@ -187,10 +187,10 @@ def _matrix(spark: SparkSession, sf: str) -> tuple[Prepared, DataFrame]:
 
 @query
 def embedding_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per word; the vector as a list of millionths."""
     _, matrix = _matrix(spark, sf)
-    return matrix.select("idx", "token", "found", F.posexplode("vector").alias("dim", "x")).select(
-        "idx", "token", "found", "dim", F.round(F.col("x").cast("double"), 6).alias("x")
-    )
+    millionths = F.transform("vector", lambda x: F.round(x.cast("double") * 1e6).cast("bigint").cast("string"))
+    return matrix.select("idx", "token", "found", F.array_join(millionths, " ").alias("vector"))
 
 
 @query

@@ -66,13 +66,16 @@ PIECES: dict[str, tuple[list[str], str]] = {
         SELECT v.idx, v.token, e.vec_id IS NOT NULL AS found, d.dim,
                CASE WHEN e.vec_id IS NOT NULL THEN e.embedding[d.dim + 1]::DOUBLE
                     WHEN v.idx = 0 THEN 0.0
-                    ELSE (sqrt(-2.0 * ln((('0x' || substr(md5('42|' || v.idx || '|' || d.dim), 1, 8))::BIGINT + 1.0::DOUBLE)
-                                         / 4294967296.0::DOUBLE))
-                          * cos(2.0::DOUBLE * pi() * (('0x' || substr(md5('42|' || v.idx || '|' || d.dim), 9, 8))::BIGINT
-                                         / 4294967296.0::DOUBLE))
+                    ELSE (sqrt(-2.0 * ln(u.a / 4294967296.0::DOUBLE + 1.0::DOUBLE / 4294967296.0::DOUBLE))
+                          * CASE WHEN d.dim % 2 = 0 THEN cos(2.0::DOUBLE * pi() * (u.b / 4294967296.0::DOUBLE))
+                                 ELSE sin(2.0::DOUBLE * pi() * (u.b / 4294967296.0::DOUBLE)) END
                           * 0.05::DOUBLE)::FLOAT::DOUBLE END AS x
         FROM vocab v
         CROSS JOIN (SELECT unnest(range(64)) AS dim) d
+        JOIN (SELECT idx, dim,
+                     ('0x' || substr(md5('42|' || idx || '|' || (dim // 4)), 16 * (dim % 4 // 2) + 1, 8))::BIGINT::DOUBLE AS a,
+                     ('0x' || substr(md5('42|' || idx || '|' || (dim // 4)), 16 * (dim % 4 // 2) + 9, 8))::BIGINT::DOUBLE AS b
+              FROM vocab CROSS JOIN (SELECT unnest(range(64)) AS dim)) u ON u.idx = v.idx AND u.dim = d.dim
         LEFT JOIN embeddings e ON e.vec_id = v.idx AND v.idx >= 2"""),
     "pooled": (["tok", "cut", "matrix"], """
         SELECT t.doc_id, d.dim, coalesce(p.mean_x, 0.0) AS mean_x, coalesce(p.max_x, 0.0) AS max_x
@@ -240,7 +243,9 @@ for key, part, order in (
 # --- vectors -----------------------------------------------------------------------------------
 oracle(
     "embedding_matrix", "matrix",
-    body="SELECT idx::INTEGER AS idx, token, found, dim::INTEGER AS dim, round(x, 6) AS x FROM matrix",
+    body="""SELECT idx::INTEGER AS idx, token, found,
+               array_to_string(list(round(x * 1e6::DOUBLE)::BIGINT ORDER BY dim), ' ') AS vector
+        FROM matrix GROUP BY idx, token, found""",
 )
 IN_VECTORS = "(SELECT vec_id FROM embeddings WHERE vec_id >= 2)"
 oracle("vocab_with_vector", "vocab", body=f"SELECT idx::INTEGER AS idx, token FROM vocab WHERE idx IN {IN_VECTORS}")

@@ -11,13 +11,13 @@ from wordloom.operators.documents import tokenize
 from wordloom.operators.encoding import encode
 from wordloom.operators.splitting import split_sizes, stratified_split
 from wordloom.operators.vocabulary import build_vocab, vocabulary_rows
-from wordloom.session import spread
+from wordloom.session import spread, written
 from wordloom.settings import MAX_LEN, MAX_VOCAB_SIZE, MIN_FREQ, SEED, VAL_SIZE
 
 
 @dataclass(frozen=True)
 class Prepared:
-    """Lazy tables; nothing runs before an action on one of them."""
+    """The split cuts and the vocabulary are on disk, the row tables are lazy."""
 
     tokenized: DataFrame  # doc_id, label, split, tokens
     vocab: DataFrame  # idx, token, freq
@@ -41,8 +41,8 @@ def split_tokens(
 ) -> DataFrame:
     """(doc_id, label, split, tokens).  The cuts are found on (key, label) alone, so that
     pass reads no text."""
-    split = stratified_split(docs, "label", "doc_id", val_size, seed)
-    return tokenize(spread(split, "doc_id"), lower=lower)
+    split = stratified_split(spread(docs, "doc_id"), "label", "doc_id", val_size, seed)
+    return tokenize(split, lower=lower)
 
 
 def train_vocab(
@@ -63,7 +63,8 @@ def prepare(
 ) -> Prepared:
     """`docs` has a unique doc_id, label and text."""
     tokenized = split_tokens(docs, val_size, lower, seed)
-    vocab = train_vocab(tokenized, max_vocab_size, min_freq)
+    # read by the encoder, the vector matrix and the reports: counted once, then a small file
+    vocab = written(train_vocab(tokenized, max_vocab_size, min_freq))
     rows = vocabulary_rows(max_vocab_size)
     encoded = encode(tokenized, vocab, max_len, keep=("label", "split"), vocab_rows=rows)
     return Prepared(tokenized, vocab, encoded, rows)

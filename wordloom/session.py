@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,11 +29,18 @@ def build_session(app: str = "wordloom", master: str | None = None, **conf: str)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition `df` by `keys` when its scan has fewer partitions than the cluster
-    has slots (few files, or files of one row group).  A large scan is left alone, so no
-    shuffle is paid where the scan is parallel already."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
+    """Hash-partition a table by `keys` if it is smaller than one scan split per slot of the
+    cluster (few files, or files of one row group), so that all slots get work.  A larger
+    scan is parallel already and is left alone: no shuffle is added to it.
+
+    Apply it to the scan, before joins; the size is Spark's own estimate."""
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    )
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) < slots * split:
         return df.repartition(slots, *keys)
     return df
 
@@ -65,16 +73,20 @@ def bounded_join(
     return salted.join(copies.hint("shuffle_hash"), [on, "_salt"], how).drop("_salt")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in `spark.checkpoint.dir`.
-    Only a local master may fall back to a folder of its own."""
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a table written once in the shared folder of `spark.checkpoint.dir`.
+
+    Cuts the lineage: whatever reads it again, or again after an executor was lost, starts
+    from the files.  Spark also knows the size of what it reads back.  Only a local master
+    may fall back to a folder of its own."""
     spark = df.sparkSession
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="wordloom-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="wordloom-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{folder.rstrip('/')}/wordloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
