@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.functions import text as tx
 from wordloom.functions import vectors as vx
-from wordloom.operators import classify, documents, embedding, encoding, metrics, runs, splitting, vocabulary
-from wordloom.plans import views
+from wordloom.operators import (
+    classify,
+    documents,
+    embedding,
+    encoding,
+    metrics,
+    recurrent,
+    runs,
+    splitting,
+    vocabulary,
+)
+from wordloom.operators.recurrent import RecurrentSpec
+from wordloom.plans import fit, score, views
 from wordloom.plans.prepare import Prepared, prepare, split_tokens, train_vocab
-from wordloom.session import spread
-from wordloom.settings import LABEL_NAMES, PATIENCE
+from wordloom.session import spread, written
+from wordloom.settings import PATIENCE
+from wordloom.sources.vectors import model_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -383,3 +394,75 @@ def union_runs(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def history_series(spark: SparkSession, sf: str) -> DataFrame:
     return runs.history_series(views.run_history(spark, sf))
+
+
+# --- fits and scoring --------------------------------------------------------------------
+
+
+@query
+def train_word2vec(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of a fitted vector model with the width of their vectors."""
+    model = fit.fit_word2vec(written(_all_tokens(spark, sf)), dim=16, epochs=1)
+    return model_vectors(model).select("token", F.size("vector").alias("dims"))
+
+
+def _features(spark: SparkSession, sf: str, how: str = "meanmax") -> DataFrame:
+    prepared, matrix = _matrix(spark, sf)
+    return embedding.pool(
+        prepared.encoded, matrix, how, keep=("label", "split"), dim=views.DIM, matrix_rows=prepared.vocab_rows
+    )
+
+
+@query
+def fit_mlp(spark: SparkSession, sf: str) -> DataFrame:
+    """Epoch history of a feed-forward classifier on pooled vectors."""
+    run = fit.train_mlp(_features(spark, sf), 2 * views.DIM, hidden=[32, 16], epochs=3, steps=10)
+    return run.history
+
+
+@query
+def grid_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaderboard of two variants of the classifier."""
+    variants = {"narrow": {"hidden": [8]}, "wide": {"hidden": [32, 16]}}
+    table, _ = fit.run_experiments(_features(spark, sf), 2 * views.DIM, variants, epochs=2, steps=5)
+    return table
+
+
+@query
+def score_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents scored by linear class weights learnt from the training split."""
+    prepared, lazy_matrix = _matrix(spark, sf)
+    matrix = written(lazy_matrix)
+    options = dict(dim=views.DIM, matrix_rows=prepared.vocab_rows)
+    train = embedding.pool(prepared.train, matrix, "mean", keep=("label",), **options)
+    model = written(classify.class_centroids(train))
+    docs = views.load(spark, sf, "documents")
+    ranked = score.score_documents(
+        docs, prepared.vocab, matrix, model, how="mean", dim=views.DIM, vocab_rows=prepared.vocab_rows
+    )
+    return ranked.withColumn("prob", F.round("prob", 6))
+
+
+@query
+def rnn_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Class scores of all documents by a one-way GRU whose weights are embedding rows."""
+    spec = RecurrentSpec("gru", views.RNN_HIDDEN, 1, False, "last", dtype="float64")
+    return _rnn(spark, sf, spec)
+
+
+@query
+def rnn_score_bilstm(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by a two-way, mean and max pooled LSTM."""
+    spec = RecurrentSpec("lstm", views.RNN_HIDDEN, 1, True, "meanmax", dtype="float64")
+    return _rnn(spark, sf, spec)
+
+
+def _rnn(spark: SparkSession, sf: str, spec: RecurrentSpec) -> DataFrame:
+    prepared, matrix = _matrix(spark, sf)
+    weights = views.rnn_weights(spark, sf, spec)
+    scored = recurrent.rnn_score(
+        prepared.encoded, matrix, weights, spec, dim=views.DIM, matrix_rows=prepared.vocab_rows
+    )
+    return scored.select("doc_id", F.posexplode("logits").alias("label_id", "x")).select(
+        "doc_id", "label_id", F.round("x", 6).alias("logit")
+    )

@@ -145,8 +145,43 @@ PIECES: dict[str, tuple[list[str], str]] = {
         FROM customer WHERE c_acctbal >= 0"""),
 }
 
+# One-way GRU, 8 units, weights cut from consecutive embedding rows: 24 input rows, 24
+# hidden rows, two bias rows, 4 class rows, one class bias row.
+H, G = 8, 24
+
+
+def _dot(a: str, b: str) -> str:
+    return f"list_dot_product({a}, {b})"
+
+
+PIECES["net"] = ([], f"""
+        SELECT list(embedding::DOUBLE[] ORDER BY vec_id) FILTER (vec_id < {G}) AS wi,
+               list(embedding[1:{H}]::DOUBLE[] ORDER BY vec_id) FILTER (vec_id >= {G} AND vec_id < {2 * G}) AS wh,
+               any_value(embedding[1:{G}]::DOUBLE[]) FILTER (vec_id = {2 * G}) AS bi,
+               any_value(embedding[1:{G}]::DOUBLE[]) FILTER (vec_id = {2 * G + 1}) AS bh,
+               list(embedding[1:{H}]::DOUBLE[] ORDER BY vec_id) FILTER (vec_id BETWEEN {2 * G + 2} AND {2 * G + 5}) AS wc,
+               any_value(embedding[1:4]::DOUBLE[]) FILTER (vec_id = {2 * G + 6}) AS bc
+        FROM embeddings""")
+PIECES["word_gates"] = (["matrix", "net"], f"""
+        SELECT idx, list_transform(range(1, {G + 1}), lambda g: {_dot("x", "wi[g]")} + bi[g]) AS gi
+        FROM (SELECT idx, list(x ORDER BY dim) AS x FROM matrix GROUP BY idx), net""")
+PIECES["steps"] = (["tok", "cut", "word_gates"], """
+        SELECT s.doc_id, s.pos, w.gi FROM (
+            SELECT doc_id, pos, idx FROM cut
+            UNION ALL SELECT doc_id, 0, 0 FROM tok WHERE len(tokens) = 0) s JOIN word_gates w USING (idx)""")
+PIECES["states"] = (["steps", "net"], f"""
+        SELECT doc_id, 0 AS pos, list_transform(range({H}), lambda k: 0.0::DOUBLE) AS h FROM tok
+        UNION ALL
+        SELECT doc_id, pos + 1, list_transform(range(1, {H + 1}), lambda k:
+                 (1 - 1 / (1 + exp(-(gi[{H} + k] + gh[{H} + k]))))
+                 * (2 / (1 + exp(-2 * (gi[{2 * H} + k] + 1 / (1 + exp(-(gi[k] + gh[k]))) * gh[{2 * H} + k]))) - 1)
+                 + 1 / (1 + exp(-(gi[{H} + k] + gh[{H} + k]))) * h[k])
+        FROM (SELECT s.doc_id, s.pos, s.h, t.gi,
+                     list_transform(range(1, {G + 1}), lambda g: {_dot("s.h", "wh[g]")} + bh[g]) AS gh
+              FROM states s JOIN steps t ON t.doc_id = s.doc_id AND t.pos = s.pos, net)""")
+
 # Pieces that are read more than once and worth keeping.
-KEEP = {"split", "tok", "long", "vocab", "ids", "cut", "matrix", "cells", "logits", "pred", "hist", "since"}
+KEEP = {"pooled", "split", "tok", "long", "vocab", "ids", "cut", "matrix", "cells", "logits", "pred", "hist", "since", "net", "word_gates", "steps"}
 
 
 def sql(*needs: str, body: str) -> str:
@@ -162,7 +197,8 @@ def sql(*needs: str, body: str) -> str:
     for need in needs:
         visit(need)
     parts = [f"{n} AS {'MATERIALIZED ' if n in KEEP else ''}({PIECES[n][1]})" for n in order]
-    return (f"WITH {', '.join(parts)} " if parts else "") + body
+    recursive = "RECURSIVE " if "states" in order else ""
+    return (f"WITH {recursive}{', '.join(parts)} " if parts else "") + body
 
 
 def oracle(name: str, *needs: str, body: str) -> None:
@@ -367,3 +403,28 @@ oracle(
         for c in ("train_loss", "val_loss", "val_acc", "val_macro_f1")
     ),
 )
+
+# --- fits and scoring --------------------------------------------------------------------------------
+oracle(
+    "train_word2vec",
+    body=f"SELECT token, 16 AS dims FROM (SELECT unnest(regexp_extract_all(lower(text), {PATTERN}, 0)) AS token "
+    "FROM documents) GROUP BY token HAVING count(*) >= 5",
+)
+oracle(
+    "score_documents", "tok", "pooled",
+    body=f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, label_id))::INTEGER AS rank, label_id,
+               CASE label_id {' '.join(f"WHEN {i} THEN {quoted(n)}" for i, n in enumerate(LABEL_NAMES))} END AS label_name,
+               round(p, 6) AS prob
+        FROM (SELECT doc_id, label_id, exp(logit - top) / sum(exp(logit - top)) OVER (PARTITION BY doc_id) AS p
+              FROM (SELECT *, max(logit) OVER (PARTITION BY doc_id) AS top
+                    FROM (SELECT p.doc_id, w.label_id, sum(p.mean_x * w.weight) AS logit
+                          FROM pooled p JOIN (SELECT t.label AS label_id, dim, avg(mean_x) AS weight
+                                              FROM pooled JOIN tok t USING (doc_id) WHERE t.split = 'train'
+                                              GROUP BY t.label, dim) w USING (dim)
+                          GROUP BY p.doc_id, w.label_id)))""",
+)
+oracle(
+    "rnn_score", "tok", "cut", "states",
+    body=f"""SELECT f.doc_id, label_id::INTEGER AS label_id, round({_dot("f.h", "wc[label_id + 1]")} + bc[label_id + 1], 6) AS logit
+        FROM (SELECT doc_id, arg_max(h, pos) AS h FROM states GROUP BY doc_id) f, net, (SELECT unnest(range(4)) AS label_id)""",
+)

@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from wordloom.operators import classify
 from wordloom.operators.documents import derive_documents
+from wordloom.operators.recurrent import RecurrentSpec
 from wordloom.operators.runs import Prefix, running
 
 # Width of the vectors in the `embeddings` table.
 DIM = 64
 
+# Hidden units of the recurrent scorer whose weights are cut from the embeddings.
+RNN_HIDDEN = 8
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -102,3 +106,34 @@ def run_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
             "c_mktsegment",
         )
     )
+
+
+def rnn_weights(spark: SparkSession, sf_dir: str, spec: RecurrentSpec, classes: int = 4) -> DataFrame:
+    """(name, shape, values): network parameters taken from consecutive embedding rows, one
+    row of a parameter per embedding row, cut to its width."""
+    hidden, gates = spec.hidden_size, {"lstm": 4, "gru": 3}[spec.model_type] * spec.hidden_size
+    features = hidden * (2 if spec.bidirectional else 1) * (2 if spec.pooling == "meanmax" else 1)
+    ways = ["l0", "l0_reverse"] if spec.bidirectional else ["l0"]
+    layout: list[tuple[str, int, int, int]] = []  # name, first embedding row, rows, width
+    start = 0
+    for way in ways:
+        for name, rows, width in (
+            (f"rnn.weight_ih_{way}", gates, DIM),
+            (f"rnn.weight_hh_{way}", gates, hidden),
+            (f"rnn.bias_ih_{way}", 1, gates),
+            (f"rnn.bias_hh_{way}", 1, gates),
+        ):
+            layout.append((name, start, rows, width))
+            start += rows
+    for name, rows, width in (("classifier.weight", classes, features), ("classifier.bias", 1, classes)):
+        layout.append((name, start, rows, width))
+        start += rows
+    plan = spark.createDataFrame(layout, "name string, start bigint, rows int, width int")
+    emb = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    owner = F.broadcast(plan)  # one row per parameter
+    rows = emb.join(owner, (F.col("vec_id") >= F.col("start")) & (F.col("vec_id") < F.col("start") + F.col("rows")))
+    cut = rows.groupBy("name", "rows", "width").agg(
+        F.array_sort(F.collect_list(F.struct("vec_id", F.expr("slice(embedding, 1, width)").alias("v")))).alias("c")
+    )
+    shape = F.when(F.col("rows") == 1, F.array("width")).otherwise(F.array("rows", "width"))
+    return cut.select("name", shape.alias("shape"), F.flatten("c.v").alias("values"))
