@@ -97,18 +97,11 @@ def split_cuts(
     )
 
 
-def stratified_split(
-    df: DataFrame,
-    label: str = "label",
-    key: str = "doc_id",
-    val_size: float = VAL_SIZE,
-    seed: int = SEED,
+def apply_cuts(
+    df: DataFrame, cuts: DataFrame, label: str = "label", key: str = "doc_id", seed: int = SEED
 ) -> DataFrame:
-    """Adds `split` = 'train' | 'val' with exact per-class quotas.  `key` must be unique.
-
-    Finds and writes the cuts (one row per class) at once.  After that each row compares
-    its own hash with the cut of its class: the rows themselves are not shuffled."""
-    cuts = written(split_cuts(df, label, key, val_size, seed))
+    """Adds `split` = 'train' | 'val': each row compares its own hash with the cut of its
+    class, so the rows themselves are not shuffled."""
     mine = order_hash(F.col(key), seed)
     before = (mine < F.col("cut_hash")) | ((mine == F.col("cut_hash")) & (F.col(key) <= F.col("cut_key")))
     return (
@@ -118,6 +111,18 @@ def stratified_split(
     )
 
 
+def stratified_split(
+    df: DataFrame,
+    label: str = "label",
+    key: str = "doc_id",
+    val_size: float = VAL_SIZE,
+    seed: int = SEED,
+) -> DataFrame:
+    """Adds `split` with exact per-class quotas.  `key` must be unique.  The cuts (one row
+    per class) are found and written at once; the split itself is lazy."""
+    return apply_cuts(df, written(split_cuts(df, label, key, val_size, seed)), label, key, seed)
+
+
 def split_sizes(split: DataFrame, vocab: DataFrame) -> DataFrame:
     """(part, size): rows of both splits and of the vocabulary."""
     rows = split.groupBy(F.col("split").alias("part")).agg(F.count("*").alias("size"))

@@ -58,8 +58,15 @@ def build_vocab(
     ranked = words.orderBy(*by_rank).limit(vocabulary_rows(max_size) - 2).select(
         (F.row_number().over(Window.orderBy(*by_rank)) + 1).alias("idx"), "token", "freq"
     )
-    specials = spark.createDataFrame(
-        [(PAD_IDX, PAD_TOKEN, 0), (UNK_IDX, UNK_TOKEN, 0)], "idx int, token string, freq bigint"
+    specials = spark.range(0, 1, 1, 1).select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(idx).alias("idx"), F.lit(token).alias("token"), F.lit(0).cast("bigint").alias("freq"))
+                    for idx, token in ((PAD_IDX, PAD_TOKEN), (UNK_IDX, UNK_TOKEN))
+                ]
+            )
+        )
     )
     return specials.unionByName(ranked)
 

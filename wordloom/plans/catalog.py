@@ -22,9 +22,11 @@ from wordloom.operators import (
 from wordloom.operators.recurrent import RecurrentSpec
 from wordloom.plans import fit, score, views
 from wordloom.plans.prepare import Prepared, prepare, split_tokens, train_vocab
-from wordloom.session import spread, written
-from wordloom.settings import PATIENCE
-from wordloom.sources.vectors import model_vectors
+from wordloom.session import shared_path, spread, written
+from wordloom.settings import CSV_COLUMNS, PATIENCE
+from wordloom.sources import batches, labelled
+from wordloom.sources import runs as run_files
+from wordloom.sources.vectors import model_vectors, read_vectors, write_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -396,6 +398,46 @@ def history_series(spark: SparkSession, sf: str) -> DataFrame:
     return runs.history_series(views.run_history(spark, sf))
 
 
+# --- files: written from the tables, read back ------------------------------------------------
+
+
+@query
+def csv_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels and texts of the documents after a trip through labelled CSV files."""
+    raw = views.raw_documents(spark, sf)
+    names = dict(zip(("class_index", "title", "description"), CSV_COLUMNS))
+    path = shared_path(spark)
+    labelled.write_raw_csv(spread(raw, "doc_id").withColumnsRenamed(names), path)
+    return labelled.read_labelled_csv(spark, path).select("label", "text")
+
+
+@query
+def batch_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Encoded training rows as written for the trainer, in batch order."""
+    path = shared_path(spark)
+    batches.write_batches(_prepared(spark, sf).train, path)
+    ids = F.array_join(F.col("input_ids").cast("array<string>"), " ")
+    return batches.read_batches(spark, path).select("doc_id", "label", "length", ids.alias("input_ids"), "batch_id", "slot")
+
+
+@query
+def vector_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Word vectors after a trip through files, their width checked."""
+    _, vectors = _vectors(spark, sf)
+    path = shared_path(spark)
+    write_vectors(vectors, path)
+    return _round_cells(read_vectors(spark, path, views.DIM), "token", "vector", "x")
+
+
+@query
+def history_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Epoch histories of all runs after a trip through CSV files."""
+    path = shared_path(spark)
+    history = views.run_history(spark, sf)
+    run_files.write_histories(history.withColumns({c: F.lit(None).cast("double") for c in ("train_acc", "lr")}), path)
+    return run_files.read_histories(spark, path).select(*history.columns)
+
+
 # --- fits and scoring --------------------------------------------------------------------
 
 

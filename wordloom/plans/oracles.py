@@ -428,3 +428,23 @@ oracle(
     body=f"""SELECT f.doc_id, label_id::INTEGER AS label_id, round({_dot("f.h", "wc[label_id + 1]")} + bc[label_id + 1], 6) AS logit
         FROM (SELECT doc_id, arg_max(h, pos) AS h FROM states GROUP BY doc_id) f, net, (SELECT unnest(range(4)) AS label_id)""",
 )
+
+# --- files ---------------------------------------------------------------------------------------------
+oracle(
+    "csv_source", "decoded",
+    body="SELECT class_index::DOUBLE::INTEGER - 1 AS label, coalesce(title, '') || ' ' || coalesce(description, '') AS text FROM decoded",
+)
+oracle(
+    "batch_files", "tok", "cut",
+    body="""SELECT t.doc_id, t.label, greatest(1, len(coalesce(c.ids, [])))::INTEGER AS length,
+               array_to_string(list_resize(coalesce(c.ids, []), 96, 0), ' ') AS input_ids,
+               (row_number() OVER (ORDER BY md5('42|1|' || t.doc_id), t.doc_id) - 1) // 128 AS batch_id,
+               (row_number() OVER (ORDER BY md5('42|1|' || t.doc_id), t.doc_id) - 1) % 128 AS slot
+        FROM tok t LEFT JOIN (SELECT doc_id, list(idx ORDER BY pos) AS ids FROM cut GROUP BY doc_id) c USING (doc_id)
+        WHERE t.split = 'train'""",
+)
+oracle(
+    "vector_files", "matrix",
+    body="SELECT token, dim::INTEGER AS dim, round(x, 6) AS x FROM matrix WHERE found",
+)
+oracle("history_files", "history", body="SELECT * FROM history")

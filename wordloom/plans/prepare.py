@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wordloom.operators.documents import tokenize
 from wordloom.operators.encoding import encode
-from wordloom.operators.splitting import split_sizes, stratified_split
+from wordloom.operators.splitting import apply_cuts, split_cuts, split_sizes
 from wordloom.operators.vocabulary import build_vocab, vocabulary_rows
 from wordloom.session import spread, written
 from wordloom.settings import MAX_LEN, MAX_VOCAB_SIZE, MIN_FREQ, SEED, VAL_SIZE
@@ -41,8 +41,8 @@ def split_tokens(
 ) -> DataFrame:
     """(doc_id, label, split, tokens).  The cuts are found on (key, label) alone, so that
     pass reads no text."""
-    split = stratified_split(spread(docs, "doc_id"), "label", "doc_id", val_size, seed)
-    return tokenize(split, lower=lower)
+    cuts = written(split_cuts(docs, "label", "doc_id", val_size, seed))
+    return tokenize(apply_cuts(spread(docs, "doc_id"), cuts, "label", "doc_id", seed), lower=lower)
 
 
 def train_vocab(

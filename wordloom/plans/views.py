@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.operators import classify
@@ -128,12 +128,19 @@ def rnn_weights(spark: SparkSession, sf_dir: str, spec: RecurrentSpec, classes:
     for name, rows, width in (("classifier.weight", classes, features), ("classifier.bias", 1, classes)):
         layout.append((name, start, rows, width))
         start += rows
-    plan = spark.createDataFrame(layout, "name string, start bigint, rows int, width int")
-    emb = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    owner = F.broadcast(plan)  # one row per parameter
-    rows = emb.join(owner, (F.col("vec_id") >= F.col("start")) & (F.col("vec_id") < F.col("start") + F.col("rows")))
+    vec_id = F.col("vec_id")
+
+    def owner(field: int) -> Column:
+        """Field of the parameter that a row belongs to; NULL for the rows after the last."""
+        return F.coalesce(*[F.when((vec_id >= p[1]) & (vec_id < p[1] + p[2]), F.lit(p[field])) for p in layout])
+
+    rows = (
+        load(spark, sf_dir, "embeddings")
+        .select("vec_id", "embedding", owner(0).alias("name"), owner(2).alias("rows"), owner(3).alias("width"))
+        .where(F.col("name").isNotNull())
+    )
     cut = rows.groupBy("name", "rows", "width").agg(
-        F.array_sort(F.collect_list(F.struct("vec_id", F.expr("slice(embedding, 1, width)").alias("v")))).alias("c")
+        F.array_sort(F.collect_list(F.struct("vec_id", F.slice("embedding", 1, F.col("width")).alias("v")))).alias("c")
     )
     shape = F.when(F.col("rows") == 1, F.array("width")).otherwise(F.array("rows", "width"))
     return cut.select("name", shape.alias("shape"), F.flatten("c.v").alias("values"))

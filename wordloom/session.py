@@ -73,13 +73,9 @@ def bounded_join(
     return salted.join(copies.hint("shuffle_hash"), [on, "_salt"], how).drop("_salt")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a table written once in the shared folder of `spark.checkpoint.dir`.
-
-    Cuts the lineage: whatever reads it again, or again after an executor was lost, starts
-    from the files.  Spark also knows the size of what it reads back.  Only a local master
-    may fall back to a folder of its own."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder of `spark.checkpoint.dir`.  Only a local master may
+    fall back to a folder of its own."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
@@ -87,6 +83,14 @@ def written(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         folder = tempfile.mkdtemp(prefix="wordloom-")
         context.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/wordloom-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/wordloom-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a table written once in the shared folder.
+
+    Cuts the lineage: whatever reads it again, or again after an executor was lost, starts
+    from the files.  Spark also knows the size of what it reads back."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,6 +12,16 @@ from wordloom.settings import CSV_COLUMNS
 
 DEFAULT_PATH = "data/train.csv"
 
+# Doubled quotes inside quoted fields, spaces kept.
+FORMAT = dict(
+    header=True,
+    quote='"',
+    escape='"',
+    encoding="UTF-8",
+    ignoreLeadingWhiteSpace=False,
+    ignoreTrailingWhiteSpace=False,
+)
+
 
 def _hadoop_path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -43,8 +53,7 @@ def read_raw_csv(spark: SparkSession, path: str | None = None, multi_line: bool
     `multi_line=False` lets Spark split large files; use it when no field holds a newline.
     `doc_id` counts rows per file split: write the table once and keep the id from there."""
     path = resolve_csv(spark, path)
-    options = dict(header=True, quote='"', escape='"', inferSchema=False, encoding="UTF-8")
-    df = spark.read.options(multiLine=multi_line, **options).csv(path)
+    df = spark.read.options(multiLine=multi_line, **FORMAT).csv(path)
     require_columns(df, CSV_COLUMNS)
     return df.withColumn("doc_id", F.monotonically_increasing_id())
 
@@ -52,3 +61,9 @@ def read_raw_csv(spark: SparkSession, path: str | None = None, multi_line: bool
 def read_labelled_csv(spark: SparkSession, path: str | None = None, multi_line: bool = True) -> DataFrame:
     """(doc_id, label, text) of a labelled CSV file."""
     return derive_documents(read_raw_csv(spark, path, multi_line))
+
+
+def write_raw_csv(raw: DataFrame, path: str) -> None:
+    """The labelled columns of `raw` as CSV part files that `read_raw_csv` reads back."""
+    require_columns(raw, CSV_COLUMNS)
+    raw.select(*[F.col(f"`{c}`") for c in CSV_COLUMNS]).write.options(**FORMAT).csv(path)
