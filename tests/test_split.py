@@ -63,8 +63,10 @@ def test_split_moves_no_rows(spark):
 
 
 def test_quotas_of_huge_counts(spark):
-    counts = spark.createDataFrame([(0, 30_000_000_001), (1, 10_000_000_000)], "label int, n bigint")
-    got = {r["label"]: r["n_train"] for r in splitting._quotas(counts, "label", 0.1).collect()}
+    counts = spark.createDataFrame(
+        [(0, "", 30_000_000_001), (1, "", 10_000_000_000)], "label int, bucket string, here bigint"
+    )
+    got = {r["label"]: r["n_train"] for r in splitting._with_quotas(counts, "label", 0.1).collect()}
     assert got == python_quotas({0: 30_000_000_001, 1: 10_000_000_000}, 0.1)
 
 

@@ -39,11 +39,11 @@ class RecurrentSpec:
 
     def __post_init__(self) -> None:
         if self.model_type not in ("lstm", "gru"):
-            raise ValueError("model_type must be 'lstm' or 'gru'")
+            raise ValueError(f"unknown cell {self.model_type!r}: expected lstm or gru")
         if self.pooling not in ("last", "meanmax"):
-            raise ValueError("pooling must be 'last' or 'meanmax'")
+            raise ValueError(f"unknown pooling {self.pooling!r}: expected last or meanmax")
         if self.use_rms_norm and self.use_layer_norm:
-            raise ValueError("use_rms_norm and use_layer_norm exclude each other")
+            raise ValueError("choose one norm, RMS or layer, not both")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

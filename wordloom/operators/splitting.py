@@ -25,47 +25,61 @@ def split_quotas(df: DataFrame, label: str = "label", val_size: float = VAL_SIZE
 
     n_val in total is ceil(val_size * rows).  Raises at run time for a class with fewer
     than two rows, and when either side has fewer rows than there are classes."""
-    return _quotas(df.groupBy(label).agg(F.count("*").alias("n")), label, val_size)
-
-
-def _quotas(counts: DataFrame, label: str, val_size: float) -> DataFrame:
-    """Quotas from the (label, n) counts."""
-    everything = Window.partitionBy()  # one row per class
-    wide = "decimal(38,0)"  # rows * rows leaves BIGINT at large scale
-    sized = counts.select(
-        label,
-        "n",
-        F.sum("n").over(everything).cast("bigint").alias("rows"),
-        F.count("*").over(everything).alias("classes"),
-        F.min("n").over(everything).alias("smallest"),
-    ).withColumn("train_rows", F.col("rows") - F.ceil(F.lit(float(val_size)) * F.col("rows")))
-    guarded = sized.withColumn(
-        "n",
-        F.when(F.col("smallest") < 2, F.raise_error(F.lit("a class has fewer than 2 rows")).cast("bigint"))
-        .when(
-            (F.col("train_rows") < F.col("classes")) | (F.col("rows") - F.col("train_rows") < F.col("classes")),
-            F.raise_error(F.lit("one side of the split has fewer rows than there are classes")).cast("bigint"),
+    counts = df.groupBy(label).agg(F.count("*").alias("here")).withColumn("bucket", F.lit(""))
+    return _with_quotas(counts, label, val_size).select(
+        label, "n", "n_train", (F.col("n") - F.col("n_train")).alias("n_val")
+    )
+
+
+def _with_quotas(counts: DataFrame, label: str, val_size: float) -> DataFrame:
+    """Adds `n` and `n_train` of the class to counts (label, bucket, here).  The counts have
+    at most one row per class and bucket, so a single task reads them once."""
+    everything, mine = Window.partitionBy(), Window.partitionBy(label)
+    once = F.col("first") == 1  # one row per class
+    sized = (
+        counts.coalesce(1)
+        .withColumns(
+            {
+                "n": F.sum("here").over(mine).cast("bigint"),
+                "first": F.row_number().over(mine.orderBy("bucket")),
+            }
         )
-        .when(F.col("classes") > MAX_CLASSES, F.raise_error(F.lit("too many classes")).cast("bigint"))
-        .otherwise(F.col("n")),
+        .withColumns(
+            {
+                "rows": F.sum("here").over(everything).cast("bigint"),
+                "classes": F.count_if(once).over(everything),
+                "smallest": F.min("n").over(everything),
+            }
+        )
+        .withColumn("train_rows", F.col("rows") - F.ceil(F.lit(float(val_size)) * F.col("rows")))
+    )
+
+    def error(text: str) -> Column:
+        return F.raise_error(F.lit(text)).cast("bigint")
+
+    fewest = F.least("train_rows", F.col("rows") - F.col("train_rows"))
+    checked = (
+        F.when(F.col("smallest") < 2, error("a class has fewer than 2 rows"))
+        .when(fewest < F.col("classes"), error("one side of the split has fewer rows than there are classes"))
+        .when(F.col("classes") > MAX_CLASSES, error("too many classes"))
+        .otherwise(F.col("train_rows"))
     )
+    # rows * rows leaves BIGINT at large scale
     product = F.col("n").cast("decimal(19,0)") * F.col("train_rows").cast("decimal(19,0)")
-    floors = guarded.withColumns(
+    shares = sized.withColumn("train_rows", checked).withColumns(
         {
-            "remainder": (product % F.col("rows")).cast(wide),
+            "remainder": (product % F.col("rows")).cast("decimal(38,0)"),
             "floor": ((product - product % F.col("rows")) / F.col("rows")).cast("bigint"),
         }
     )
-    rest = floors.withColumns(
+    turns = shares.withColumns(
         {
-            "open": F.col("train_rows") - F.sum("floor").over(everything),
-            "turn": F.row_number().over(Window.orderBy(F.desc("remainder"), F.asc(label))),
+            "open": F.col("train_rows") - F.sum(F.when(once, F.col("floor"))).over(everything),
+            "turn": F.dense_rank().over(Window.orderBy(F.desc("remainder"), F.asc(label))),
         }
     )
     n_train = F.col("floor") + F.when(F.col("turn") <= F.col("open"), 1).otherwise(0)
-    return rest.select(label, "n", n_train.cast("bigint").alias("n_train")).withColumn(
-        "n_val", F.col("n") - F.col("n_train")
-    )
+    return turns.select(*counts.columns, "n", n_train.cast("bigint").alias("n_train"))
 
 
 def split_cuts(
@@ -74,15 +88,11 @@ def split_cuts(
     """Per class the hash and key of its last training row; at most MAX_CLASSES rows."""
     hashed = df.select(label, key, order_hash(F.col(key), seed).alias("hash"))
     bucket = F.substring("hash", 1, SPLIT_DIGITS)
-    below = Window.partitionBy(label).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    filled = (
-        hashed.groupBy(label, bucket.alias("bucket"))
-        .agg(F.count("*").alias("here"))
-        .withColumn("before", F.coalesce(F.sum("here").over(below), F.lit(0)))
-    )
-    sizes = filled.groupBy(label).agg(F.sum("here").alias("n"))
+    upto = F.sum("here").over(Window.partitionBy(label).orderBy("bucket"))
+    filled = hashed.groupBy(label, bucket.alias("bucket")).agg(F.count("*").alias("here"))
     edge = (
-        filled.join(F.broadcast(_quotas(sizes, label, val_size).select(label, "n_train")), label)
+        _with_quotas(filled, label, val_size)
+        .withColumn("before", upto - F.col("here"))
         .where((F.col("before") < F.col("n_train")) & (F.col("n_train") <= F.col("before") + F.col("here")))
         .select(label, "bucket", (F.col("n_train") - F.col("before")).alias("take"))
     )

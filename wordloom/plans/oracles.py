@@ -180,8 +180,52 @@ PIECES["states"] = (["steps", "net"], f"""
                      list_transform(range(1, {G + 1}), lambda g: {_dot("s.h", "wh[g]")} + bh[g]) AS gh
               FROM states s JOIN steps t ON t.doc_id = s.doc_id AND t.pos = s.pos, net)""")
 
+# Two-way LSTM, 8 units, mean and max pooled; 66 embedding rows per direction, then 4 class
+# rows of 32 and one class bias row.
+LG, DIR = 32, 66
+
+
+def _sig(x: str) -> str:
+    return f"(1 / (1 + exp(-({x}))))"
+
+
+def _tanh(x: str) -> str:
+    return f"(2 / (1 + exp(-2 * ({x}))) - 1)"
+
+
+PIECES["nets"] = ([], f"""
+        SELECT dir, list(embedding::DOUBLE[] ORDER BY vec_id) FILTER (place < {LG}) AS wi,
+               list(embedding[1:{H}]::DOUBLE[] ORDER BY vec_id) FILTER (place >= {LG} AND place < {2 * LG}) AS wh,
+               any_value(embedding[1:{LG}]::DOUBLE[]) FILTER (place = {2 * LG}) AS bi,
+               any_value(embedding[1:{LG}]::DOUBLE[]) FILTER (place = {2 * LG + 1}) AS bh
+        FROM (SELECT *, vec_id // {DIR} AS dir, vec_id % {DIR} AS place FROM embeddings WHERE vec_id < {2 * DIR}) GROUP BY dir""")
+PIECES["both_gates"] = (["matrix", "nets"], f"""
+        SELECT dir, idx, list_transform(range(1, {LG + 1}), lambda g: {_dot("x", "wi[g]")} + bi[g]) AS gi
+        FROM (SELECT idx, list(x ORDER BY dim) AS x FROM matrix GROUP BY idx), nets""")
+PIECES["both_steps"] = (["cut", "both_gates"], """
+        SELECT w.dir, s.doc_id, CASE w.dir WHEN 0 THEN s.pos ELSE s.n - 1 - s.pos END AS step, w.gi
+        FROM (SELECT doc_id, pos, idx, count(*) OVER (PARTITION BY doc_id) AS n FROM cut) s JOIN both_gates w USING (idx)""")
+PIECES["both_states"] = (["both_steps", "nets"], f"""
+        SELECT dir, doc_id, 0 AS step, list_transform(range({H}), lambda k: 0.0::DOUBLE) AS c,
+               list_transform(range({H}), lambda k: 0.0::DOUBLE) AS h
+        FROM both_steps WHERE step = 0
+        UNION ALL
+        SELECT dir, doc_id, step + 1, c, list_transform(range(1, {H + 1}), lambda k: {_sig(f"a[{3 * H} + k]")} * {_tanh("c[k]")})
+        FROM (SELECT dir, doc_id, step, a, list_transform(range(1, {H + 1}), lambda k:
+                     {_sig(f"a[{H} + k]")} * c[k] + {_sig("a[k]")} * {_tanh(f"a[{2 * H} + k]")}) AS c
+              FROM (SELECT s.dir, s.doc_id, s.step, s.c,
+                           list_transform(range(1, {LG + 1}), lambda g: t.gi[g] + {_dot("s.h", "n.wh[g]")} + n.bh[g]) AS a
+                    FROM both_states s
+                    JOIN both_steps t ON t.dir = s.dir AND t.doc_id = s.doc_id AND t.step = s.step
+                    JOIN nets n ON n.dir = s.dir))""")
+PIECES["both_features"] = (["both_states"], f"""
+        SELECT doc_id, kind * {2 * H} + dir * {H} + j AS f, CASE kind WHEN 0 THEN avg(x) ELSE max(x) END AS v
+        FROM (SELECT dir, doc_id, unnest(h) AS x, generate_subscripts(h, 1) - 1 AS j FROM both_states WHERE step > 0),
+             (SELECT unnest(range(2)) AS kind)
+        GROUP BY doc_id, dir, j, kind""")
+
 # Pieces that are read more than once and worth keeping.
-KEEP = {"pooled", "split", "tok", "long", "vocab", "ids", "cut", "matrix", "cells", "logits", "pred", "hist", "since", "net", "word_gates", "steps"}
+KEEP = {"pooled", "split", "tok", "long", "vocab", "ids", "cut", "matrix", "cells", "logits", "pred", "hist", "since", "net", "word_gates", "steps", "nets", "both_gates", "both_steps"}
 
 
 def sql(*needs: str, body: str) -> str:
@@ -197,7 +241,7 @@ def sql(*needs: str, body: str) -> str:
     for need in needs:
         visit(need)
     parts = [f"{n} AS {'MATERIALIZED ' if n in KEEP else ''}({PIECES[n][1]})" for n in order]
-    recursive = "RECURSIVE " if "states" in order else ""
+    recursive = "RECURSIVE " if {"states", "both_states"} & set(order) else ""
     return (f"WITH {recursive}{', '.join(parts)} " if parts else "") + body
 
 
@@ -429,6 +473,18 @@ oracle(
         FROM (SELECT doc_id, arg_max(h, pos) AS h FROM states GROUP BY doc_id) f, net, (SELECT unnest(range(4)) AS label_id)""",
 )
 
+oracle(
+    "rnn_score_bilstm", "tok", "both_features",
+    body=f"""SELECT t.doc_id, w.label_id, round(coalesce(sum(f.v * w.x), 0.0) + any_value(w.b), 6) AS logit
+        FROM tok t
+        CROSS JOIN (SELECT (vec_id - {2 * DIR})::INTEGER AS label_id, unnest(embedding[1:{4 * H}])::DOUBLE AS x,
+                           generate_subscripts(embedding[1:{4 * H}], 1) - 1 AS f,
+                           (SELECT embedding FROM embeddings WHERE vec_id = {2 * DIR + 4})[vec_id - {2 * DIR} + 1]::DOUBLE AS b
+                    FROM embeddings WHERE vec_id BETWEEN {2 * DIR} AND {2 * DIR + 3}) w
+        LEFT JOIN both_features f ON f.doc_id = t.doc_id AND f.f = w.f
+        GROUP BY t.doc_id, w.label_id""",
+)
+
 # --- files ---------------------------------------------------------------------------------------------
 oracle(
     "csv_source", "decoded",

@@ -47,13 +47,4 @@ LAYER_EPS = 1e-5
 
 # Hidden layers of the feed-forward classifier.
 MLP_HIDDEN = [256, 128]
-
-# The five compared variants.
-EXPERIMENTS = {
-    "lstm_h128_len96": dict(model_type="lstm", hidden_size=128, max_len=96, dropout=0.35, pooling="last"),
-    "gru_h128_len96": dict(model_type="gru", hidden_size=128, max_len=96, dropout=0.35, pooling="last"),
-    "bilstm_h256_len96": dict(model_type="lstm", hidden_size=256, max_len=96, dropout=0.45, pooling="last"),
-    "bilstm_h128_len160": dict(model_type="lstm", hidden_size=128, max_len=160, dropout=0.35, pooling="last"),
-    "bilstm_meanmax": dict(model_type="lstm", hidden_size=128, max_len=128, dropout=0.45, pooling="meanmax"),
-}
 # --- end of fixed values ------------------------------------------------------------
