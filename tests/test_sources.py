@@ -99,19 +99,19 @@ def test_histories_of_many_runs(spark, tmp_path):
     rows = [(f"run {i}/x", e, 1.0, 0.5, 0.4, 1.1, 0.5, 0.1 * e, None) for i in range(3) for e in (1, 2)]
     history = spark.createDataFrame(rows, "run_name string, " + run_files.HISTORY_SCHEMA)
     run_files.write_histories(history, str(tmp_path / "h"))
-    back = run_files.read_histories(spark, str(tmp_path / "h"))
+    back = run_files.read_history_table(spark, str(tmp_path / "h"))
     assert back.columns == history.columns
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, history.collect()), key=str)
 
 
 def test_history_files_of_single_runs(spark, tmp_path):
-    for name in ("one", "two"):
+    for name in ("one", "run + 2"):
         (tmp_path / name).mkdir()
         (tmp_path / name / "history.csv").write_text(
             ",".join(run_files.HISTORY_COLUMNS) + "\n1,0.5,0.5,0.5,0.5,0.5,NaN,0.001\n2,0.4,0.5,0.5,0.5,0.5,0.25,0.001\n"
         )
     got = run_files.read_histories(spark, str(tmp_path / "*" / "history.csv")).collect()
-    assert Counter(r["run_name"] for r in got) == {"one": 2, "two": 2}
+    assert Counter(r["run_name"] for r in got) == {"one": 2, "run + 2": 2}
     assert {str(r["val_macro_f1"]) for r in got} == {"nan", "0.25"}
 
 
@@ -125,7 +125,7 @@ def test_summary_round_trip(spark, tmp_path):
 def test_batch_files(spark, tmp_path, shuffle):
     docs = spark.createDataFrame([(i, ["a", "b"][: i % 3]) for i in range(100)], "doc_id bigint, tokens array<string>")
     encoded = encode(docs, build_vocab(docs), 4)
-    batches.write_batches(encoded, str(tmp_path / "b"), batch_size=16, shuffle=shuffle, files=3)
+    batches.write_batches(encoded, str(tmp_path / "b"), batch_size=16, shuffle=shuffle, batches_per_shard=2)
     back = batches.read_batches(spark, str(tmp_path / "b"))
     assert back.count() == 100 and set(encoded.columns) <= set(back.columns)
     files = back.select("batch_id", F.input_file_name().alias("f")).distinct().groupBy("batch_id").count()

@@ -16,7 +16,7 @@ def class_centroids(df: DataFrame, features: str = "features", label: str = "lab
     cells = df.select(label, F.posexplode_outer(features).alias("dim", "x")).where(F.col("dim").isNotNull())
     means = cells.groupBy(label, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
     return means.groupBy(F.col(label).alias("label_id")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda c: c["mean"]).alias("weight"),
+        F.transform(F.sort_array(F.collect_list(F.struct("dim", "mean"))), lambda c: c["mean"]).alias("weight"),
         F.lit(0.0).alias("bias"),
     )
 
@@ -26,7 +26,7 @@ def linear_logits(df: DataFrame, weights: DataFrame, features: str = "features")
 
     `weights` (label_id, weight, bias) has one row per class.  It enters as a scalar
     subquery: one small constant for all tasks, and no join that multiplies rows."""
-    table = weights.agg(F.array_sort(F.collect_list(F.struct("label_id", "weight", "bias"))).alias("w")).scalar()
+    table = weights.agg(F.sort_array(F.collect_list(F.struct("label_id", "weight", "bias"))).alias("w")).scalar()
     values = F.col(features).cast("array<double>")
     scores = F.transform("_weights", lambda c: vx.dot(values, c["weight"]) + c["bias"])
     return df.withColumn("_weights", table).withColumn("logits", scores).drop("_weights")
@@ -41,7 +41,7 @@ def ranked_probs(df: DataFrame, key: str = "doc_id", names: list[str] = LABEL_NA
     """(key, rank, label_id, label_name, prob): all classes of a row by falling
     probability, ties by class id.  Ranked inside the row, so nothing is shuffled."""
     pairs = F.transform("probs", lambda p, i: F.struct((-p).alias("neg"), i.alias("label_id"), p.alias("prob")))
-    rows = df.select(key, F.posexplode_outer(F.array_sort(pairs)).alias("place", "c"))
+    rows = df.select(key, F.posexplode_outer(F.sort_array(pairs)).alias("place", "c"))
     return rows.where(F.col("place").isNotNull()).select(
         key,
         (F.col("place") + 1).alias("rank"),

@@ -42,7 +42,7 @@ def encode(
         .agg(
             *[F.any_value(c).alias(c) for c in keep],
             # the one row of an empty document carries no position and is not collected
-            F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "idx")))).alias("hits"),
+            F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "idx")))).alias("hits"),
         )
     )
     return ids.select(

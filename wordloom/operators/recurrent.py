@@ -165,6 +165,6 @@ def _with_vectors(encoded: DataFrame, matrix: DataFrame, key: str, dim: int, mat
     """Adds `vectors`, one per position; at most `max_len` rows per key are gathered."""
     long = encoded.select(key, "length", F.posexplode_outer("input_ids").alias("pos", "idx"))
     joined = bounded_join(long, matrix.select("idx", "vector"), "idx", matrix_rows, 8 * dim)
-    cells = F.array_sort(F.collect_list(F.struct("pos", "idx", "vector")))
+    cells = F.sort_array(F.collect_list(F.struct("pos", "idx", "vector")))
     grouped = joined.groupBy(key).agg(F.any_value("length").alias("length"), cells.alias("c"))
     return grouped.select(key, "length", F.col("c.idx").alias("input_ids"), F.col("c.vector").alias("vectors"))

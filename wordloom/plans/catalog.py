@@ -415,7 +415,8 @@ def csv_source(spark: SparkSession, sf: str) -> DataFrame:
 def batch_files(spark: SparkSession, sf: str) -> DataFrame:
     """Encoded training rows as written for the trainer, in batch order."""
     path = shared_path(spark)
-    batches.write_batches(_prepared(spark, sf).train, path)
+    prepared = _prepared(spark, sf)
+    batches.write_batches(prepared.train, path, keys=prepared.tokenized.where(F.col("split") == "train"))
     ids = F.array_join(F.col("input_ids").cast("array<string>"), " ")
     return batches.read_batches(spark, path).select("doc_id", "label", "length", ids.alias("input_ids"), "batch_id", "slot")
 
@@ -434,8 +435,8 @@ def history_files(spark: SparkSession, sf: str) -> DataFrame:
     """Epoch histories of all runs after a trip through CSV files."""
     path = shared_path(spark)
     history = views.run_history(spark, sf)
-    run_files.write_histories(history.withColumns({c: F.lit(None).cast("double") for c in ("train_acc", "lr")}), path)
-    return run_files.read_histories(spark, path).select(*history.columns)
+    run_files.write_histories(history, path)
+    return run_files.read_history_table(spark, path).select(*history.columns)
 
 
 # --- fits and scoring --------------------------------------------------------------------

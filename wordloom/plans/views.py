@@ -140,7 +140,7 @@ def rnn_weights(spark: SparkSession, sf_dir: str, spec: RecurrentSpec, classes:
         .where(F.col("name").isNotNull())
     )
     cut = rows.groupBy("name", "rows", "width").agg(
-        F.array_sort(F.collect_list(F.struct("vec_id", F.slice("embedding", 1, F.col("width")).alias("v")))).alias("c")
+        F.sort_array(F.collect_list(F.struct("vec_id", F.slice("embedding", 1, F.col("width")).alias("v")))).alias("c")
     )
     shape = F.when(F.col("rows") == 1, F.array("width")).otherwise(F.array("rows", "width"))
     return cut.select("name", shape.alias("shape"), F.flatten("c.v").alias("values"))
