@@ -34,6 +34,8 @@ def rows(columns, data):
 @pytest.mark.parametrize("name", sorted(driver.queries()))
 def test_query(spark, sf_dir, db, name):
     df = driver.queries()[name](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     got = df.collect()
     assert got
     sql = driver.oracle_sql().get(name)

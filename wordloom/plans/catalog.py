@@ -449,11 +449,9 @@ def train_word2vec(spark: SparkSession, sf: str) -> DataFrame:
     return model_vectors(model).select("token", F.size("vector").alias("dims"))
 
 
-def _features(spark: SparkSession, sf: str, how: str = "meanmax") -> DataFrame:
+def _features(spark: SparkSession, sf: str) -> DataFrame:
     prepared, matrix = _matrix(spark, sf)
-    return embedding.pool(
-        prepared.encoded, matrix, how, keep=("label", "split"), dim=views.DIM, matrix_rows=prepared.vocab_rows
-    )
+    return fit.mlp_features(prepared, matrix, dim=views.DIM)
 
 
 @query

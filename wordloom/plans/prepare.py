@@ -21,16 +21,28 @@ class Prepared:
 
     tokenized: DataFrame  # doc_id, label, split, tokens
     vocab: DataFrame  # idx, token, freq
-    encoded: DataFrame  # doc_id, label, split, input_ids, length
     vocab_rows: int
+    max_len: int
+
+    def _encode(self, rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+        return encode(rows, self.vocab, self.max_len, keep=keep, vocab_rows=self.vocab_rows)
+
+    @property
+    def encoded(self) -> DataFrame:
+        """(doc_id, label, split, input_ids, length) of both splits."""
+        return self._encode(self.tokenized, ("label", "split"))
+
+    def part(self, split: str) -> DataFrame:
+        """One split; the other one's texts are not tokenised."""
+        return self._encode(self.tokenized.where(F.col("split") == split), ("label",))
 
     @property
     def train(self) -> DataFrame:
-        return self.encoded.where(F.col("split") == "train").drop("split")
+        return self.part("train")
 
     @property
     def val(self) -> DataFrame:
-        return self.encoded.where(F.col("split") == "val").drop("split")
+        return self.part("val")
 
     def sizes(self) -> DataFrame:
         return split_sizes(self.tokenized, self.vocab)
@@ -65,6 +77,4 @@ def prepare(
     tokenized = split_tokens(docs, val_size, lower, seed)
     # read by the encoder, the vector matrix and the reports: counted once, then a small file
     vocab = written(train_vocab(tokenized, max_vocab_size, min_freq))
-    rows = vocabulary_rows(max_vocab_size)
-    encoded = encode(tokenized, vocab, max_len, keep=("label", "split"), vocab_rows=rows)
-    return Prepared(tokenized, vocab, encoded, rows)
+    return Prepared(tokenized, vocab, vocabulary_rows(max_vocab_size), max_len)
