@@ -1,11 +1,12 @@
 import pytest
 
+from wordloom import session
 from wordloom.session import build_session
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = build_session(
+    spark_session = build_session(
         "tests",
         "local[8]",
         spark__sql__shuffle__partitions="8",
@@ -15,9 +16,16 @@ def spark(tmp_path_factory):
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
         spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
     )
-    session.sparkContext.setLogLevel("OFF")
-    yield session
-    session.stop()
+    spark_session.sparkContext.setLogLevel("OFF")
+    yield spark_session
+    spark_session.stop()
+
+
+@pytest.fixture(params=[session.BROADCAST_BYTES, -1], ids=["broadcast", "salted"])
+def budget(request, monkeypatch):
+    """Runs a test with the usual broadcast budget and with none."""
+    monkeypatch.setattr(session, "BROADCAST_BYTES", request.param)
+    return request.param
 
 
 SF_DIR = "/root/testdata/sf0.001"

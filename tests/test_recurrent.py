@@ -80,7 +80,7 @@ SPECS = [
 
 
 @pytest.mark.parametrize("options", SPECS, ids=lambda o: "-".join(map(str, o.values())))
-@pytest.mark.parametrize("matrix_rows", [V, None])
+@pytest.mark.parametrize("matrix_rows", [V, 10**9, None])
 def test_scores_equal_step_loop(spark, options, matrix_rows):
     rng = np.random.default_rng(1)
     spec = RecurrentSpec(hidden_size=H, dtype="float64", **options)
@@ -102,6 +102,18 @@ def test_scores_equal_step_loop(spark, options, matrix_rows):
         assert np.allclose(r["logits"], one_document(spec, weights, table, docs[r["doc_id"]]), atol=1e-9)
 
 
+def test_matrix_larger_than_its_bound(spark):
+    rng, spec = np.random.default_rng(2), RecurrentSpec(hidden_size=H)
+    encoded = spark.createDataFrame([(0, [1, 0], 1)], "doc_id bigint, input_ids array<int>, length int")
+    matrix = spark.createDataFrame([(i, [0.0] * D) for i in range(3)], "idx int, vector array<float>")
+    params = spark.createDataFrame(
+        [(k, list(v.shape), v.ravel().tolist()) for k, v in make_weights(spec, rng).items()],
+        "name string, shape array<int>, values array<double>",
+    )
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        rnn_score(encoded, matrix, params, spec, dim=D, matrix_rows=2)
+
+
 @pytest.mark.parametrize(
     "options", [dict(model_type="rnn"), dict(pooling="mean"), dict(use_rms_norm=True, use_layer_norm=True)]
 )

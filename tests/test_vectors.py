@@ -61,9 +61,8 @@ def test_coverage_of_nothing(vocab, trained):
     assert embedding.coverage(vocab.where("idx < 0"), trained).head()["coverage"] == 0.0
 
 
-@pytest.mark.parametrize("matrix_rows", [100, None])
 @pytest.mark.parametrize("how", ["mean", "max", "meanmax"])
-def test_pool_equals_numpy(spark, vocab, trained, how, matrix_rows):
+def test_pool_equals_numpy(spark, vocab, trained, how, budget):
     rng = random.Random(2)
     matrix = embedding.embedding_matrix(vocab, trained, 6)
     table = np.zeros((12, 6))
@@ -74,7 +73,7 @@ def test_pool_equals_numpy(spark, vocab, trained, how, matrix_rows):
         [(i, d + [0] * (8 - len(d)), max(1, len(d)), 3) for i, d in enumerate(docs)],
         "doc_id bigint, input_ids array<int>, length int, label int",
     )
-    rows = embedding.pool(encoded, matrix, how, keep=("label",), dim=6, matrix_rows=matrix_rows).collect()
+    rows = embedding.pool(encoded, matrix, how, keep=("label",), dim=6).collect()
     assert len(rows) == len(docs)
     for r in rows:
         v = table[docs[r["doc_id"]]] if docs[r["doc_id"]] else np.zeros((1, 6))
@@ -127,6 +126,8 @@ def test_most_similar(spark):
         got = embedding.most_similar(df, word, 5).orderBy("rank").collect()
         assert [r["token"] for r in got] == python_near(rows, word, 5)
     assert embedding.most_similar(df, "w3", 1).head()["token"] == "w7"
+    with pytest.raises(Exception, match="no vector"):
+        embedding.most_similar(df, "absent").collect()
 
 
 def test_most_similar_batch_over_many_blocks(spark, monkeypatch):

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from wordloom.functions import hashing
 from wordloom.functions import vectors as vx
 from wordloom.session import bounded_join
-from wordloom.settings import GENERATED_STD, MAX_VOCAB_SIZE, PAD_IDX, SEED, VECTOR_DIM
+from wordloom.settings import GENERATED_STD, PAD_IDX, SEED, VECTOR_DIM
 
 POOLINGS = ("mean", "max", "meanmax")
 
@@ -64,7 +64,7 @@ def pool(
     key: str = "doc_id",
     keep: tuple[str, ...] = (),
     dim: int = VECTOR_DIM,
-    matrix_rows: int | None = MAX_VOCAB_SIZE,
+    matrix_rows: int | None = None,
 ) -> DataFrame:
     """(key, *keep, features ARRAY<DOUBLE>): mean, maximum, or mean followed by maximum of
     the vectors at the real positions; zeros for a document without any.
@@ -104,7 +104,12 @@ def most_similar(vectors: DataFrame, word: object, n: int = 5, id_col: str = "to
     scored = (
         vectors.where(F.col(id_col) != F.lit(word))
         .withColumn("_query", query)
-        .select(id_col, F.round(vx.cosine(values, F.col("_query")), 9).alias("similarity"))
+        .select(
+            id_col,
+            F.when(F.col("_query").isNull(), F.raise_error(F.lit(f"no vector for {word!r}")).cast("double"))
+            .otherwise(F.round(vx.cosine(values, F.col("_query")), 9))
+            .alias("similarity"),
+        )
         .orderBy(F.desc("similarity"), id_col)
         .limit(n)
     )

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
 from wordloom.session import bounded_join
-from wordloom.settings import MAX_LEN, MAX_VOCAB_SIZE, PAD_IDX, UNK_IDX
+from wordloom.settings import MAX_LEN, PAD_IDX, UNK_IDX
 
 # Bytes of one broadcast vocabulary row: token, id, hash entry.
 VOCAB_ROW_BYTES = 96
 
 
-def lookup_ids(long: DataFrame, vocab: DataFrame, vocab_rows: int | None = MAX_VOCAB_SIZE) -> DataFrame:
+def lookup_ids(long: DataFrame, vocab: DataFrame, vocab_rows: int | None = None) -> DataFrame:
     """Adds `idx` to rows with a `token`; a token outside the vocabulary gets the unknown id."""
     known = vocab.select("token", "idx")
     joined = bounded_join(long, known, "token", vocab_rows, VOCAB_ROW_BYTES)
@@ -26,7 +26,7 @@ def encode(
     max_len: int = MAX_LEN,
     key: str = "doc_id",
     keep: tuple[str, ...] = (),
-    vocab_rows: int | None = MAX_VOCAB_SIZE,
+    vocab_rows: int | None = None,
 ) -> DataFrame:
     """(key, *keep, input_ids ARRAY<INT> of `max_len`, length INT >= 1).
 
@@ -54,7 +54,7 @@ def encode(
 
 
 def unknown_rate(
-    tokenized: DataFrame, vocab: DataFrame, key: str = "doc_id", vocab_rows: int | None = MAX_VOCAB_SIZE
+    tokenized: DataFrame, vocab: DataFrame, key: str = "doc_id", vocab_rows: int | None = None
 ) -> DataFrame:
     """Known and unknown tokens per document, over all of its tokens."""
     long = tokenized.select(key, F.posexplode_outer("tokens").alias("pos", "token"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.session import BROADCAST_BYTES, bounded_join, fits_broadcast
-from wordloom.settings import LAYER_EPS, MAX_VOCAB_SIZE, PAD_IDX, RMS_EPS, VECTOR_DIM
+from wordloom.settings import LAYER_EPS, PAD_IDX, RMS_EPS, VECTOR_DIM
 
 # Rows per matrix product inside a task: bounds memory to rows * max_len * 4 * hidden.
 ROWS_AT_ONCE = 256
@@ -124,24 +124,27 @@ def rnn_score(
     spec: RecurrentSpec,
     key: str = "doc_id",
     dim: int = VECTOR_DIM,
-    matrix_rows: int | None = MAX_VOCAB_SIZE,
+    matrix_rows: int | None = None,
 ) -> DataFrame:
     """(key, logits ARRAY<DOUBLE>) for encoded rows (input_ids, length).
 
-    A matrix within the broadcast budget (rows known to be at most `matrix_rows`) goes to
-    the tasks once and rows carry ids only.  Beyond it the vectors are joined in Spark and
-    travel with the rows."""
+    A matrix within the broadcast budget (at most `matrix_rows` rows, counted when not
+    given) goes to the tasks once and rows carry ids only.  Beyond it the vectors are joined
+    in Spark and travel with the rows."""
     context = encoded.sparkSession.sparkContext
     params = context.broadcast(_collect_weights(weights, spec.dtype))
-    if fits_broadcast(matrix_rows, 8 * dim):
-        rows = matrix.select("idx", "vector").toPandas()
+    bound = matrix.count() if matrix_rows is None else matrix_rows
+    if fits_broadcast(matrix, bound, 8 * dim):
+        rows = matrix.select("idx", "vector").limit(bound + 1).toPandas()
+        if len(rows) > bound:
+            raise ValueError(f"the matrix has more than {bound} rows")
         dense = np.zeros((int(rows["idx"].max()) + 1, dim), dtype=spec.dtype)
         dense[rows["idx"].to_numpy()] = np.stack(rows["vector"].to_numpy())
         table = context.broadcast(dense)
         source = encoded.select(key, "input_ids", "length")
     else:
         table = None
-        source = _with_vectors(encoded, matrix, key, dim, matrix_rows)
+        source = _with_vectors(encoded, matrix, key, dim, bound)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

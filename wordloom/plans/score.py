@@ -11,7 +11,7 @@ from wordloom.operators import classify, embedding
 from wordloom.operators.documents import tokenize
 from wordloom.operators.encoding import encode
 from wordloom.session import spread
-from wordloom.settings import LABEL_NAMES, MAX_LEN, MAX_VOCAB_SIZE, VECTOR_DIM
+from wordloom.settings import LABEL_NAMES, MAX_LEN, VECTOR_DIM
 
 
 def text_features(
@@ -22,7 +22,7 @@ def text_features(
     max_len: int = MAX_LEN,
     lower: bool = True,
     dim: int = VECTOR_DIM,
-    vocab_rows: int | None = MAX_VOCAB_SIZE,
+    vocab_rows: int | None = None,
 ) -> DataFrame:
     """(doc_id, features) of (doc_id, text)."""
     tokens = tokenize(spread(docs.select("doc_id", "text"), "doc_id"), lower=lower)

@@ -19,6 +19,9 @@ def build_session(app: str = "wordloom", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # groups that are collected are bounded (one document), so more of them fit the hash
+        # map before an aggregation falls back to sorting
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
@@ -28,26 +31,32 @@ def build_session(app: str = "wordloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def table_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of the size of `df`: file sizes for tables, an upper guess for
+    derived ones."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition a table by `keys` if it is smaller than one scan split per slot of the
     cluster (few files, or files of one row group), so that all slots get work.  A larger
     scan is parallel already and is left alone: no shuffle is added to it.
 
-    Apply it to the scan, before joins; the size is Spark's own estimate."""
+    Apply it to the scan, before joins."""
     spark = df.sparkSession
     slots = spark.sparkContext.defaultParallelism
     split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
         spark.conf.get("spark.sql.files.maxPartitionBytes")
     )
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) < slots * split:
-        return df.repartition(slots, *keys)
-    return df
+    return df.repartition(slots, *keys) if table_bytes(df) < slots * split else df
 
 
-def fits_broadcast(rows: int | None, row_bytes: int) -> bool:
-    """True if `rows` rows (None = unknown) of about `row_bytes` bytes may be broadcast."""
-    return rows is not None and rows * row_bytes <= BROADCAST_BYTES
+def fits_broadcast(side: DataFrame, rows: int | None, row_bytes: int) -> bool:
+    """May `side` be broadcast?  Yes if its proven bound of `rows` rows of about `row_bytes`
+    bytes fits the budget; without a bound, if Spark's estimate does with room to unpack."""
+    if rows is not None:
+        return rows * row_bytes <= BROADCAST_BYTES
+    return 4 * table_bytes(side) <= BROADCAST_BYTES
 
 
 def bounded_join(
@@ -61,11 +70,11 @@ def bounded_join(
 ) -> DataFrame:
     """Join `big` to a lookup table with one row per key.
 
-    `rows` is the proven row bound of the lookup table.  Within the broadcast budget the
-    lookup travels and `big` stays where it is.  Beyond it, or with no bound, both sides
-    are shuffled on (key, salt): a key that holds a third of `big` is spread over `salts`
-    tasks, at the price of `salts` copies of the lookup rows."""
-    if fits_broadcast(rows, row_bytes):
+    `rows` is the proven row bound of the lookup table, if there is one.  A table within the
+    broadcast budget travels and `big` stays where it is.  Otherwise both sides are shuffled
+    on (key, salt): a key that holds a third of `big` is spread over `salts` tasks, at the
+    price of `salts` copies of the lookup rows."""
+    if fits_broadcast(side, rows, row_bytes):
         return big.join(F.broadcast(side), on, how)
     # the salt follows the row's content: a recomputed task salts its rows the same way
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
