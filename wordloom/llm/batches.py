@@ -86,9 +86,11 @@ class Words:
     bounds: np.ndarray  # int64, texts + 1
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, end byte, bounds by text) of all words."""
-    inside = ~_SEPARATOR[data]
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end byte, bounds by text) of all words; `separator` by byte value."""
+    inside = ~separator[data]
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]

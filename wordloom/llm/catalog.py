@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import bpe, mixing, quality
+from wordloom.llm import ann, bpe, chat, mixing, pages, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -31,11 +31,35 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(load(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
 
 
+@query("op2_ann")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+@query("op3_chat")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(chat.example_turns(turns))
+    return chat.digests(chat.render(chat.fold(chat.turn_events(turns))))
+
+
 @query("op4_bpe")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.severity(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
+
+
 @query("op7_mixing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.sized(load(spark, sf_dir, "documents")))
+
+
+@query("op10_pages")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(load(spark, sf_dir, "pages"))
