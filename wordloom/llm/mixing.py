@@ -189,14 +189,15 @@ def mix(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     `BLOCK_WORDS` words."""
     sources = written(targets(sizes))
     rows = written(streams(sizes, sources))
-    return rows, slots(sources).join(block_pieces(rows), ["source_no", "block"])
+    # both sides grow with the input and Spark can't know the size of the slots: no broadcast
+    return rows, slots(sources).hint("merge").join(block_pieces(rows), ["source_no", "block"])
 
 
 def taken(sizes: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken): words the mix takes of each row."""
     rows, spans = mix(sizes)
     words = spans.groupBy("source_no", "start").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
-    return rows.join(words, ["source_no", "start"], "left").select(
+    return rows.join(words.hint("merge"), ["source_no", "start"], "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken")
     )
 
@@ -223,7 +224,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
         F.collect_list(F.struct("turn", "spans")).alias("_turns")
     )
     marked = docs.withColumn("_key", F.xxhash64(F.col(text)))
-    joined = marked.join(pieces, (F.col(key) == F.col("_doc")) & (F.col("_key") == F.col("_hash")))
+    joined = marked.join(pieces.hint("merge"), (F.col(key) == F.col("_doc")) & (F.col("_key") == F.col("_hash")))
     joined = joined.withColumn("_turn", F.explode("_turns"))
     # slices want whole words only once per row, so the cut is one expression over the array
     cut = joined.withColumn(text, cut_text(F.col(text), F.transform("_turn.spans", lambda s: F.struct(s["first"].cast("int").alias("first"), s["last"].cast("int").alias("last")))))

@@ -20,15 +20,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm import batches as B
+from wordloom.session import written
 
 SAMPLE_ROWS = 30_000
 BUCKETS = 1 << 20
 TELLING = 2_048  # features at most
-LEAST_Z = 4.5  # log-odds over its standard error that a feature needs
+LEAST_G = 22.0  # likelihood ratio statistic that a feature needs, about 4.7 standard errors
 CUTS = (1 / 3, 2 / 3)  # quantiles of telling words between the grades above 0
 PENALTY = 1e-4
 STEPS = 400
@@ -96,11 +97,15 @@ def telling_buckets(rows: DataFrame) -> np.ndarray:
     one, none = float(sizes[True]), float(sizes[False])
     each = rows.select("toxic", F.explode("buckets").alias("bucket"))
     seen = each.groupBy("bucket").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"))
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    odds = F.log(a / (one + 1 - a)) - F.log(b / (none + 1 - b))
-    error = F.sqrt(1 / a + 1 / (one + 1 - a) + 1 / b + 1 / (none + 1 - b))
-    scored = seen.withColumn("z", F.abs(odds / error)).where(F.col("z") >= LEAST_Z)
-    top = scored.orderBy(F.desc("z"), "bucket").limit(TELLING).select("bucket").collect()
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    share = (a + b) / (one + none)
+
+    def excess(found: Column, expected: Column) -> Column:
+        return F.when(found > 0, 2 * found * F.log(found / expected)).otherwise(F.lit(0.0))
+
+    cells = [(a, share * one), (b, share * none), (one - a, (1 - share) * one), (none - b, (1 - share) * none)]
+    scored = seen.withColumn("g", sum((excess(*c) for c in cells[1:]), excess(*cells[0]))).where(F.col("g") >= LEAST_G)
+    top = scored.orderBy(F.desc("g"), "bucket").limit(TELLING).select("bucket").collect()
     return np.sort(np.array([r["bucket"] for r in top], np.int64))
 
 
@@ -142,8 +147,6 @@ def fit_ordinal(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: n
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """The model of a bounded sample of labelled rows; the driver sees their telling words."""
-    from wordloom.session import written
-
     counted = written(sample_counts(labelled_sample(docs, labels, rows)))
     buckets = telling_buckets(counted)
     if not len(buckets):
