@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import ann, bpe, chat, mixing, pages, quality, toxicity
+from wordloom.llm import ann, bpe, chat, jaccard, mixing, pages, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -55,6 +55,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
 
 
+@query("op6_jaccard")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(load(spark, sf_dir, "documents"))
+
+
 @query("op7_mixing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.sized(load(spark, sf_dir, "documents")))
