@@ -52,34 +52,30 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def fits_broadcast(side: DataFrame, rows: int | None, row_bytes: int) -> bool:
-    """May `side` be broadcast?  Yes if its proven bound of `rows` rows of about `row_bytes`
-    bytes fits the budget; without a bound, if Spark's estimate does with room to unpack."""
-    if rows is not None:
-        return rows * row_bytes <= BROADCAST_BYTES
-    return 4 * table_bytes(side) <= BROADCAST_BYTES
+    """May `side` be broadcast?  Yes if its bound of `rows` rows of about `row_bytes` bytes
+    fits the budget; without a bound its rows are counted, up to one more than fit."""
+    if rows is None:
+        most = max(0, BROADCAST_BYTES // row_bytes)
+        rows = side.limit(most + 1).count() if most else 1
+    return rows * row_bytes <= BROADCAST_BYTES
 
 
 def bounded_join(
     big: DataFrame,
     side: DataFrame,
-    on: str,
+    on: str | list[str],
     rows: int | None,
     row_bytes: int,
-    salts: int = 32,
     how: str = "left",
 ) -> DataFrame:
     """Join `big` to a lookup table with one row per key.
 
-    `rows` is the proven row bound of the lookup table, if there is one.  A table within the
-    broadcast budget travels and `big` stays where it is.  Otherwise both sides are shuffled
-    on (key, salt): a key that holds a third of `big` is spread over `salts` tasks, at the
-    price of `salts` copies of the lookup rows."""
+    `rows` is the proven row bound of the lookup table, or its counted size.  A table within
+    the broadcast budget travels and `big` stays where it is.  Otherwise both sides are
+    shuffled and merged, which spills; the adaptive planner splits the partitions of hot keys."""
     if fits_broadcast(side, rows, row_bytes):
         return big.join(F.broadcast(side), on, how)
-    # the salt follows the row's content: a recomputed task salts its rows the same way
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
-    copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies.hint("shuffle_hash"), [on, "_salt"], how).drop("_salt")
+    return big.join(side.hint("merge"), on, how)
 
 
 def shared_path(spark: SparkSession) -> str:
