@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import ann, bpe, chat, jaccard, mixing, pages, quality, substrings, toxicity
+from wordloom.llm import ann, bpe, chat, jaccard, lines, mixing, pages, quality, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -70,6 +70,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(load(spark, sf_dir, "documents"))
 
 
+@query("op9_lines")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(load(spark, sf_dir, "documents"))
+
+
 @query("op10_pages")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(load(spark, sf_dir, "pages"))
