@@ -20,9 +20,8 @@ from wordloom.session import bounded_join, written
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
-# What is left of a text without these runs are the characters of the class.
+# Character classes among what is neither a-z nor white space: all but their members.
 CLASSES = {
-    "lower": r"[^a-z]+",
     "upper": r"[^A-Z]+",
     "letter": r"[^\p{L}]+",
     "digit": r"[^\p{N}]+",
@@ -42,15 +41,22 @@ MAX_WORD_DISTANCE = 0.38
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
-def class_counts(text: Column, length: Column) -> list[Column]:
+def with_rest(rows: DataFrame) -> DataFrame:
+    """Rows with `_t` and with `_rest`, the characters of `_t` that are neither a-z nor white
+    space, and `_lower` and `_white`, the numbers of those.  Most of a text is gone after two
+    replacements; all else is counted on the rest."""
+    rows = rows.withColumn("_open", F.regexp_replace("_t", "[a-z]+", ""))
+    rows = rows.withColumn("_rest", F.regexp_replace("_open", SPACE, ""))
+    lower, white = F.length("_t") - F.length("_open"), F.length("_open") - F.length("_rest")
+    return rows.withColumns({"_lower": lower, "_white": white}).drop("_open")
+
+
+def class_counts() -> list[Column]:
     """Code points of each class; the classes share no character and cover the text."""
-    n = {k: F.length(F.regexp_replace(text, p, "")) for k, p in CLASSES.items()}
-    white = length - F.col("word_chars")
-    known = n["letter"] + n["digit"] + n["point"] + n["symbol"] + white
-    return [
-        c.cast("bigint")
-        for c in (n["lower"], n["upper"], n["letter"] - n["lower"] - n["upper"], n["digit"], n["point"], n["symbol"], white, length - known)
-    ]
+    n = {k: F.length(F.regexp_replace("_rest", p, "")) for k, p in CLASSES.items()}
+    other = F.length("_rest") - n["letter"] - n["digit"] - n["point"] - n["symbol"]
+    counts = (F.col("_lower"), n["upper"], n["letter"] - n["upper"], n["digit"], n["point"], n["symbol"], F.col("_white"), other)
+    return [c.cast("bigint") for c in counts]
 
 
 def repeated_words(words: Column) -> Column:
@@ -70,23 +76,29 @@ def repeated_words(words: Column) -> Column:
         some = F.size(F.array_distinct(hashes)) < F.size(hashes)
         return F.when(some, bind(places, covered)).otherwise(0)
 
-    starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
-    hashes = F.transform(starts, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, n)]))
+    def from_place(a: Column, start: int) -> Column:
+        return F.slice(a, F.lit(start + 1), F.greatest(F.size(words) - start, F.lit(0)))
+
+    # words 1-2, then 1-4, then 1-5: each step joins two hashes; the ends are not whole
+    two = F.zip_with(words, from_place(words, 1), lambda a, b: F.xxhash64(a, b))
+    four = bind(two, lambda t: F.zip_with(t, from_place(t, 2), lambda a, b: F.xxhash64(a, b)))
+    five = F.zip_with(four, from_place(words, 4), lambda a, b: F.xxhash64(a, b))
+    hashes = F.slice(five, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
     return bind(hashes, of_windows).cast("bigint")
 
 
 def measured(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """`docs` with the base counts, `_lang`, `_words` and the class counts `_classes`."""
-    out = docs.drop(*BASE, "_t", "_lang", "_words", "_classes")
-    out = out.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    """`docs` with the base counts, `_lang`, `_words` and the columns of `with_rest`."""
+    out = docs.drop(*BASE, "_t", "_lang", "_words", "_rest", "_lower", "_white")
+    out = with_rest(out.withColumn("_t", F.coalesce(F.col(text), F.lit(""))))
     out = out.withColumn("_lang", F.coalesce(F.col(lang).cast("string"), F.lit("")))
     out = out.withColumn("_words", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD))
     out = out.withColumns(
         {
             "n_words": F.size("_words").cast("bigint"),
-            "word_chars": F.length(F.regexp_replace("_t", SPACE, "")).cast("bigint"),
-            "n_symbols": F.length(F.regexp_replace("_t", SYMBOLS, "")).cast("bigint"),
+            "word_chars": (F.col("_lower") + F.length("_rest")).cast("bigint"),
+            "n_symbols": F.length(F.regexp_replace("_rest", SYMBOLS, "")).cast("bigint"),
             "n_dup_lines": bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
             "n_repeat_words": repeated_words(F.col("_words")),
         }
@@ -103,10 +115,9 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
     base = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_lang"), F.coalesce(F.col(text), F.lit("")).alias("_t")
     )
-    shaped = base.withColumn("word_chars", F.length(F.regexp_replace("_t", SPACE, "")))
-    counts = class_counts(F.col("_t"), F.length("_t"))
+    counts = class_counts()
     names = [f"c{i}" for i in range(len(counts))]
-    classes = shaped.select("_lang", *[c.alias(n) for c, n in zip(counts, names)])
+    classes = with_rest(base).select("_lang", *[c.alias(n) for c, n in zip(counts, names)])
     class_sums = classes.groupBy("_lang").agg(*[F.sum(n).alias(n) for n in names])
     class_share = class_sums.select("_lang", shares(F.array(*names)).alias("ref_class_share"))
     # each word is one row of a task's hash map; the common ones meet in few rows
@@ -120,7 +131,10 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
     word_share = tops.join(totals, "_lang").where(F.col("total") >= MIN_REFERENCE_WORDS)
     other = F.col("total") - F.aggregate("top.n", F.lit(0).cast("bigint"), lambda a, x: a + x)
     word_share = word_share.select(
-        "_lang", F.col("top.w").alias("ref_words"), shares(F.concat("top.n", F.array(other))).alias("ref_word_share")
+        "_lang",
+        F.col("top.w").alias("ref_words"),
+        F.array_max(F.transform("top.w", lambda w: F.octet_length(w))).alias("ref_longest"),
+        shares(F.concat("top.n", F.array(other))).alias("ref_word_share")
     )
     return word_share.join(class_share, "_lang")
 
@@ -148,7 +162,10 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     refs = written(language_references(docs, text, lang))
     # one row per language with a reference of bounded width
     joined = bounded_join(measured(docs, text, lang).drop(*new), refs, "_lang", refs.count(), 8_192)
-    common = F.filter("_words", lambda w: F.array_contains(F.col("ref_words"), w))
+    # most words are longer than any common one: a cheap test before the list
+    common = F.filter(
+        "_words", lambda w: (F.octet_length(w) <= F.col("ref_longest")) & F.array_contains(F.col("ref_words"), w)
+    )
 
     def word_counts(found: Column) -> Column:
         own = F.transform("ref_words", lambda r: F.size(found) - F.size(F.array_remove(found, r)))
@@ -166,7 +183,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
         "_class_share",
         F.when(
             long_enough & (F.col("word_chars") >= MIN_CLASS_CHARS),
-            shares(F.array(*class_counts(F.col("_t"), F.length("_t")))),
+            shares(F.array(*class_counts())),
         ),
     )
     out = joined.withColumns(
