@@ -32,11 +32,11 @@ WINDOW_WORDS = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 COMMON_WORDS = 24  # common words of a language in its reference
-MIN_CLASS_CHARS = 100  # shorter texts have no class histogram
+MIN_CLASS_CHARS = 300  # shorter texts have no class histogram
 MIN_HISTOGRAM_WORDS = 60  # shorter texts have no word histogram
 MIN_REFERENCE_WORDS = 2_000  # languages with fewer words have no reference
-MAX_CLASS_DISTANCE = 0.20
-MAX_WORD_DISTANCE = 0.38
+MAX_CLASS_DISTANCE = 0.30
+MAX_WORD_DISTANCE = 0.42
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
