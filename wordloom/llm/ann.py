@@ -219,7 +219,8 @@ def nearest(
     rows = dealt.select("shard", "dim", F.lit(False).alias("asks"), "ids", "v").unionByName(
         asked.select("shard", "dim", F.lit(True).alias("asks"), "ids", "v")
     )
-    dealt = rows.repartition(shards, "shard", "dim").sortWithinPartitions("shard", "dim", "asks")
+    # more partitions than shards, so that few shards share a task
+    dealt = rows.repartition(4 * shards, "shard", "dim").sortWithinPartitions("shard", "dim", "asks")
     found = dealt.mapInArrow(_search(k, beam), "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
