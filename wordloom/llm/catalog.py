@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wordloom.llm import ann, bpe, chat, jaccard, lines, mixing, pages, quality, substrings, toxicity
+from wordloom.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "REGISTRY"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -28,7 +31,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 @query("op1_quality")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(load(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
+    judged = quality.judge(load(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 @query("op2_ann")

@@ -122,11 +122,12 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
     class_share = class_sums.select("_lang", shares(F.array(*names)).alias("ref_class_share"))
     # each word is one row of a task's hash map; the common ones meet in few rows
     words = base.select("_lang", F.explode(F.regexp_extract_all("_t", F.lit(WORD), F.lit(0))).alias("w"))
-    freq = words.groupBy("_lang", "w").agg(F.count("*").alias("n"))
-    freq = written(freq.where("n > 1"))
+    counted = words.groupBy("_lang", "w").agg(F.count("*").alias("n"))
+    # words met once become one row per language; they count in its total alone
+    freq = written(counted.groupBy("_lang", F.when(F.col("n") > 1, F.col("w")).alias("w")).agg(F.sum("n").alias("n")))
     totals = freq.groupBy("_lang").agg(F.sum("n").alias("total"))
     best = Window.partitionBy("_lang").orderBy(F.desc("n"), "w")
-    top = freq.withColumn("r", F.row_number().over(best)).where(F.col("r") <= COMMON_WORDS)
+    top = freq.where("w is not null").withColumn("r", F.row_number().over(best)).where(F.col("r") <= COMMON_WORDS)
     tops = top.groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("r", "w", "n"))).alias("top"))
     word_share = tops.join(totals, "_lang").where(F.col("total") >= MIN_REFERENCE_WORDS)
     other = F.col("total") - F.aggregate("top.n", F.lit(0).cast("bigint"), lambda a, x: a + x)
@@ -145,14 +146,15 @@ def shares(counts: Column) -> Column:
 
 
 def js_distance(p: Column, q: Column) -> Column:
-    """Square root of the Jensen-Shannon divergence of two distributions, base 2."""
+    """Square root of the Jensen-Shannon divergence of two distributions, base 2; null for null."""
 
     def toward(a: Column, b: Column) -> Column:
         middle = (a + b) / 2
         return F.when(a > 0, a * F.log2(F.when(middle > 0, a / middle))).otherwise(F.lit(0.0))
 
     parts = F.zip_with(p, q, lambda a, b: (toward(a, b) + toward(b, a)) / 2)
-    return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
+    total = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+    return F.when(total > 0, F.sqrt(total)).when(total.isNotNull(), F.lit(0.0))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
