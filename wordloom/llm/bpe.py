@@ -83,10 +83,11 @@ def encode_words(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.
     if not n:
         return np.zeros(0, np.int64), bounds
     symbol = vocab.inner[data]
-    symbol[bounds[1:] - 1] = vocab.last[data[bounds[1:] - 1]]
+    first, last = bounds[:-1][sizes > 0], bounds[1:][sizes > 0] - 1
+    symbol[last] = vocab.last[data[last]]
     after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-    after[bounds[1:] - 1] = -1
-    before[bounds[:-1]] = -1
+    after[last] = -1
+    before[first] = -1
     alive = np.ones(n, bool)
     index: dict[int, list[np.ndarray]] = {}
     active: list[int] = []
