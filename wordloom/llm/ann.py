@@ -113,6 +113,8 @@ class Graph:
     def _refresh(self, heads: np.ndarray, wide: np.ndarray, place: np.ndarray, table: np.ndarray) -> None:
         """New neighbour rows of `heads` out of the candidates `wide`."""
         width = table.shape[1]
+        wide = np.sort(wide, axis=1)  # two nodes of a batch may have chosen each other
+        wide[:, 1:][wide[:, 1:] == wide[:, :-1]] = -1
         full = (wide >= 0).sum(axis=1) > width
         packed = np.take_along_axis(wide, np.argsort(wide < 0, axis=1, kind="stable"), 1)
         table[place[heads[~full]]] = packed[~full, :width]
