@@ -138,16 +138,24 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
 
 def boilerplate(nodes: list[Node]) -> list[bool]:
-    """Whether each node is boilerplate, by itself or inside one.  An element is not so by its
-    own names if it holds an article or a main element that is clean itself."""
-    holds = [False] * len(nodes)
+    """Whether each node is boilerplate, by itself or inside one.  If that leaves no article or
+    main element of a page that has one, the names of the elements around it do not count."""
+
+    def spread(exempt: list[bool]) -> list[bool]:
+        out = [False] * len(nodes)
+        for i in range(1, len(nodes)):
+            out[i] = out[nodes[i].parent] or (nodes[i].own and not exempt[i])
+        return out
+
+    marked = [i for i, x in enumerate(nodes) if x.tag in ("article", "main")]
+    out = spread([False] * len(nodes))
+    if not marked or any(not out[i] for i in marked):
+        return out
+    around = [False] * len(nodes)
     for i in range(len(nodes) - 1, 0, -1):
-        if holds[i] or (nodes[i].tag in ("article", "main") and not nodes[i].own):
-            holds[nodes[i].parent] = True
-    out = [False] * len(nodes)
-    for i in range(1, len(nodes)):
-        out[i] = out[nodes[i].parent] or (nodes[i].own and not holds[i])
-    return out
+        if around[i] or (nodes[i].tag in ("article", "main") and not nodes[i].own):
+            around[nodes[i].parent] = True
+    return spread(around)
 
 
 Tree = tuple[str, tuple]  # (key, children)
