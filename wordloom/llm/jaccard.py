@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from wordloom.llm import batches as B
 from wordloom.llm.graph import components
-from wordloom.session import written
+from wordloom.session import bounded_join, written
 
 WIDTH = 4
 PERCENT = 85
@@ -260,8 +260,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     def texts_of(pairs: DataFrame) -> DataFrame:
         """(f, text) of the classes in `pairs`: the text of one document each."""
         named = pairs.select(F.col("a").alias("f")).union(pairs.select(F.col("b").alias("f"))).distinct()
-        wanted = classes.join(named, "f").select("doc_id", F.col("f").alias("_f"))
-        found = sources.join(wanted, "doc_id").select("_f", text)
+        wanted = written(classes.join(named, "f").select("doc_id", F.col("f").alias("_f")))
+        found = bounded_join(sources, wanted, "doc_id", wanted.count(), 64, how="inner").select("_f", text)
         return written(_of_class(found, text, width))
 
     links = written(verified(first, texts_of(first), text, width, percent))
