@@ -150,3 +150,19 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r["label"], tuple(r["tokens"])) for r in spark.sql("SELECT * FROM arrived").collect()}
     batch = tokenize(labelled.read_labelled_csv(spark, str(folder)))
     assert got == {(r["label"], tuple(r["tokens"])) for r in batch.collect()} and len(got) == 4
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_ids_do_not_depend_on_splits(spark, tmp_path, multi_line):
+    rows = [[str(i % 4 + 1), f"t{i}", "some text " * (i % 7), ""] for i in range(1200)]
+    for n in range(6):
+        write_csv(tmp_path / "parts" / f"{n}.csv", rows=rows[n * 200 : n * 200 + 200])
+    found = []
+    try:
+        for size in ("128m", "4k", "30k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            raw = labelled.read_raw_csv(spark, str(tmp_path / "parts"), multi_line=multi_line)
+            found.append({r["doc_id"]: r["Title"] for r in raw.collect()})
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == {i: f"t{i}" for i in range(1200)} and found[0] == found[1] == found[2]

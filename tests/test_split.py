@@ -109,3 +109,12 @@ def test_ordered_rank_descending(spark):
     expected = sorted(range(50), key=lambda i: (-(i % 5), i))
     assert [r["id"] for r in sorted(rows, key=lambda r: r["rank"])] == expected
     assert sorted(r["rank"] for r in rows) == list(range(1, 51))
+
+
+def test_missing_label_is_an_error(spark):
+    rows = [(i, None if i % 5 == 0 else i % 3) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, label int")
+    with pytest.raises(Exception, match="a label is missing"):
+        splitting.split_quotas(df).collect()
+    with pytest.raises(Exception, match="a label is missing"):
+        splitting.stratified_split(df)

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
 from wordloom.operators import documents
-from wordloom.settings import LABEL_NAMES, NA_STRINGS
+from wordloom.settings import LABEL_NAMES, NA_STRINGS, TOKEN_PATTERN
 
-PYTHON_TOKEN = re.compile(r"[A-Za-z]+(?:'[A-Za-z]+)?|\d+(?:\.\d+)?")
+# Python's own \d is what \p{Nd} is in Java
+PYTHON_TOKEN = re.compile(TOKEN_PATTERN.replace(r"\p{Nd}", r"\d"))
 
 EDGES = {
     "Don't stop 3.14 rock'n'roll 1.2.3": ["don't", "stop", "3.14", "rock'n", "roll", "1.2", "3"],

@@ -170,3 +170,22 @@ def test_ranked_probs_break_ties_by_class(spark):
     df = spark.createDataFrame([(1, [0.1, 0.4, 0.1, 0.4])], "doc_id bigint, probs array<double>")
     got = [(r["rank"], r["label_id"], r["label_name"]) for r in classify.ranked_probs(df).collect()]
     assert got == [(1, 1, "Sports"), (2, 3, "Sci/Tech"), (3, 0, "World"), (4, 2, "Business")]
+
+
+def test_zero_vectors_have_no_neighbours(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [1.0, 1.0]), ("zero", [0.0, 0.0]), ("c", [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "token string, vector array<float>")
+    assert [r["token"] for r in embedding.most_similar(df, "a", 5).orderBy("rank").collect()] == ["b", "c"]
+    assert embedding.most_similar(df, "zero", 5).count() == 0
+    found = embedding.most_similar_batch(df, df, 5, query_block=2).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        got.setdefault(r["query"], []).append(r["token"])
+    assert got == {"a": ["b", "c"], "b": ["a", "c"], "c": ["b", "a"]}
+
+
+def test_batch_search_shuffles_no_vector(spark):
+    df = spark.range(50).select(F.col("id").cast("string").alias("token"), F.array(F.col("id").cast("float"), F.lit(1.0)).alias("vector"))
+    plan = embedding.most_similar_batch(df, df.limit(3))._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInPandas") :]
+    assert "Exchange" not in below

@@ -29,7 +29,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(square_sum(a) * square_sum(b))
+    """NULL where a vector is zero: it has no direction."""
+    size = F.sqrt(square_sum(a)) * F.sqrt(square_sum(b))
+    return F.when(size > 0, dot(a, b) / size)
 
 
 def _affine(vec: Column, weight: Column | None, bias: Column | None) -> Column:

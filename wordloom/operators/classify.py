@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,13 +14,13 @@ from wordloom.settings import LABEL_NAMES
 
 def class_centroids(df: DataFrame, features: str = "features", label: str = "label") -> DataFrame:
     """(label_id, weight ARRAY<DOUBLE>, bias): per-class mean of every dimension as linear
-    class weights.  Sums are combined per task first, so a large class is no hot spot."""
-    cells = df.select(label, F.posexplode_outer(features).alias("dim", "x")).where(F.col("dim").isNotNull())
-    means = cells.groupBy(label, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
-    return means.groupBy(F.col(label).alias("label_id")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("dim", "mean"))), lambda c: c["mean"]).alias("weight"),
-        F.lit(0.0).alias("bias"),
+    class weights.  Sums of whole vectors are combined per task first, so a large class is no
+    hot spot."""
+    rows = df.where(F.col(features).isNotNull()).select(
+        F.col(label).alias("label_id"), array_to_vector(F.col(features).cast("array<double>")).alias("v")
     )
+    means = rows.groupBy("label_id").agg(Summarizer.mean(F.col("v")).alias("mean"))
+    return means.select("label_id", vector_to_array("mean").alias("weight"), F.lit(0.0).alias("bias"))
 
 
 def linear_logits(df: DataFrame, weights: DataFrame, features: str = "features") -> DataFrame:

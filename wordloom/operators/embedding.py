@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -97,7 +99,7 @@ def normalise(df: DataFrame, column: str, kind: str) -> DataFrame:
 
 def most_similar(vectors: DataFrame, word: object, n: int = 5, id_col: str = "token", vector: str = "vector") -> DataFrame:
     """(rank, id, similarity): the n rows nearest to the row `word` by cosine, itself
-    excluded, ties by id.  The query vector enters as a scalar subquery, so the table is
+    excluded, ties by id.  Zero vectors have no similarity and are left out.  The query vector enters as a scalar subquery, so the table is
     read in place and every task keeps its own n best."""
     values = F.col(vector).cast("array<double>")
     query = vectors.where(F.col(id_col) == F.lit(word)).select(values.alias("q")).scalar()
@@ -110,6 +112,7 @@ def most_similar(vectors: DataFrame, word: object, n: int = 5, id_col: str = "to
             .otherwise(F.round(vx.cosine(values, F.col("_query")), 9))
             .alias("similarity"),
         )
+        .where(F.col("similarity").isNotNull())
         .orderBy(F.desc("similarity"), id_col)
         .limit(n)
     )
@@ -117,9 +120,10 @@ def most_similar(vectors: DataFrame, word: object, n: int = 5, id_col: str = "to
     return scored.select(place.alias("rank"), id_col, "similarity")
 
 
-# Rows of one block pair in the batch search; bounds the score matrix of a task to 16 MB.
-QUERY_BLOCK = 512
-VECTOR_BLOCK = 4096
+# Queries that travel to the tasks together, and vectors scored at once: bounds the score
+# matrix of a task to 32 MB.
+QUERY_BLOCK = 4096
+VECTOR_BLOCK = 1024
 
 
 def most_similar_batch(
@@ -128,22 +132,14 @@ def most_similar_batch(
     n: int = 5,
     id_col: str = "token",
     vector: str = "vector",
+    query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """(query, rank, id, similarity) for many query rows at once; exact.
 
-    Both tables are cut into blocks by the hash of the id and meet block by block.  A block
-    pair is one matrix product that hands on only its n best rows per query, so no pair of
-    single rows is ever written out and nothing is collected or broadcast."""
-    parts = max(1, math.ceil(vectors.count() / VECTOR_BLOCK))
-    query_parts = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    block = F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int")
-    query_block = F.pmod(F.xxhash64(id_col), F.lit(query_parts)).cast("int")
-
-    def all_of(count: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    left = queries.select(query_block.alias("qb"), all_of(parts).alias("vb"), id_col, vector)
-    right = vectors.select(block.alias("vb"), all_of(query_parts).alias("qb"), id_col, vector)
+    The queries go to the tasks in blocks of at most `query_block` rows.  The vectors are
+    scored where they lie, each task keeps the n best of each query, and those meet.  No
+    vector is shuffled.  Zero vectors have no similarity and are left out on both sides."""
+    spark = vectors.sparkSession
     id_type = vectors.schema[id_col].dataType
     schema = T.StructType(
         [
@@ -153,28 +149,37 @@ def most_similar_batch(
         ]
     )
 
-    def unit_rows(pdf: pd.DataFrame) -> np.ndarray:
-        rows = np.stack(pdf[vector].to_numpy()).astype("float64")
-        return rows / np.linalg.norm(rows, axis=1, keepdims=True)
-
-    def best_of_block(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or v.empty:
-            return pd.DataFrame({"query": [], id_col: [], "similarity": []})
-        v = v.sort_values(id_col)
-        q_ids, v_ids = q[id_col].to_numpy(), v[id_col].to_numpy()
-        scores = np.round(unit_rows(q) @ unit_rows(v).T, 9)
-        scores[q_ids[:, None] == v_ids[None, :]] = -np.inf
-        # rows are in id order, so a stable sort breaks ties by id
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-        out = pd.DataFrame(
-            {
-                "query": np.repeat(q_ids, order.shape[1]),
-                id_col: v_ids[order].ravel(),
-                "similarity": np.take_along_axis(scores, order, axis=1).ravel(),
-            }
-        )
-        return out[np.isfinite(out["similarity"])]
-
-    best = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(best_of_block, schema)
+    def unit_rows(values: list) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.array([np.asarray(v, "float64") for v in values])
+        sizes = np.linalg.norm(rows, axis=1) if len(rows) else np.zeros(0)
+        return rows / np.where(sizes > 0, sizes, 1)[:, None] if len(rows) else rows, sizes > 0
+
+    def searched(block: list) -> DataFrame:
+        rows, some = unit_rows([r[vector] for r in block])
+        shared = spark.sparkContext.broadcast(([r[id_col] for r, ok in zip(block, some) if ok], rows[some]))
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q = shared.value
+            top: list[list[tuple]] = [[] for _ in ids]
+            for batch in batches:
+                for at in range(0, len(batch), VECTOR_BLOCK):
+                    part = batch.iloc[at : at + VECTOR_BLOCK]
+                    v, able = unit_rows(part[vector].tolist())
+                    names = part[id_col].to_numpy()[able]
+                    order = np.argsort(names, kind="stable")  # ties by id
+                    names, scores = names[order], np.round(q @ v[able][order].T, 9)
+                    first = np.argsort(-scores, axis=1, kind="stable")[:, : n + 1]
+                    for i, places in enumerate(first):
+                        found = [(-scores[i, j], names[j]) for j in places if names[j] != ids[i]]
+                        top[i] = sorted(top[i] + found)[:n]
+            flat = [(ids[i], name, -s) for i, rows in enumerate(top) for s, name in rows]
+            yield pd.DataFrame(flat, columns=["query", id_col, "similarity"])
+
+        return vectors.select(id_col, vector).mapInPandas(best, schema)
+
+    asked, parts = queries.select(id_col, vector).toLocalIterator(), []
+    while block := list(islice(asked, query_block)):
+        parts.append(searched(block))
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), id_col))
-    return best.withColumn("rank", place).where(F.col("rank") <= n).select("query", "rank", id_col, "similarity")
+    return found.withColumn("rank", place).where(F.col("rank") <= n).select("query", "rank", id_col, "similarity")

@@ -23,8 +23,9 @@ MAX_CLASSES = 10_000
 def split_quotas(df: DataFrame, label: str = "label", val_size: float = VAL_SIZE) -> DataFrame:
     """(label, n, n_train, n_val): exact per-class quotas by largest remainder.
 
-    n_val in total is ceil(val_size * rows).  Raises at run time for a class with fewer
-    than two rows, and when either side has fewer rows than there are classes."""
+    n_val in total is ceil(val_size * rows).  Raises at run time for a missing label, for a
+    class with fewer than two rows, and when either side has fewer rows than there are
+    classes."""
     counts = df.groupBy(label).agg(F.count("*").alias("here")).withColumn("bucket", F.lit(""))
     return _with_quotas(counts, label, val_size).select(
         label, "n", "n_train", (F.col("n") - F.col("n_train")).alias("n_val")
@@ -49,6 +50,7 @@ def _with_quotas(counts: DataFrame, label: str, val_size: float) -> DataFrame:
                 "rows": F.sum("here").over(everything).cast("bigint"),
                 "classes": F.count_if(once).over(everything),
                 "smallest": F.min("n").over(everything),
+                "unnamed": F.count_if(F.col(label).isNull()).over(everything),
             }
         )
         .withColumn("train_rows", F.col("rows") - F.ceil(F.lit(float(val_size)) * F.col("rows")))
@@ -59,7 +61,8 @@ def _with_quotas(counts: DataFrame, label: str, val_size: float) -> DataFrame:
 
     fewest = F.least("train_rows", F.col("rows") - F.col("train_rows"))
     checked = (
-        F.when(F.col("smallest") < 2, error("a class has fewer than 2 rows"))
+        F.when(F.col("unnamed") > 0, error("a label is missing"))
+        .when(F.col("smallest") < 2, error("a class has fewer than 2 rows"))
         .when(fewest < F.col("classes"), error("one side of the split has fewer rows than there are classes"))
         .when(F.col("classes") > MAX_CLASSES, error("too many classes"))
         .otherwise(F.col("train_rows"))

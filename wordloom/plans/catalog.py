@@ -445,28 +445,65 @@ def history_files(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def train_word2vec(spark: SparkSession, sf: str) -> DataFrame:
     """Words of a fitted vector model with the width of their vectors."""
-    model = fit.fit_word2vec(written(_all_tokens(spark, sf)), dim=16, epochs=1)
+    model = fit.fit_word2vec(written(_all_tokens(spark, sf)))
     return model_vectors(model).select("token", F.size("vector").alias("dims"))
 
 
-def _features(spark: SparkSession, sf: str) -> DataFrame:
-    prepared, matrix = _matrix(spark, sf)
-    return fit.mlp_features(prepared, matrix, dim=views.DIM)
+def _fit_facts(prepared: Prepared, histories: DataFrame, best: DataFrame) -> DataFrame:
+    """(run_name, n_train, n_val, loss_fell, beats_majority, kept_first_best) per run: what any
+    sound fit on this split must show."""
+    labels = prepared.tokenized.groupBy("split", "label").agg(F.count("*").alias("n"))
+    sizes = labels.groupBy().agg(
+        F.sum(F.when(F.col("split") == "train", F.col("n"))).alias("n_train"),
+        F.sum(F.when(F.col("split") == "val", F.col("n"))).alias("n_val"),
+        F.max(F.when(F.col("split") == "val", F.col("n"))).alias("most"),
+    )
+    first_best = F.max_by("epoch", F.struct("val_macro_f1", -F.col("epoch"))).alias("first_best")
+    shown = histories.groupBy("run_name").agg(
+        (F.max_by("train_loss", "epoch") < F.min_by("train_loss", "epoch")).alias("loss_fell"),
+        F.max("val_acc").alias("acc"),
+        first_best,
+    )
+    sizes_row = sizes.first()  # three numbers
+    return shown.join(best.select("run_name", "best_epoch"), "run_name").select(
+        "run_name",
+        F.lit(sizes_row["n_train"]).cast("bigint").alias("n_train"),
+        F.lit(sizes_row["n_val"]).cast("bigint").alias("n_val"),
+        "loss_fell",
+        (F.col("acc") > sizes_row["most"] / sizes_row["n_val"]).alias("beats_majority"),
+        (F.col("best_epoch") == F.col("first_best")).alias("kept_first_best"),
+    )
 
 
 @query
 def fit_mlp(spark: SparkSession, sf: str) -> DataFrame:
-    """Epoch history of a feed-forward classifier on pooled vectors."""
-    run = fit.train_mlp(_features(spark, sf), 2 * views.DIM, hidden=[32, 16], epochs=3, steps=10)
-    return run.history
+    """A feed-forward classifier of the default size on pooled vectors: facts of its fit."""
+    prepared, matrix = _matrix(spark, sf)
+    run = fit.train_mlp(fit.mlp_features(prepared, matrix, dim=views.DIM), 2 * views.DIM)
+    return _fit_facts(prepared, run.history, run.summary)
+
+
+# Five variants over the network's width and the features' length and pooling.
+VARIANTS = {
+    "base": {},
+    "narrow": {"hidden": [128]},
+    "long": {"max_len": 128},
+    "longer": {"max_len": 160},
+    "mean": {"pooling": "mean"},
+}
 
 
 @query
 def grid_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Leaderboard of two variants of the classifier."""
-    variants = {"narrow": {"hidden": [8]}, "wide": {"hidden": [32, 16]}}
-    table, _ = fit.run_experiments(_features(spark, sf), 2 * views.DIM, variants, epochs=2, steps=5)
-    return table
+    """Facts of the fits of five variants, and whether the leaderboard is in order."""
+    prepared, lazy_matrix = _matrix(spark, sf)
+    build = fit.features_by(prepared, written(lazy_matrix), views.DIM)
+    table, histories = fit.run_experiments(build, None, VARIANTS)
+    table = written(table)
+    facts = _fit_facts(prepared, histories, table)
+    better = F.count_if(F.col("b.best_val_macro_f1") > F.col("a.best_val_macro_f1")).alias("better")
+    ranks = table.alias("a").join(table.alias("b"), F.col("a.run_name") != F.col("b.run_name")).groupBy("a.run_name", "a.rank").agg(better)
+    return facts.join(ranks.select("run_name", (F.col("rank") > F.col("better")).alias("ranked")), "run_name")
 
 
 @query
@@ -498,6 +535,33 @@ def rnn_score_bilstm(spark: SparkSession, sf: str) -> DataFrame:
     return _rnn(spark, sf, spec)
 
 
+@query
+def score_documents_rnn(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents scored from their texts by the one-way GRU: ranked classes."""
+    prepared, matrix = _matrix(spark, sf)
+    spec = RecurrentSpec("gru", views.RNN_HIDDEN, 1, False, "last", dtype="float64")
+    ranked = score.score_documents_rnn(
+        views.load(spark, sf, "documents"), prepared.vocab, matrix, views.rnn_weights(spark, sf, spec), spec,
+        dim=views.DIM, vocab_rows=prepared.vocab_rows,
+    )
+    return ranked.withColumn("prob", F.round("prob", 4))
+
+
+@query
+def score_saved_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A trained run saved, loaded and applied to all texts: rows per document, and whether the
+    classes agree with the run's own validation predictions."""
+    prepared, lazy_matrix = _matrix(spark, sf)
+    matrix = written(lazy_matrix)
+    run = fit.train_mlp(fit.mlp_features(prepared, matrix, dim=views.DIM), 2 * views.DIM)
+    folder = shared_path(spark)
+    fit.save_run(run, folder, prepared=prepared, matrix=matrix)
+    ranked = fit.load_run(spark, f"{folder}/{run.run_name}").score(views.load(spark, sf, "documents"))
+    own = run.predictions.select("doc_id", "y_pred")
+    per_doc = ranked.groupBy("doc_id").agg(F.count("*").alias("classes"), F.min_by("label_id", "rank").alias("top"))
+    return per_doc.join(own, "doc_id", "left").select("doc_id", "classes", F.coalesce(F.col("top") == F.col("y_pred"), F.lit(True)).alias("agrees"))
+
+
 def _rnn(spark: SparkSession, sf: str, spec: RecurrentSpec) -> DataFrame:
     prepared, matrix = _matrix(spark, sf)
     weights = views.rnn_weights(spark, sf, spec)

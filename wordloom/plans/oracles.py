@@ -4,7 +4,7 @@ Written independently of the operators: single windows, plain joins, long form."
 
 from __future__ import annotations
 
-from wordloom.settings import LABEL_NAMES, NA_STRINGS, TOKEN_PATTERN
+from wordloom.settings import LABEL_NAMES, NA_STRINGS, TOKEN_PATTERN, VECTOR_DIM
 
 ORACLES: dict[str, str] = {}
 
@@ -76,7 +76,7 @@ PIECES: dict[str, tuple[list[str], str]] = {
                      ('0x' || substr(md5('42|' || idx || '|' || (dim // 4)), 16 * (dim % 4 // 2) + 1, 8))::BIGINT::DOUBLE AS a,
                      ('0x' || substr(md5('42|' || idx || '|' || (dim // 4)), 16 * (dim % 4 // 2) + 9, 8))::BIGINT::DOUBLE AS b
               FROM vocab CROSS JOIN (SELECT unnest(range(64)) AS dim)) u ON u.idx = v.idx AND u.dim = d.dim
-        LEFT JOIN embeddings e ON e.vec_id = v.idx AND v.idx >= 2"""),
+        LEFT JOIN embeddings e ON e.vec_id = v.idx - 2"""),
     "pooled": (["tok", "cut", "matrix"], """
         SELECT t.doc_id, d.dim, coalesce(p.mean_x, 0.0) AS mean_x, coalesce(p.max_x, 0.0) AS max_x
         FROM tok t CROSS JOIN (SELECT unnest(range(64)) AS dim) d
@@ -110,6 +110,7 @@ PIECES: dict[str, tuple[list[str], str]] = {
         SELECT 'run_' || user_id AS run_name,
                (row_number() OVER (PARTITION BY user_id ORDER BY event_id))::INTEGER AS epoch,
                round(1 / (2 + value), 4) AS train_loss,
+               round(value / (value + 11), 4) AS train_acc,
                round(round(value / (value + 10), 4) + (props::JSON ->> '$.k')::DOUBLE / 1000, 4) AS train_macro_f1,
                round(1 / (1 + value), 4) AS val_loss,
                round(value / (value + 12), 4) AS val_acc,
@@ -142,7 +143,7 @@ PIECES: dict[str, tuple[list[str], str]] = {
     "overrides": ([], """
         SELECT 'run_' || c_custkey AS run_name,
                CASE WHEN c_mktsegment = 'BUILDING' THEN c_nationkey END::INTEGER AS best_epoch, c_mktsegment
-        FROM customer WHERE c_acctbal >= 0"""),
+        FROM customer"""),
 }
 
 # One-way GRU, 8 units, weights cut from consecutive embedding rows: 24 input rows, 24
@@ -327,7 +328,7 @@ oracle(
                array_to_string(list(round(x * 1e6::DOUBLE)::BIGINT ORDER BY dim), ' ') AS vector
         FROM matrix GROUP BY idx, token, found""",
 )
-IN_VECTORS = "(SELECT vec_id FROM embeddings WHERE vec_id >= 2)"
+IN_VECTORS = "(SELECT vec_id + 2 FROM embeddings)"
 oracle("vocab_with_vector", "vocab", body=f"SELECT idx::INTEGER AS idx, token FROM vocab WHERE idx IN {IN_VECTORS}")
 oracle("vocab_oov", "vocab", body=f"SELECT idx::INTEGER AS idx, token FROM vocab WHERE idx NOT IN {IN_VECTORS}")
 oracle(
@@ -444,16 +445,24 @@ oracle(
     "history_series", "history",
     body=" UNION ALL ".join(
         f"SELECT run_name, epoch, '{c}' AS metric, {c} AS value FROM history"
-        for c in ("train_loss", "val_loss", "val_acc", "val_macro_f1")
+        for c in ("train_loss", "val_loss", "train_acc", "val_acc", "val_macro_f1")
     ),
 )
 
 # --- fits and scoring --------------------------------------------------------------------------------
 oracle(
     "train_word2vec",
-    body=f"SELECT token, 16 AS dims FROM (SELECT unnest(regexp_extract_all(lower(text), {PATTERN}, 0)) AS token "
+    body=f"SELECT token, {VECTOR_DIM} AS dims FROM (SELECT unnest(regexp_extract_all(lower(text), {PATTERN}, 0)) AS token "
     "FROM documents) GROUP BY token HAVING count(*) >= 5",
 )
+FIT_FACTS = """(SELECT count(*) FROM split WHERE split = 'train') AS n_train, (SELECT count(*) FROM split WHERE split = 'val') AS n_val,
+       true AS loss_fell, true AS beats_majority, true AS kept_first_best"""
+oracle("fit_mlp", "split", body=f"SELECT 'mlp' AS run_name, {FIT_FACTS}")
+oracle(
+    "grid_search", "split",
+    body=f"""SELECT run_name, {FIT_FACTS}, true AS ranked
+             FROM (VALUES ('base'), ('narrow'), ('long'), ('longer'), ('mean')) v(run_name)""",
+)
 oracle(
     "score_documents", "tok", "pooled",
     body=f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, label_id))::INTEGER AS rank, label_id,
@@ -504,3 +513,10 @@ oracle(
     body="SELECT token, dim::INTEGER AS dim, round(x, 6) AS x FROM matrix WHERE found",
 )
 oracle("history_files", "history", body="SELECT * FROM history")
+
+# text to ranked classes: the soft-max of the recurrent scores
+ORACLES["score_documents_rnn"] = f"""
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, label_id))::INTEGER AS rank, label_id::INTEGER AS label_id,
+       CASE label_id {' '.join(f"WHEN {i} THEN {quoted(n)}" for i, n in enumerate(LABEL_NAMES))} END AS label_name, round(p, 4) AS prob
+FROM (SELECT doc_id, label_id, exp(logit) / sum(exp(logit)) OVER (PARTITION BY doc_id) AS p FROM ({ORACLES["rnn_score"]}))"""
+ORACLES["score_saved_run"] = f"SELECT doc_id, {len(LABEL_NAMES)}::BIGINT AS classes, true AS agrees FROM documents"

@@ -7,9 +7,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.operators import classify, embedding
+from wordloom.operators import classify, embedding, recurrent
 from wordloom.operators.documents import tokenize
 from wordloom.operators.encoding import encode
+from wordloom.operators.recurrent import RecurrentSpec
 from wordloom.session import spread
 from wordloom.settings import LABEL_NAMES, MAX_LEN, VECTOR_DIM
 
@@ -49,3 +50,23 @@ def score_documents(
     """(doc_id, rank, label_id, label_name, prob) for every document and class."""
     features = text_features(docs, vocab, matrix, **options)
     return classify.ranked_probs(score_features(features, model), "doc_id", names)
+
+
+def score_documents_rnn(
+    docs: DataFrame,
+    vocab: DataFrame,
+    matrix: DataFrame,
+    weights: DataFrame,
+    spec: RecurrentSpec,
+    names: list[str] = LABEL_NAMES,
+    max_len: int = MAX_LEN,
+    lower: bool = True,
+    dim: int = VECTOR_DIM,
+    vocab_rows: int | None = None,
+) -> DataFrame:
+    """The same by a recurrent network with imported weights: text to tokens, ids, scores and
+    ranked classes."""
+    tokens = tokenize(spread(docs.select("doc_id", "text"), "doc_id"), lower=lower)
+    encoded = encode(tokens, vocab, max_len, vocab_rows=vocab_rows)
+    scored = recurrent.rnn_score(encoded, matrix, weights, spec, dim=dim, matrix_rows=vocab_rows)
+    return classify.ranked_probs(classify.with_probabilities(scored).select("doc_id", "probs"), "doc_id", names)

@@ -54,9 +54,9 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_vectors(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
-    """(token, vector): the vocabulary word `idx` owns the embedding with that id, so low
-    ids have a vector and high ids have none."""
-    emb = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vector"))
+    """(token, vector): the vocabulary words, from 2 on, own the embeddings in order of their
+    ids, so low ids have a vector and high ids have none."""
+    emb = load(spark, sf_dir, "embeddings").select((F.col("vec_id") + 2).alias("idx"), F.col("embedding").alias("vector"))
     words = vocab.where(F.col("idx") >= 2).select(F.col("idx").cast("bigint").alias("idx"), "token")
     return words.join(emb, "idx").select("token", "vector")
 
@@ -75,7 +75,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run_name, epoch, train_loss, train_macro_f1, val_loss, val_acc, val_macro_f1): the
+    """(run_name, epoch, train_loss, train_acc, train_macro_f1, val_loss, val_acc, val_macro_f1): the
     events of a user are the epochs of a run; an error event logs NaN."""
     events = load(spark, sf_dir, "events").select(
         F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run_name"), "event_id", "event_type", "value", "props"
@@ -87,6 +87,7 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         "run_name",
         F.col("epoch").cast("int").alias("epoch"),
         F.round(1 / (2 + F.col("value")), 4).alias("train_loss"),
+        F.round(F.col("value") / (F.col("value") + 11), 4).alias("train_acc"),
         F.round(score + gain, 4).alias("train_macro_f1"),
         F.round(1 / (1 + F.col("value")), 4).alias("val_loss"),
         F.round(F.col("value") / (F.col("value") + 12), 4).alias("val_acc"),
@@ -96,10 +97,9 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_name, best_epoch, c_mktsegment): customers override runs of the same number;
-    debtors carry no override, so some runs stay as they are."""
+    runs without a customer stay as they are."""
     return (
         load(spark, sf_dir, "customer")
-        .where(F.col("c_acctbal") >= 0)
         .select(
             F.concat(F.lit("run_"), F.col("c_custkey").cast("string")).alias("run_name"),
             F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_nationkey").cast("int")).alias("best_epoch"),

@@ -40,6 +40,7 @@ GENERATED_STD = 0.05
 W2V_WINDOW = 5
 W2V_MIN_COUNT = 5
 W2V_EPOCHS = 5
+W2V_PARTITIONS = 4
 
 # Norm layers.
 RMS_EPS = 1e-8

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.operators.documents import derive_documents, require_columns
+from wordloom.session import bounded_join, written
 from wordloom.settings import CSV_COLUMNS
 
 DEFAULT_PATH = "data/train.csv"
@@ -51,11 +52,19 @@ def read_raw_csv(spark: SparkSession, path: str | None = None, multi_line: bool
     """All columns as strings plus `doc_id`.  Quotes are doubled inside quoted fields.
 
     `multi_line=False` lets Spark split large files; use it when no field holds a newline.
-    `doc_id` counts rows per file split: write the table once and keep the id from there."""
+    The files are parsed once, into the shared folder.  `doc_id` is the place of a row in its
+    file after all rows of the files before it by name, whatever the splits were."""
     path = resolve_csv(spark, path)
     df = spark.read.options(multiLine=multi_line, **FORMAT).csv(path)
     require_columns(df, CSV_COLUMNS)
-    return df.withColumn("doc_id", F.monotonically_increasing_id())
+    file, begin = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    # the id rises by one from row to row of a split
+    landed = written(df.select("*", file.alias("_file"), begin.alias("_begin"), F.monotonically_increasing_id().alias("_row")))
+    splits = landed.groupBy("_file", "_begin").agg(F.min("_row").alias("_first"), F.count("*").alias("_rows"))
+    earlier = Window.orderBy("_file", "_begin").rowsBetween(Window.unboundedPreceding, -1)  # a row per split
+    starts = written(splits.withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows"))
+    placed = bounded_join(landed, starts, ["_file", "_begin"], starts.count(), 512)
+    return placed.select(*df.columns, (F.col("_start") + F.col("_row") - F.col("_first")).cast("bigint").alias("doc_id"))
 
 
 def read_labelled_csv(spark: SparkSession, path: str | None = None, multi_line: bool = True) -> DataFrame:
