@@ -97,17 +97,30 @@ def shared_grams(docs: DataFrame, length: int, gram: int) -> np.ndarray:
                 third = np.concatenate([[False, False], (g[2:] == g[:-2])])[: len(g)]
                 yield pa.RecordBatch.from_arrays([pa.array(g[~third].view(np.int64))], ["g"])
 
+    half = FILTER_BITS // 2  # bits of a block's number; the rest lies in the block
+    inner = FILTER_BITS - half
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            for b in np.unique(place >> inner).tolist():
+                if b not in blocks:
+                    blocks[b] = np.zeros(1 << inner, bool)
+                blocks[b][place[place >> inner == b] & ((1 << inner) - 1)] = True
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(blocks), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in blocks.values()], pa.binary())],
+            ["block", "bits"],
+        )
+
     places = docs.select("text").mapInArrow(run, "g bigint")
     shared = places.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    place = F.pmod("g", F.lit(1 << FILTER_BITS))
-    # 1 << 63 is the sign bit; shiftleft wraps, and so does the field
-    words = shared.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(g, {1 << FILTER_BITS}), 64) as int))")).alias("bits")
-    )
-    got = words.toPandas()  # at most 2^(FILTER_BITS - 6) rows
-    field = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    field[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
-    return field
+    place = shared.select(F.pmod("g", F.lit(1 << FILTER_BITS)).alias("place"))
+    filled = place.repartition(F.shiftright("place", inner)).mapInArrow(fill, "block int, bits binary")
+    field = np.zeros((1 << half, 1 << (inner - 3)), np.uint8)
+    for row in filled.toLocalIterator():  # the blocks of one field of fixed size
+        field[row["block"]] |= np.frombuffer(row["bits"], np.uint8)
+    return field.ravel()
 
 
 def segments(docs: DataFrame, field: np.ndarray, length: int, gram: int) -> DataFrame:
@@ -122,7 +135,7 @@ def segments(docs: DataFrame, field: np.ndarray, length: int, gram: int) -> Data
             for part in B.slices(batch, "text", SLICE_BYTES):
                 found = Segments(part.column("text"), length, gram)
                 place = found.gram & mask
-                some = np.flatnonzero(bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1))
+                some = np.flatnonzero(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
                 if not len(some):
                     continue
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
