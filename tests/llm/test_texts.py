@@ -203,7 +203,9 @@ def kept_lines(spark, rows, keys):
     hashed = spark.createDataFrame([(w,) for w in every], "w string").select("w", F.xxhash64("w")).collect() if every else []
     code = {r[0]: r[1] & (2**64 - 1) for r in hashed}
     names = list(places)
-    sims = [sum(1 << k for k in range(64) if 2 * sum(code[w] >> k & 1 for w in n) > len(n)) for n in names]
+    looked = [{w for w in n if len(w) >= lines.LONG} for n in names]
+    looked = [x if len(x) >= lines.MIN_WORDS else set(n) for x, n in zip(looked, names)]
+    sims = [sum(1 << k for k in range(64) if 2 * sum(code[w] >> k & 1 for w in x) > len(x)) for x in looked]
     root = list(range(len(names)))
 
     def find(x):
@@ -214,7 +216,8 @@ def kept_lines(spark, rows, keys):
     for a, b in combinations(range(len(names)), 2):
         agree = sum(((sims[a] ^ sims[b]) >> s) & ((1 << n) - 1) == 0 for s, n in lines.BLOCKS)
         longer = max(len(names[a]), len(names[b]))
-        if agree >= lines.AGREE and 5 * distance(names[a], names[b]) <= longer:
+        near = (sims[a] ^ sims[b]).bit_count() <= lines.MOST_BITS
+        if agree >= lines.AGREE and near and 5 * distance(names[a], names[b]) <= longer:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     groups = defaultdict(set)
