@@ -21,7 +21,7 @@ def spark(tmp_path_factory):
     spark_session.stop()
 
 
-@pytest.fixture(params=[session.BROADCAST_BYTES, -1], ids=["broadcast", "salted"])
+@pytest.fixture(params=[session.BROADCAST_BYTES, -1], ids=["broadcast", "merged"])
 def budget(request, monkeypatch):
     """Runs a test with the usual broadcast budget and with none."""
     monkeypatch.setattr(session, "BROADCAST_BYTES", request.param)
