@@ -28,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm import batches as B
@@ -203,6 +203,25 @@ def possible(percent: int):
     return sizes & ((pos < 0) | (qos < 0) | ((100 + percent) * most >= percent * (n + m)))
 
 
+def likely(pairs: DataFrame, prefixes: DataFrame, percent: int, boundary: int) -> DataFrame:
+    """The pairs (a, b, n, m) that may link by their common prefix shingles, as (a, b).
+
+    All common shingles up to the earlier end of two prefixes lie in both, so the intersection is
+    at most their number and what follows the prefix of that set.  Pairs with a light set stay:
+    they may have met in a subset."""
+
+    def behind(n: str) -> Column:
+        return F.ceil(F.lit(percent) * F.col(n) / 100) - 1
+
+    one = prefixes.select(F.col("f").alias("a"), F.col("tokens").alias("x"))
+    two = prefixes.select(F.col("f").alias("b"), F.col("tokens").alias("y"))
+    heavy = pairs.where(F.least("n", "m") > boundary).join(one, "a").join(two, "b")
+    common = F.size(F.array_intersect("x", "y"))
+    most = common + F.greatest(behind("n"), behind("m"))
+    enough = heavy.where((100 + percent) * most >= percent * (F.col("n") + F.col("m"))).select("a", "b")
+    return enough.unionByName(pairs.where(F.least("n", "m") <= boundary).select("a", "b"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, text: str, width: int, percent: int) -> DataFrame:
     """The links (a, b) among the pairs (a, b), by exact counts; texts: (f, text)."""
     one = texts.select(F.col("f").alias("a"), F.col(text).alias("text_a"))
@@ -250,10 +269,11 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     listed = postings(docs, text, width, percent, crowded, boundary)
     # only lists of two classes or more matter; hot lists are minima per task, then one row
     hubs = listed.groupBy("token").agg(F.min("f").alias("hub"), F.max("f").alias("top")).where("hub < top").drop("top")
-    shared = written(listed.hint("merge").join(hubs, "token"))
+    shared = written(listed.hint("merge").join(hubs, "token").dropDuplicates(["token", "f"]))
+    prefixes = written(shared.where("pos >= 0").groupBy("f").agg(F.collect_list("token").alias("tokens")))
     heads = shared.where("f = hub").groupBy("token").agg(F.first("n").alias("m"), F.first("pos").alias("qos"))
     near = shared.where("f <> hub").hint("merge").join(heads, "token").where(possible(percent))
-    first = written(near.select(F.col("f").alias("a"), F.col("hub").alias("b")).distinct())
+    first = written(near.select(F.col("f").alias("a"), F.col("hub").alias("b"), "n", "m").dropDuplicates(["a", "b"]))
     sources = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text))
     classes = rows.where("f <> 0").groupBy("f").agg(F.min("doc_id").alias("doc_id"))
 
@@ -264,7 +284,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         found = bounded_join(sources, wanted, "doc_id", wanted.count(), 64, how="inner").select("_f", text)
         return written(_of_class(found, text, width))
 
-    links = written(verified(first, texts_of(first), text, width, percent))
+    close = written(likely(first, prefixes, percent, boundary))
+    links = written(verified(close, texts_of(close), text, width, percent))
     roots = written(components(links))
     # what is left: pairs of a list between components
     of = shared.join(roots.select(F.col("node").alias("f"), "root"), "f", "left").withColumn("root", F.coalesce("root", "f"))
@@ -272,8 +293,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     members = written(of.join(mixed, "token", "left_semi").select("token", "f", "n", "pos", "root"))
     others = members.select("token", F.col("f").alias("g"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("root").alias("other"))
     cross = members.hint("merge").join(others, "token").where("f < g and root <> other").where(possible(percent))
-    rest = cross.select(F.col("f").alias("a"), F.col("g").alias("b")).distinct()
-    rest = written(rest.join(first.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti"))
+    rest = cross.select(F.col("f").alias("a"), F.col("g").alias("b"), "n", "m").dropDuplicates(["a", "b"])
+    rest = rest.join(first.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti")
+    rest = written(likely(written(rest), prefixes, percent, boundary))
     more = written(verified(rest, texts_of(rest), text, width, percent)) if rest.head(1) else links.limit(0)
     return rows, links.unionByName(more)
 
