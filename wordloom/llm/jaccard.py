@@ -268,7 +268,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     boundary = light_boundary(docs, text, width, percent, crowded)
     listed = postings(docs, text, width, percent, crowded, boundary)
     # only lists of two classes or more matter; hot lists are minima per task, then one row
-    hubs = listed.groupBy("token").agg(F.min("f").alias("hub"), F.max("f").alias("top")).where("hub < top").drop("top")
+    hubs = listed.groupBy("token").agg(
+        F.min("f").alias("hub"), F.max("f").alias("top"), (F.count("*") > 2).alias("many")
+    ).where("hub < top").drop("top")
     shared = written(listed.hint("merge").join(hubs, "token").dropDuplicates(["token", "f"]))
     prefixes = written(shared.where("pos >= 0").groupBy("f").agg(F.collect_list("token").alias("tokens")))
     heads = shared.where("f = hub").groupBy("token").agg(F.first("n").alias("m"), F.first("pos").alias("qos"))
@@ -287,8 +289,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     close = written(likely(first, prefixes, percent, boundary))
     links = written(verified(close, texts_of(close), text, width, percent))
     roots = written(components(links))
-    # what is left: pairs of a list between components
-    of = shared.join(roots.select(F.col("node").alias("f"), "root"), "f", "left").withColumn("root", F.coalesce("root", "f"))
+    # what is left: pairs of a list between components; a list of two has no other pair
+    of = shared.where("many").join(roots.select(F.col("node").alias("f"), "root"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     mixed = of.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
     members = written(of.join(mixed, "token", "left_semi").select("token", "f", "n", "pos", "root"))
     others = members.select("token", F.col("f").alias("g"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("root").alias("other"))
