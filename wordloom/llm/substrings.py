@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm import batches as B
+from wordloom.session import bounded_join, written
 
 LENGTH = 50
 GRAM = 20
@@ -278,15 +279,32 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(body).alias("key"), body.alias("text"))
 
 
+def joined_runs(runs: Column) -> Column:
+    """Runs (start, size) in order, those that touch or overlap made one."""
+
+    def add(done: Column, run: Column) -> Column:
+        last = F.element_at(done, -1)
+        end = last["start"] + last["size"]
+        longer = F.struct(last["start"].alias("start"), (F.greatest(end, run["start"] + run["size"]) - last["start"]).alias("size"))
+        widened = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))
+        return F.when((F.size(done) > 0) & (run["start"] <= end), widened).otherwise(F.concat(done, F.array(run)))
+
+    none = F.slice(runs, F.lit(1), F.lit(0))
+    return F.aggregate(runs, none, add)
+
+
 def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, key, text, runs): every row with the byte runs to remove, as (start, size),
-    which may overlap; null if there are none."""
+    """(doc_id, key, text, runs): every row with the byte runs to remove, as (start, size) in
+    order; null if there are none.  The runs reach the texts by a size-checked join."""
     rows = keyed(docs, key, text)
     able = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     field = shared_grams(able, length, gram)
     cuts = removals(segments(able, field, length, gram), length)
-    runs = cuts.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
-    return rows.join(runs.hint("merge"), ["doc_id", "key"], "left")
+    found = F.sort_array(F.collect_list(F.struct("start", "size")))  # at most the windows of one text
+    runs = written(cuts.groupBy("doc_id", "key").agg(joined_runs(found).alias("runs")))
+    count, spans = runs.agg(F.count("*"), F.sum(F.size("runs"))).first()
+    row_bytes = 96 + 32 * (spans or 0) // max(1, count)
+    return bounded_join(rows, runs, ["doc_id", "key"], count, row_bytes)
 
 
 def cut(data: bytes, runs: list[dict] | None) -> tuple[bytes, list[tuple[int, int]]]:
