@@ -32,6 +32,8 @@ HEADLINE = [
     "leaderboard",
     "score_documents",
     "rnn_score",
+    "rnn_score_bilstm",
+    "batch_files",
 ]
 
 
