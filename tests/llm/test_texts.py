@@ -250,6 +250,53 @@ def test_lines(spark, docs, rows, nothing):
     assert lines.dedup(nothing).columns == nothing.columns and lines.dedup(nothing).count() == 0
 
 
+def test_lines_finds_all_similar_pairs(spark):
+    """Against edit similarity alone, at and around the limit and over common words."""
+    rng = random.Random(21)
+    vocab = [f"word{i}" for i in range(3_000)]
+    texts = []
+    for n in [5, 6, 8, 9, 10, 12, 14, 15, 19, 24, 40, 70, 100] * 6:
+        line = [rng.choice(vocab[:12] if rng.random() < 0.4 else vocab) for _ in range(n)]
+        texts.append(line)
+        for edits in (n // 5, n // 5 + 1, (n + 1) // 5):
+            other = list(line)
+            for _ in range(edits):
+                i = rng.randrange(len(other))
+                kind = rng.randrange(3)
+                other[i : i + (kind != 1)] = [] if kind == 2 else [rng.choice(vocab)]
+            texts.append(other)
+    texts = list(dict.fromkeys(" ".join(t) for t in texts if len(t) >= lines.MIN_WORDS))
+    rng.shuffle(texts)
+    split = [t.split() for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(range(len(texts)), 2):
+        longer = max(len(split[a]), len(split[b]))
+        if 5 * abs(len(split[a]) - len(split[b])) <= longer and 5 * len(set(split[a]) - set(split[b])) <= longer:
+            if 5 * distance(split[a], split[b]) <= longer:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    want = {i for i in range(len(texts)) if find(i) == i}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in lines.dedup(df).where("text <> ''").collect()} == want
+
+
+def test_lines_on_edge_rows_without_the_gate(spark, docs, monkeypatch):
+    """The rows of `docs`, with the brute force looking at all pairs."""
+    table = docs.select("doc_id", "text")
+    data = [(r[0], r[1]) for r in table.collect()]
+    keys = {(r["_id"], r["text"]): r["_key"] for r in lines.keyed(table, "doc_id", "text").collect()}
+    got = Counter((r["doc_id"], r["text"]) for r in lines.dedup(table).collect())
+    monkeypatch.setattr(lines, "AGREE", 0)
+    monkeypatch.setattr(lines, "MOST_BITS", 64)
+    assert got == kept_lines(spark, data, keys)
+
+
 @pytest.mark.parametrize("n", [1, 5, 63, 64, 300, 17_000])
 def test_simhash_counters(spark, n):
     rng = random.Random(n)
