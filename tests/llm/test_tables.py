@@ -266,3 +266,20 @@ def test_tree_matching():
     found = dom.match(a, b)  # places: r0 x1 p2 y3 z4 p5 q6 / r0 x1 z2 q3 y4
     assert found == {0: 0, 1: 1, 4: 2, 6: 3}
     assert dom.match(a, ("other", ())) == {}
+
+
+def test_mix_keeps_null_ids_and_sources_apart(spark):
+    def text(tag, n):
+        return " ".join(f"{tag}{i}" for i in range(n))
+
+    rows = [(i, text(f"x{i}w", 320), "a") for i in range(20)]
+    rows += [(None, text("n1w", 640), "a"), (None, text("n2w", 640), None), (None, text("n3w", 640), "b")]
+    rows += [(900, text("both", 640), "a"), (900, text("both", 640), "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    _, spans = mixing.mix(mixing.sized(df))
+    want = spans.groupBy("source_no").agg(F.sum(F.col("last") - F.col("first")).alias("n")).collect()
+    want = {("a", "b", None)[r["source_no"]]: r["n"] for r in want}
+    got = dict.fromkeys(want, 0)
+    for r in mixing.mixed_documents(df).collect():
+        got[r["source"]] += len(r["text"].split())
+    assert got == want

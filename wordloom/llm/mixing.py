@@ -213,8 +213,9 @@ def cut_text(text: Column, spans: Column) -> Column:
 
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """The mix as documents: for every turn over its source a document comes once more, with
-    the words taken in that turn.  The columns of `docs`; equal rows share one choice."""
-    _, spans = mix(sized(docs, text, source, key))
+    the words taken in that turn.  The columns of `docs`; equal rows (id, text and source) share
+    one choice.  A null id is an id like any other."""
+    rows, spans = mix(sized(docs, text, source, key))
     pieces = spans.groupBy("doc_id", "text_hash", "source_no", "start", "turn").agg(
         F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")
     )
@@ -223,8 +224,11 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
     pieces = pieces.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "source_no").agg(
         F.collect_list(F.struct("turn", "spans")).alias("_turns")
     )
+    names = rows.select("source_no", F.col("source").alias("_source")).distinct()  # one row per source
+    pieces = pieces.join(names, "source_no")
     marked = docs.withColumn("_key", F.xxhash64(F.col(text)))
-    joined = marked.join(pieces.hint("merge"), (F.col(key) == F.col("_doc")) & (F.col("_key") == F.col("_hash")))
+    same = F.col(key).eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_hash")) & F.col(source).eqNullSafe(F.col("_source"))
+    joined = marked.join(pieces.hint("merge"), same)
     joined = joined.withColumn("_turn", F.explode("_turns"))
     # slices want whole words only once per row, so the cut is one expression over the array
     cut = joined.withColumn(text, cut_text(F.col(text), F.transform("_turn.spans", lambda s: F.struct(s["first"].cast("int").alias("first"), s["last"].cast("int").alias("last")))))
