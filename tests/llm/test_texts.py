@@ -85,6 +85,25 @@ def test_quality_divergence(spark):
     assert kept == set(range(60))
 
 
+def test_quality_limits_are_in_reach(spark):
+    """Wrong languages, word lists and short junk go; clean short texts of each language stay."""
+    rng = random.Random(5)
+    common = {"en": "the of and to in a is it".split(), "de": "der die das und zu den von mit".split()}
+    rare = {lang: [f"{s}{a}{b}" for a in "abcdefghijklm" for b in "nopqrstuvwxyz" for s in ss] for lang, ss in (("en", ["stone", "wal"]), ("de", ["berg", "licht"]))}
+
+    def clean(lang, n):
+        return " ".join(rng.choice(common[lang]) if rng.random() < 0.23 else rng.choice(rare[lang]) for _ in range(n))
+
+    base = [(clean(lang, n), lang) for lang in common for n in [300] * 40 + [25, 40, 80] * 4]
+    bad = [(clean("de", 200), "en"), (clean("en", 80), "de"), (" ".join(rng.choice(rare["en"]) for _ in range(150)), "en")]
+    bad += [(" ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(120)), "de")]
+    bad += [(" ".join(f"{w}###" if i % 2 else f"{rng.getrandbits(30)}$$$" for i, w in enumerate(clean("en", 20).split())), "en")]
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(base + bad)], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert {i for i, r in got.items() if r["kept"]} == set(range(len(base)))
+
+
 def test_bpe_equals_library(docs, rows, nothing, spark):
     library = Tokenizer.from_file(TOKENIZER)
     odd = ["Don't 'RE x's", "<|endoftext|>a<|startoftext|>", "İΑΣ é ﬁ", "a\x1cb\x85c　d", "日本語🙂", "aaaaaaaaaaa", "２³½"]

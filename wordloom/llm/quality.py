@@ -3,7 +3,8 @@
 Method: the share of every character class and of the most common words of a document is
 compared with the same histogram of its language, by the Jensen-Shannon distance (base 2, so
 between 0 and 1).  The references are counted over all documents of a language.  A document
-that is too short for a histogram passes that comparison.
+that is too short for a histogram passes that comparison.  The word limit is at most a share of
+the distance of a document without any common word, so it is in reach in every language.
 
 Only DataFrame functions.  Null text: no words, so `base_failed`.  Null and empty `lang` form
 one language.  Equal rows get equal verdicts; an empty table gives no rows; other columns of
@@ -32,11 +33,12 @@ WINDOW_WORDS = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 COMMON_WORDS = 24  # common words of a language in its reference
-MIN_CLASS_CHARS = 300  # shorter texts have no class histogram
+MIN_CLASS_CHARS = 100  # shorter texts have no class histogram
 MIN_HISTOGRAM_WORDS = 60  # shorter texts have no word histogram
 MIN_REFERENCE_WORDS = 2_000  # languages with fewer words have no reference
 MAX_CLASS_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.42
+MAX_WORD_SHARE = 0.9  # of the distance that a document without any common word has
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
@@ -194,8 +196,11 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
             "word_distance": js_distance(F.col("_word_share"), F.col("ref_word_share")),
         }
     )
+    # a text of another language, a list of rare words: its distance ends where no word is common
+    none = F.transform("ref_word_share", lambda _, i: F.when(i == F.size("ref_words"), F.lit(1.0)).otherwise(F.lit(0.0)))
+    without = MAX_WORD_SHARE * js_distance(none, F.col("ref_word_share"))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (
-        F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE
+        F.coalesce("word_distance", F.lit(0.0)) <= F.coalesce(F.least(F.lit(MAX_WORD_DISTANCE), without), F.lit(MAX_WORD_DISTANCE))
     )
     out = out.withColumn("kept", ~F.col("base_failed") & near)
     kept_columns = [c for c in docs.columns if c not in [*BASE, *new]]
