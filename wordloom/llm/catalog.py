@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import ann, bpe, chat, jaccard, lines, mixing, pages, quality, substrings, toxicity
+from wordloom.llm import ann, audit, bpe, chat, jaccard, lines, mixing, pages, quality, substrings, toxicity
 from wordloom.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "REGISTRY"]
@@ -82,3 +82,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pages")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(load(spark, sf_dir, "pages"))
+
+
+@query("op11_audit")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))

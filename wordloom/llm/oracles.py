@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wordloom.llm import chat, jaccard, quality, substrings
+from wordloom.llm import audit, chat, jaccard, quality, substrings
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -155,4 +155,45 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_bytes, coalesce(g, 0)::BIGINT AS n_
 FROM base d LEFT JOIN summed USING (doc_id)
 """
 
-ORACLES = {"op1_quality": OP1, "op3_chat": OP3, "op6_jaccard": OP6, "op8_substrings": OP8}
+OP11 = rf"""
+WITH base AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+failed AS (
+  SELECT doc_id, part,
+    len(ws) < {audit.MIN_WORDS} AS a, 100 * len(list_distinct(ws)) < {audit.MIN_DISTINCT_PERCENT} * len(ws) AS b,
+    100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > {audit.MAX_UPPER_PERCENT} * length(t) AS c,
+    regexp_matches(t, '{audit.SYMBOLS}') AS d, doc_id > min(doc_id) OVER (PARTITION BY t) AS e
+  FROM base),
+masked AS (
+  SELECT part, (a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT) AS mask,
+         coalesce(quality = 1, false)::INT AS good, coalesce(toxic = 1, false)::INT AS toxic
+  FROM failed f LEFT JOIN labels l ON l.doc_id = f.doc_id),
+sets AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masked GROUP BY part, mask),
+letters AS (SELECT substr('{audit.FILTERS}', i + 1, 1) AS x, (1 << i)::INT AS bit FROM range(5) r(i)),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order
+  FROM letters p, letters q, letters r, letters s, letters t
+  WHERE p.bit + q.bit + r.bit + s.bit + t.bit = 31 AND p.bit | q.bit | r.bit | s.bit | t.bit = 31),
+steps AS (
+  SELECT filter_order, k::INT AS step, (SELECT bit FROM letters WHERE x = substr(filter_order, k, 1)) AS own
+  FROM orders, range(1, 6) r(k)),
+placed AS (
+  SELECT *, coalesce(sum(own) OVER (PARTITION BY filter_order ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS before
+  FROM steps),
+counted AS (
+  SELECT part, filter_order, step, any_value(own) AS own,
+    sum(CASE WHEN mask & (own | before) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN mask & own <> 0 AND mask & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM placed, sets GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM counted
+"""
+
+ORACLES = {"op1_quality": OP1, "op3_chat": OP3, "op6_jaccard": OP6, "op8_substrings": OP8, "op11_audit": OP11}
