@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import ann, audit, bpe, chat, jaccard, lines, mixing, pages, quality, substrings, toxicity
+from wordloom.llm import ann, audit, bpe, chat, collocations, ctw, jaccard, lines, mixing, pages, quality, substrings, toxicity
 from wordloom.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "REGISTRY"]
@@ -87,3 +87,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_audit")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@query("op12_ctw")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(load(spark, sf_dir, "documents"))
+
+
+@query("op13_collocations")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(load(spark, sf_dir, "documents"))

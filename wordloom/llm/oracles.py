@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wordloom.llm import audit, chat, jaccard, quality, substrings
+from wordloom.llm import audit, chat, collocations, jaccard, quality, substrings
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -196,4 +196,38 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 FROM counted
 """
 
-ORACLES = {"op1_quality": OP1, "op3_chat": OP3, "op6_jaccard": OP6, "op8_substrings": OP8, "op11_audit": OP11}
+_CUTS = r"[.,;:!?\x0A-\x0D]"
+OP13 = rf"""
+WITH pieces AS (
+  SELECT lang, p, row_number() OVER () AS id
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_CUTS}')) AS p
+        FROM documents)),
+worded AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM worded GROUP BY lang),
+placed AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM worded WHERE len(ws) > 0),
+counted AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS a
+  FROM placed, range(1, {collocations.MAX_WORDS + 1}) r(k) WHERE i + k - 1 <= len(ws) GROUP BY lang, k, phrase HAVING count(*) >= {collocations.MIN_COUNT}),
+split AS (SELECT *, string_split(phrase, ' ') AS ws FROM counted),
+cuts AS (
+  SELECT s.lang, s.phrase, s.k, s.a, c, x.a AS l, y.a AS r,
+         ({collocations.SCORE_SCALE}::HUGEINT * s.a // (x.a::HUGEINT + y.a))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM split WHERE k > 1) s
+  JOIN counted x ON x.lang = s.lang AND x.phrase = array_to_string(s.ws[1:c], ' ')
+  JOIN counted y ON y.lang = s.lang AND y.phrase = array_to_string(s.ws[c + 1:s.k], ' ')),
+lowest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS t FROM cuts) WHERE t = 1),
+inner_parts AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM split, range(2, {collocations.MAX_WORDS}) q(m), range(1, {collocations.MAX_WORDS}) p(i)
+  WHERE m < k AND i + m - 1 <= k GROUP BY 1, 2),
+kept AS (
+  SELECT w.* FROM lowest w LEFT JOIN inner_parts p ON p.lang = w.lang AND p.phrase = w.phrase
+  WHERE p.longer IS NULL OR 100 * p.longer::HUGEINT < {collocations.CONTAINED_PERCENT} * w.a::HUGEINT),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= {collocations.TOP}
+"""
+
+ORACLES = {"op1_quality": OP1, "op3_chat": OP3, "op6_jaccard": OP6, "op8_substrings": OP8, "op11_audit": OP11, "op13_collocations": OP13}
