@@ -3,7 +3,7 @@
 Method: Rabin-Karp fingerprints.  Prefix polynomials over a slice's normalised words hash every
 word sequence in one subtraction.  Lengths are counted one after the other: tasks add up the
 fingerprints of their sequences, a shuffle sums them, and those with enough occurrences enter a
-bit field of fixed size; a longer sequence is only counted where the field has both of its
+bit field of bounded size; a longer sequence is only counted where the field has both of its
 shorter ends (a phrase is never more frequent than its parts).  A last scan points at the
 occurrences whose fingerprints are frequent, reads the phrases there from the text, and counts
 by text: fingerprints that collide part there, and those that only looked frequent fall below
@@ -22,11 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm import batches as B
-from wordloom.llm.fields import Tally, bit_field, member
+from wordloom.llm.fields import Tally, bit_field, field_bits, member
 from wordloom.session import written
 
 MAX_WORDS = 4
@@ -104,14 +105,13 @@ def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[Sequences]:
             yield Sequences(part)
 
 
-def counted(docs: DataFrame, fields: list[np.ndarray], least: int) -> DataFrame:
+def counted(docs: DataFrame, fields: list[Broadcast], least: int) -> DataFrame:
     """(key, n): frequent fingerprints of the length after those of `fields`."""
-    known = docs.sparkSession.sparkContext.broadcast(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
         for found in sequences(batches):
-            *_, (_, prints) = found.frequent(known.value)
+            *_, (_, prints) = found.frequent([f.value for f in fields])
             keys, n = np.unique(prints.view(np.int64), return_counts=True)
             yield from tally.add(keys, n)
         yield from tally.rows()
@@ -119,9 +119,8 @@ def counted(docs: DataFrame, fields: list[np.ndarray], least: int) -> DataFrame:
     return docs.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
-def phrase_counts(docs: DataFrame, fields: list[np.ndarray]) -> DataFrame:
+def phrase_counts(docs: DataFrame, fields: list[Broadcast]) -> DataFrame:
     """(lang, size, phrase, n) by text, for all lengths that have a field; size 0: all words."""
-    known = docs.sparkSession.sparkContext.broadcast(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(lang: str, size: int, values: pa.Array, counts: pa.Array) -> pa.RecordBatch:
@@ -132,8 +131,8 @@ def phrase_counts(docs: DataFrame, fields: list[np.ndarray]) -> DataFrame:
         for found in sequences(batches):
             for code, own in enumerate(np.bincount(found.lang, minlength=len(found.langs)).tolist()):
                 yield rows(found.langs[code], 0, pa.array([""]), pa.array([own]))
-            for size, (at, _) in enumerate(found.frequent(known.value), 1):
-                if size > len(known.value):
+            for size, (at, _) in enumerate(found.frequent([f.value for f in fields]), 1):
+                if size > len(fields):
                     break
                 for code in np.unique(found.lang[at]).tolist():
                     values = pc.value_counts(found.phrases(at[found.lang[at] == code], size))
@@ -151,9 +150,10 @@ def frequent_phrases(
     docs = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
-    fields: list[np.ndarray] = []
+    fields: list[Broadcast] = []
     for _ in range(words):
-        fields.append(bit_field(counted(docs, fields, least), "key"))
+        prints = written(counted(docs, fields, least).select("key"))
+        fields.append(docs.sparkSession.sparkContext.broadcast(bit_field(prints, "key", field_bits(prints.count()))))
     return phrase_counts(docs, fields).where((F.col("size") == 0) | (F.col("n") >= least))
 
 

@@ -1,4 +1,4 @@
-"""Bit fields of fixed size that tell tasks which hashes are worth a row of a shuffle.
+"""Bit fields of bounded size that tell tasks which hashes are worth a row of a shuffle.
 
 A hash sets one bit; a hash without its bit is not in the set, one with it may be.  So a field
 never loses anything, however full it is; a full one only lets more rows through."""
@@ -12,12 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FIELD_BITS = 27  # 2^27 bits, 16 MiB
+FIELD_BITS = 27  # at most 2^27 bits, 16 MiB
+BITS_PER_HASH = 64  # below that bound
 
 
-def bit_field(hashes: DataFrame, column: str, bits: int = FIELD_BITS) -> np.ndarray:
-    """The field of a column of 64-bit hashes: packed bytes.  Tasks fill blocks of it; the driver
-    gets each block once, so never more than the field."""
+def field_bits(hashes: int) -> int:
+    return min(FIELD_BITS, max(16, (BITS_PER_HASH * hashes).bit_length()))
+
+
+def bit_field(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """The field of 2^bits bits of a column of 64-bit hashes: packed bytes.  Tasks fill blocks of
+    it; the driver gets each block once, so never more than the field."""
     half = bits // 2  # bits of a block's number; the rest is the place in the block
     inner = bits - half
 
