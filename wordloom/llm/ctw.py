@@ -1,8 +1,8 @@
 """Context-tree weighting over bytes: how many bits a trained model needs for a text.
 
-Method: a text is its words, each with a space behind it, and one end byte.  Every byte is eight
-binary decisions; a decision sees the bytes before it as contexts of 0 to `DEPTH` bytes.  Each
-(context, decision) is a node with Krichevsky-Trofimov estimates from its counts of zeros and
+Method: a text is its words, each with a space behind it, and one end byte.  Every byte is a path of
+binary decisions, shorter for frequent bytes (Huffman's tree over the training bytes); a decision
+sees the bytes before it as contexts of 0 to `DEPTH` bytes.  Each (context, decision) is a node with Krichevsky-Trofimov estimates from its counts of zeros and
 ones; the block probability of a node mixes its own estimate and the product over its longer
 contexts half and half, and the weights that follow mix the estimates of all depths of a path.
 
@@ -26,6 +26,7 @@ Words are told apart by 63-bit hashes in the base score."""
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -38,7 +39,7 @@ from wordloom.llm import batches as B
 from wordloom.llm.fields import Tally
 from wordloom.session import written
 
-DEPTH = 5  # bytes of context
+DEPTH = 6  # bytes of context
 SHALLOW = 2  # levels up to this one are Spark aggregates
 FOLDS, HELD_OUT = 7, 2
 END = 10  # the byte that ends a text; no word holds it
@@ -88,7 +89,7 @@ class Coded:
         place = np.arange(n) - start
         for k in range(1, depth + 1):
             before = np.full(n, 32, np.int64)
-            before[k:] = self.data[: n - k]
+            before[k:] = self.data[: max(0, n - k)]
             before[place < k] = 32
             out |= before << (8 * (depth + 1 - k))
         return out
@@ -146,17 +147,46 @@ def estimates(zeros: np.ndarray, ones: np.ndarray, longer: np.ndarray | None) ->
     return block, np.exp(own - math.log(2) - block), chance
 
 
+class Decisions:
+    """The binary decisions that lead to each byte: Huffman's tree over byte counts, ties by byte.
+    Bytes without a count are deepest; all 256 have a path."""
+
+    def __init__(self, counts: np.ndarray):
+        heap = [(256 * int(c) + 1, b, b) for b, c in enumerate(counts)]  # (weight, least byte, node)
+        heapq.heapify(heap)
+        above: dict[int, tuple[int, int]] = {}  # node -> (decision, bit)
+        for decision in range(255):
+            zero, one = heapq.heappop(heap), heapq.heappop(heap)
+            above[zero[2]], above[one[2]] = (decision, 0), (decision, 1)
+            heapq.heappush(heap, (zero[0] + one[0], min(zero[1], one[1]), 256 + decision))
+        paths = []
+        for byte in range(256):
+            path, node = [], byte
+            while node in above:
+                path.append(above[node])
+                node = 256 + above[node][0]
+            paths.append(path)
+        self.sizes = np.array([len(p) for p in paths])
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.decision = np.array([d for p in paths for d, _ in p])
+        self.bit = np.array([b for p in paths for _, b in p])
+
+    def of(self, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in `byte`, decision, bit) of all decisions of these bytes."""
+        sizes = self.sizes[byte]
+        place = np.repeat(np.arange(len(byte)), sizes)
+        at = np.arange(len(place)) + np.repeat(self.first[byte] - (np.cumsum(sizes) - sizes), sizes)
+        return place, self.decision[at], self.bit[at]
+
+
 class Tree:
     """Nodes of complete contexts of `top` bytes, from their grams in order."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int, top: int):
-        byte = grams & 0xFF
-        context = grams >> 8
-        self.bits = np.concatenate([byte >> (7 - j) & 1 for j in range(8)])
-        prefix = np.concatenate([(1 << j) | (byte >> (8 - j)) for j in range(8)])
-        keys = (np.tile(context, 8) << 8) | prefix
-        n = np.tile(counts, 8)
-        zeros, ones, longer = np.where(self.bits == 0, n, 0), np.where(self.bits == 1, n, 0), None
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, paths: Decisions, depth: int, top: int):
+        self.gram, decision, self.bit = paths.of(grams & 0xFF)
+        keys = ((grams >> 8 << 8)[self.gram]) | decision
+        n = counts[self.gram]
+        zeros, ones, longer = np.where(self.bit == 0, n, 0), np.where(self.bit == 1, n, 0), None
         self.levels = []
         for level in range(depth, top - 1, -1):
             own, place = np.unique(keys, return_inverse=True)
@@ -179,7 +209,7 @@ class Tree:
             mixed, rest = mixed + rest * weight * chance, rest * (1 - weight)
             place = inverse
         one = mixed[place]
-        return np.log10(np.where(self.bits == 1, one, 1 - one)).reshape(8, -1).sum(axis=0)
+        return np.bincount(self.gram, np.log10(np.where(self.bit == 1, one, 1 - one)))
 
 
 def parts_of(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[dict[str, np.ndarray]]:
@@ -204,19 +234,19 @@ def parts_of(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[dict[str
         yield joined()
 
 
-def shallow_nodes(grams: DataFrame, depth: int) -> DataFrame:
-    """(context, prefix, level, mixed, rest) of the nodes at level SHALLOW: the mixture of the levels up to
+def shallow_nodes(grams: DataFrame, paths: Decisions, depth: int) -> DataFrame:
+    """(context, decision, mixed, rest) of the nodes at level SHALLOW: the mixture of the levels up to
     there, and the weight that is left for the longer contexts.  `grams`: (near, key, n), sorted by key within
     partitions that hold whole values of near."""
     shift = 8 * (depth - SHALLOW)  # of a gram: down to the context of SHALLOW + 1 bytes
 
     def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in parts_of(batches, shift):
-            tree = Tree(rows["key"], rows["n"], depth, SHALLOW + 1)
+            tree = Tree(rows["key"], rows["n"], paths, depth, SHALLOW + 1)
             own, zeros, ones, block = tree.top
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own >> 16), pa.array((own & 0xFF).astype(np.int32)), pa.array(zeros), pa.array(ones), pa.array(block)],
-                ["context", "prefix", "zeros", "ones", "longer"],
+                ["context", "decision", "zeros", "ones", "longer"],
             )
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,25 +254,25 @@ def shallow_nodes(grams: DataFrame, depth: int) -> DataFrame:
             columns = [batch.column(c).to_numpy() for c in ("zeros", "ones", "longer")]
             added = [pa.array(x) for x in estimates(*columns)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("context", "prefix", "zeros", "ones")), *added],
-                ["context", "prefix", "zeros", "ones", "block", "weight", "chance"],
+                [*(batch.column(c) for c in ("context", "decision", "zeros", "ones")), *added],
+                ["context", "decision", "zeros", "ones", "block", "weight", "chance"],
             )
 
-    shape = "context bigint, prefix int, zeros bigint, ones bigint"
+    shape = "context bigint, decision int, zeros bigint, ones bigint"
     rows = grams.select("key", "n").mapInArrow(climb, f"{shape}, longer double")
     levels = []
     for _ in range(SHALLOW + 1):
-        sums = rows.groupBy("context", "prefix").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "longer")])
+        sums = rows.groupBy("context", "decision").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "longer")])
         nodes = written(sums.mapInArrow(weigh, f"{shape}, block double, weight double, chance double"))
-        levels.append(nodes.select("context", "prefix", "weight", "chance"))
-        rows = nodes.select(F.shiftright("context", 8).alias("context"), "prefix", "zeros", "ones", F.col("block").alias("longer"))
-    down = levels.pop().select("context", "prefix", (F.col("weight") * F.col("chance")).alias("mixed"), (1 - F.col("weight")).alias("rest"))
+        levels.append(nodes.select("context", "decision", "weight", "chance"))
+        rows = nodes.select(F.shiftright("context", 8).alias("context"), "decision", "zeros", "ones", F.col("block").alias("longer"))
+    down = levels.pop().select("context", "decision", (F.col("weight") * F.col("chance")).alias("mixed"), (1 - F.col("weight")).alias("rest"))
     while levels:
         nodes = levels.pop().withColumn("shorter", F.shiftright("context", 8))
-        down = nodes.join(down.withColumnRenamed("context", "shorter"), ["shorter", "prefix"])
+        down = nodes.join(down.withColumnRenamed("context", "shorter"), ["shorter", "decision"])
         down = down.select(
             "context",
-            "prefix",
+            "decision",
             (F.col("mixed") + F.col("rest") * F.col("weight") * F.col("chance")).alias("mixed"),
             (F.col("rest") * (1 - F.col("weight"))).alias("rest"),
         )
@@ -258,9 +288,12 @@ def gram_values(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     shift = 8 * (depth - SHALLOW)
     near = F.shiftright("key", 8 * (depth + 1 - SHALLOW))
     grams = counts.where("key >= 0").select(near.alias("near"), F.lit(1).alias("kind"), "key", "n")
-    down = shallow_nodes(dealt(grams), depth)
+    bytes_seen = grams.groupBy(F.col("key").bitwiseAND(F.lit(255)).alias("byte")).agg(F.sum("n").alias("n"))
+    seen = {r["byte"]: r["n"] for r in bytes_seen.collect()}  # at most 256 rows
+    paths = Decisions(np.array([seen.get(b, 0) for b in range(256)]))
+    down = shallow_nodes(dealt(grams), paths, depth)
     nodes = down.select(
-        F.col("context").alias("near"), F.lit(0).alias("kind"), F.col("prefix").cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("n"), "mixed", "rest"
+        F.col("context").alias("near"), F.lit(0).alias("kind"), F.col("decision").cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("n"), "mixed", "rest"
     )
     both = dealt(grams.withColumns({"mixed": F.lit(0.0), "rest": F.lit(0.0)}).unionByName(nodes))
 
@@ -291,9 +324,9 @@ def gram_values(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
         while head is not None:
             for part in parts_of(own_grams(head.column("near")[0].as_py()), shift):
-                tree = Tree(part["key"], part["n"], depth, SHALLOW + 1)
-                prefix = tree.top[0] & 0xFF
-                chance = tree.log_chances(mixed[prefix], rest[prefix])
+                tree = Tree(part["key"], part["n"], paths, depth, SHALLOW + 1)
+                decision = tree.top[0] & 0xFF
+                chance = tree.log_chances(mixed[decision], rest[decision])
                 yield pa.RecordBatch.from_arrays([pa.array(part["key"]), pa.array(chance)], ["key", "value"])
 
     return both.mapInArrow(descend, "key bigint, value double")
