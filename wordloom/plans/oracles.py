@@ -476,10 +476,15 @@ oracle(
                                               GROUP BY t.label, dim) w USING (dim)
                           GROUP BY p.doc_id, w.label_id)))""",
 )
+RNN_LOGITS = f"""SELECT f.doc_id, label_id::INTEGER AS label_id, {_dot("f.h", "wc[label_id + 1]")} + bc[label_id + 1] AS logit
+        FROM (SELECT doc_id, arg_max(h, pos) AS h FROM states GROUP BY doc_id) f, net, (SELECT unnest(range(4)) AS label_id)"""
+oracle("rnn_score", "tok", "cut", "states", body=f"SELECT doc_id, label_id, round(logit, 6) AS logit FROM ({RNN_LOGITS})")
+# text to ranked classes: the soft-max of the recurrent scores
 oracle(
-    "rnn_score", "tok", "cut", "states",
-    body=f"""SELECT f.doc_id, label_id::INTEGER AS label_id, round({_dot("f.h", "wc[label_id + 1]")} + bc[label_id + 1], 6) AS logit
-        FROM (SELECT doc_id, arg_max(h, pos) AS h FROM states GROUP BY doc_id) f, net, (SELECT unnest(range(4)) AS label_id)""",
+    "score_documents_rnn", "tok", "cut", "states",
+    body=f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, label_id))::INTEGER AS rank, label_id,
+               CASE label_id {' '.join(f"WHEN {i} THEN {quoted(n)}" for i, n in enumerate(LABEL_NAMES))} END AS label_name, round(p, 4) AS prob
+        FROM (SELECT doc_id, label_id, exp(logit) / sum(exp(logit)) OVER (PARTITION BY doc_id) AS p FROM ({RNN_LOGITS}))""",
 )
 
 oracle(
@@ -514,9 +519,4 @@ oracle(
 )
 oracle("history_files", "history", body="SELECT * FROM history")
 
-# text to ranked classes: the soft-max of the recurrent scores
-ORACLES["score_documents_rnn"] = f"""
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, label_id))::INTEGER AS rank, label_id::INTEGER AS label_id,
-       CASE label_id {' '.join(f"WHEN {i} THEN {quoted(n)}" for i, n in enumerate(LABEL_NAMES))} END AS label_name, round(p, 4) AS prob
-FROM (SELECT doc_id, label_id, exp(logit) / sum(exp(logit)) OVER (PARTITION BY doc_id) AS p FROM ({ORACLES["rnn_score"]}))"""
 ORACLES["score_saved_run"] = f"SELECT doc_id, {len(LABEL_NAMES)}::BIGINT AS classes, true AS agrees FROM documents"
