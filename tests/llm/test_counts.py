@@ -115,9 +115,7 @@ def coded(text):
 def tree_scores(rows, depth):
     """log10 probability of every text under the tree, node by node."""
     learned = [coded(t) for d, t, *_ in rows if d is None or zlib.crc32(str(d).encode()) % 7 != 2]
-    bytes_seen = np.bincount(np.frombuffer(b"".join(learned), np.uint8), minlength=256)
-    paths = ctw.Decisions(bytes_seen)
-    path = [list(zip(*(x.tolist() for x in paths.of(np.array([b]))[1:]))) for b in range(256)]
+    path = [[((1 << j) | (b >> (8 - j)), b >> (7 - j) & 1) for j in range(8)] for b in range(256)]
     counts, longer = defaultdict(lambda: [0, 0]), defaultdict(set)
 
     def contexts(text, i):
@@ -218,7 +216,7 @@ def test_chances_sum_to_one():
     """Over all bytes after one context."""
     rng = np.random.default_rng(3)
     grams = np.sort(np.concatenate([(7 << 24) | np.arange(256), (7 << 24) | (1 << 16) | np.arange(256)]))
-    tree = ctw.Tree(grams, rng.integers(0, 4, len(grams)), ctw.Decisions(rng.integers(0, 50, 256)), 3, 1)
+    tree = ctw.Tree(grams, rng.integers(0, 4, len(grams)), 3, 1)
     chance = 10 ** tree.log_chances(np.zeros(len(tree.top[0])), np.ones(len(tree.top[0])))
     assert np.allclose(chance.reshape(2, 256).sum(axis=1), 1)
 

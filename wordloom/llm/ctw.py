@@ -1,8 +1,8 @@
 """Context-tree weighting over bytes: how many bits a trained model needs for a text.
 
-Method: a text is its words, each with a space behind it, and one end byte.  Every byte is a path of
-binary decisions, shorter for frequent bytes (Huffman's tree over the training bytes); a decision
-sees the bytes before it as contexts of 0 to `DEPTH` bytes.  Each (context, decision) is a node with Krichevsky-Trofimov estimates from its counts of zeros and
+Method: a text is its words, each with a space behind it, and one end byte.  Every byte is eight
+binary decisions; a decision sees the bytes before it as contexts of 0 to `DEPTH` bytes.  Each
+(context, decision) is a node with Krichevsky-Trofimov estimates from its counts of zeros and
 ones; the block probability of a node mixes its own estimate and the product over its longer
 contexts half and half, and the weights that follow mix the estimates of all depths of a path.
 
@@ -26,7 +26,6 @@ Words are told apart by 63-bit hashes in the base score."""
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -37,9 +36,9 @@ from pyspark.sql import functions as F
 
 from wordloom.llm import batches as B
 from wordloom.llm.fields import Tally
-from wordloom.session import written
+from wordloom.session import bounded_join, written
 
-DEPTH = 6  # bytes of context
+DEPTH = 5  # bytes of context
 SHALLOW = 2  # levels up to this one are Spark aggregates
 FOLDS, HELD_OUT = 7, 2
 END = 10  # the byte that ends a text; no word holds it
@@ -147,45 +146,20 @@ def estimates(zeros: np.ndarray, ones: np.ndarray, longer: np.ndarray | None) ->
     return block, np.exp(own - math.log(2) - block), chance
 
 
-class Decisions:
-    """The binary decisions that lead to each byte: Huffman's tree over byte counts, ties by byte.
-    Bytes without a count are deepest; all 256 have a path."""
-
-    def __init__(self, counts: np.ndarray):
-        heap = [(256 * int(c) + 1, b, b) for b, c in enumerate(counts)]  # (weight, least byte, node)
-        heapq.heapify(heap)
-        above: dict[int, tuple[int, int]] = {}  # node -> (decision, bit)
-        for decision in range(255):
-            zero, one = heapq.heappop(heap), heapq.heappop(heap)
-            above[zero[2]], above[one[2]] = (decision, 0), (decision, 1)
-            heapq.heappush(heap, (zero[0] + one[0], min(zero[1], one[1]), 256 + decision))
-        paths = []
-        for byte in range(256):
-            path, node = [], byte
-            while node in above:
-                path.append(above[node])
-                node = 256 + above[node][0]
-            paths.append(path)
-        self.sizes = np.array([len(p) for p in paths])
-        self.first = np.cumsum(self.sizes) - self.sizes
-        self.decision = np.array([d for p in paths for d, _ in p])
-        self.bit = np.array([b for p in paths for _, b in p])
-
-    def of(self, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in `byte`, decision, bit) of all decisions of these bytes."""
-        sizes = self.sizes[byte]
-        place = np.repeat(np.arange(len(byte)), sizes)
-        at = np.arange(len(place)) + np.repeat(self.first[byte] - (np.cumsum(sizes) - sizes), sizes)
-        return place, self.decision[at], self.bit[at]
+def decisions(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(decision, bit), each eight rows of len(byte): the bits of a byte from the highest down.  A
+    decision is named by the bits before it, behind a one."""
+    bits = np.stack([byte >> (7 - j) & 1 for j in range(8)])
+    return np.stack([(1 << j) | (byte >> (8 - j)) for j in range(8)]), bits
 
 
 class Tree:
     """Nodes of complete contexts of `top` bytes, from their grams in order."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, paths: Decisions, depth: int, top: int):
-        self.gram, decision, self.bit = paths.of(grams & 0xFF)
-        keys = ((grams >> 8 << 8)[self.gram]) | decision
-        n = counts[self.gram]
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int, top: int):
+        decision, bit = decisions(grams & 0xFF)
+        keys, self.bit = ((grams >> 8 << 8) | decision).ravel(), bit.ravel()
+        n = np.tile(counts, 8)
         zeros, ones, longer = np.where(self.bit == 0, n, 0), np.where(self.bit == 1, n, 0), None
         self.levels = []
         for level in range(depth, top - 1, -1):
@@ -209,7 +183,7 @@ class Tree:
             mixed, rest = mixed + rest * weight * chance, rest * (1 - weight)
             place = inverse
         one = mixed[place]
-        return np.bincount(self.gram, np.log10(np.where(self.bit == 1, one, 1 - one)))
+        return np.log10(np.where(self.bit == 1, one, 1 - one)).reshape(8, -1).sum(axis=0)
 
 
 def parts_of(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[dict[str, np.ndarray]]:
@@ -234,7 +208,7 @@ def parts_of(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[dict[str
         yield joined()
 
 
-def shallow_nodes(grams: DataFrame, paths: Decisions, depth: int) -> DataFrame:
+def shallow_nodes(grams: DataFrame, depth: int) -> DataFrame:
     """(context, decision, mixed, rest) of the nodes at level SHALLOW: the mixture of the levels up to
     there, and the weight that is left for the longer contexts.  `grams`: (near, key, n), sorted by key within
     partitions that hold whole values of near."""
@@ -242,7 +216,7 @@ def shallow_nodes(grams: DataFrame, paths: Decisions, depth: int) -> DataFrame:
 
     def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in parts_of(batches, shift):
-            tree = Tree(rows["key"], rows["n"], paths, depth, SHALLOW + 1)
+            tree = Tree(rows["key"], rows["n"], depth, SHALLOW + 1)
             own, zeros, ones, block = tree.top
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own >> 16), pa.array((own & 0xFF).astype(np.int32)), pa.array(zeros), pa.array(ones), pa.array(block)],
@@ -288,10 +262,7 @@ def gram_values(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     shift = 8 * (depth - SHALLOW)
     near = F.shiftright("key", 8 * (depth + 1 - SHALLOW))
     grams = counts.where("key >= 0").select(near.alias("near"), F.lit(1).alias("kind"), "key", "n")
-    bytes_seen = grams.groupBy(F.col("key").bitwiseAND(F.lit(255)).alias("byte")).agg(F.sum("n").alias("n"))
-    seen = {r["byte"]: r["n"] for r in bytes_seen.collect()}  # at most 256 rows
-    paths = Decisions(np.array([seen.get(b, 0) for b in range(256)]))
-    down = shallow_nodes(dealt(grams), paths, depth)
+    down = shallow_nodes(dealt(grams), depth)
     nodes = down.select(
         F.col("context").alias("near"), F.lit(0).alias("kind"), F.col("decision").cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("n"), "mixed", "rest"
     )
@@ -324,7 +295,7 @@ def gram_values(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
         while head is not None:
             for part in parts_of(own_grams(head.column("near")[0].as_py()), shift):
-                tree = Tree(part["key"], part["n"], paths, depth, SHALLOW + 1)
+                tree = Tree(part["key"], part["n"], depth, SHALLOW + 1)
                 decision = tree.top[0] & 0xFF
                 chance = tree.log_chances(mixed[decision], rest[decision])
                 yield pa.RecordBatch.from_arrays([pa.array(part["key"]), pa.array(chance)], ["key", "value"])
@@ -335,33 +306,55 @@ def gram_values(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
 # --- texts against the model
 
 
+class Keys:
+    """The distinct keys of a block; a block's text bounds them."""
+
+    MERGE = 2 << 20  # keys that wait to be merged
+
+    def __init__(self):
+        self.known, self.more, self.waiting = np.zeros(0, np.int64), [], 0
+
+    def add(self, *keys: np.ndarray) -> None:
+        self.more += keys
+        self.waiting += sum(map(len, keys))
+        if self.waiting > self.MERGE:
+            self.all()
+
+    def all(self) -> np.ndarray:
+        if self.more:
+            self.known = np.unique(np.concatenate([self.known, *self.more]))
+            self.more, self.waiting = [], 0
+        return self.known
+
+
 def scored(docs: DataFrame, values: DataFrame, tokens: int, distinct: int, texts: int, depth: int) -> DataFrame:
-    """(doc_id, train, n_tokens, n_known, base_score, score, n_bytes) of `docs` (doc_id, train, text).
+    """(doc_id, train, n_tokens, n_known, base_score, score, n_bytes) of `docs` (doc_id, train, like, text).
 
     `values`: (key, value), log10 chances of grams and counts of words; `tokens`: training tokens,
     `distinct`: how many differ, `texts`: how many are end tokens."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    rows = docs.withColumn("block", block).repartition(blocks, "block")
+    sizes = docs.groupBy("like").agg(F.sum(F.octet_length("text")).alias("size"))
+    own = F.ceil(F.greatest("size", F.lit(1)) / F.lit(BLOCK_BYTES)).cast("int").alias("blocks")
+    spans = written(sizes.select("like", own))
+    total = spans.agg(F.sum("blocks")).first()[0] or 1
+    # the blocks of a group follow a hash of its name; groups may share blocks
+    first, turn = F.xxhash64("like"), F.pmod(F.xxhash64("doc_id", "text"), F.col("blocks"))
+    block = F.pmod(F.pmod(first, F.lit(total)) + turn, F.lit(total)).cast("int")
+    rows = bounded_join(docs, spans, "like", spans.count(), 64, "inner")
+    rows = rows.select("doc_id", "train", "text", block.alias("block")).repartition(total, "block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies: dict[int, Tally] = {}
-
-        def named(rows: Iterator[pa.RecordBatch], b: int) -> Iterator[pa.RecordBatch]:
-            for r in rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(r.num_rows, b, np.int32)), r.column("key")], ["block", "key"])
-
+        wanted: dict[int, Keys] = {}
         for batch in batches:
             for part in B.slices(batch, "text"):
                 of = part.column("block").to_numpy()
                 for b in np.unique(of).tolist():
                     found = Coded(part.filter(pa.array(of == b)).column("text"), depth)
-                    tally = tallies.setdefault(b, Tally())
-                    for keys in (np.unique(found.grams()), np.unique(found.word_keys)):
-                        yield from named(tally.add(keys, np.ones(len(keys), np.int64)), b)
-        for b, tally in tallies.items():
-            yield from named(tally.rows(), b)
+                    wanted.setdefault(b, Keys()).add(np.unique(found.grams()), np.unique(found.word_keys))
+        for b in list(wanted):
+            keys = wanted.pop(b).all()
+            for i in range(0, len(keys), 1 << 16):
+                own = keys[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), b, np.int32)), pa.array(own)], ["block", "key"])
 
     even = math.log10(tokens + distinct + 1)
     wanted = rows.mapInArrow(ask, "block int, key bigint")
@@ -416,10 +409,14 @@ def scored(docs: DataFrame, values: DataFrame, tokens: int, distinct: int, texts
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, shape)
 
 
-def score(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (log10 of a smoothed
+def score(docs: DataFrame, text: str = "text", like: str | None = "lang", depth: int = DEPTH) -> DataFrame:
+    """`like` names a column whose values share words: rows with one value meet in the same blocks, which
+    then ask for less.  It changes no result.
+
+    Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (log10 of a smoothed
     word model), score (log10 of this model), bits_per_byte (code length over the normalised bytes)."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), training(F.col("doc_id")).alias("train"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    group = F.coalesce(F.col(like).cast("string"), F.lit("")) if like in docs.columns else F.lit("")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), training(F.col("doc_id")).alias("train"), F.coalesce(F.col(text), F.lit("")).alias("text"), group.alias("like"))
     counts = written(gathered(docs.select("train", "text"), depth))
     words = counts.where("key < 0")
     ends = F.sum(F.when(F.col("key") == int(END_KEY), F.col("n")))
