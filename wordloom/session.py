@@ -91,11 +91,31 @@ def shared_path(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/wordloom-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a table written once in the shared folder.
+def written(df: DataFrame, *folders: str) -> DataFrame:
+    """`df` as a table written once in the shared folder, split into folders by the columns
+    `folders`.
 
     Cuts the lineage: whatever reads it again, or again after an executor was lost, starts
     from the files.  Spark also knows the size of what it reads back."""
     path = shared_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(*folders) if folders else df.write
+    writer.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._wordloom_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of tables that `written` made and that nothing will read again."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._wordloom_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one, that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
