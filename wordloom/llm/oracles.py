@@ -63,23 +63,25 @@ class_refs AS (
   FROM (SELECT lang, k, sum(c[k]) AS s FROM counted, range(1, 9) r(k) GROUP BY lang, k) GROUP BY lang),
 refs AS (
   SELECT lang, rw, list_transform(list_append(rn, total - list_sum(rn)), lambda x: x / total) AS rp,
-         list_transform(rc, lambda x: x / list_sum(rc)) AS rq
+         list_transform(rc, lambda x: x / list_sum(rc)) AS rq,
+         list_transform(range(1, len(rw) + 2), lambda i: CASE WHEN i > len(rw) THEN 1.0 ELSE 0.0 END) AS rz
   FROM tops JOIN totals USING (lang) JOIN class_refs USING (lang)),
 shares AS (
-  SELECT m.*, rw, rp, rq,
+  SELECT m.*, rw, rp, rq, rz,
     list_transform(rw, lambda r: len(list_filter(ws, lambda x: x = r))) AS own,
     CASE WHEN word_chars >= {quality.MIN_CLASS_CHARS} THEN list_transform(c, lambda x: x / list_sum(c)) END AS cs
   FROM measured m LEFT JOIN refs USING (lang)),
 distances AS (
   SELECT *,
     CASE WHEN rw IS NOT NULL AND cs IS NOT NULL THEN {_js('cs', 'rq')} END AS cd,
-    CASE WHEN rw IS NOT NULL AND n_words >= {quality.MIN_HISTOGRAM_WORDS} THEN {_js("wsh", "rp")} END AS wd
+    CASE WHEN rw IS NOT NULL AND n_words >= {quality.MIN_HISTOGRAM_WORDS} THEN {_js("wsh", "rp")} END AS wd,
+    least({quality.MAX_WORD_DISTANCE}, {quality.MAX_WORD_SHARE} * {_js("rz", "rp")}) AS most_wd
   FROM (SELECT *, list_transform(list_append(own, n_words - list_sum(own)), lambda x: x / n_words) AS wsh FROM shares)),
 judged AS (
   SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM distances)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        round(cd, 6) AS class_distance, round(wd, 6) AS word_distance,
-       NOT base_failed AND coalesce(cd, 0) <= {quality.MAX_CLASS_DISTANCE} AND coalesce(wd, 0) <= {quality.MAX_WORD_DISTANCE} AS kept
+       NOT base_failed AND coalesce(cd, 0) <= {quality.MAX_CLASS_DISTANCE} AND (wd IS NULL OR wd <= most_wd) AS kept
 FROM judged
 """
 

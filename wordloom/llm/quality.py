@@ -163,9 +163,12 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """`docs` with the base counts, class_distance, word_distance (null where a guard holds)
     and kept."""
     new = ["class_distance", "word_distance", "kept"]
+    kept_columns = [c for c in docs.columns if c not in [*BASE, *new]]
     refs = written(language_references(docs, text, lang))
+    # the columns of `docs` travel in a struct, so that none meets a name of these
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept_columns]).alias("_in"), F.col(text).alias("_text"), F.col(lang).alias("_language"))
     # one row per language with a reference of bounded width
-    joined = bounded_join(measured(docs, text, lang).drop(*new), refs, "_lang", refs.count(), 8_192)
+    joined = bounded_join(measured(packed, "_text", "_language"), refs, "_lang", refs.count(), 8_192)
     # most words are longer than any common one: a cheap test before the list
     common = F.filter(
         "_words", lambda w: (F.octet_length(w) <= F.col("ref_longest")) & F.array_contains(F.col("ref_words"), w)
@@ -203,5 +206,4 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
         F.coalesce("word_distance", F.lit(0.0)) <= F.coalesce(F.least(F.lit(MAX_WORD_DISTANCE), without), F.lit(MAX_WORD_DISTANCE))
     )
     out = out.withColumn("kept", ~F.col("base_failed") & near)
-    kept_columns = [c for c in docs.columns if c not in [*BASE, *new]]
-    return out.select(*kept_columns, *BASE, *new)
+    return out.select(*[F.col("_in").getField(c).alias(c) for c in kept_columns], *BASE, *new)
