@@ -29,6 +29,7 @@ WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3  # no source is taken more often
 BLOCK_WORDS = 32
 SHARD_SLOTS = 8_192
+GROUP_SHARDS = 1_024
 BUCKETS = 4_096
 SEED = 17
 
@@ -125,20 +126,21 @@ def permuted(index: np.ndarray, n: int, seed: tuple[int, ...]) -> np.ndarray:
 def shard_counts(totals: np.ndarray, shard: int, slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(slots of each source before this shard, slots of each source in it).
 
-    The shards are halved again and again; each halving deals the slots of its sources by a
-    draw without replacement that both halves can repeat.  Above half a billion slots the
-    share is exact up to rounding, as the noise of a draw would be far smaller than it."""
+    The shards are halved again and again, down to fixed groups of GROUP_SHARDS and then to single
+    ones.  Groups get their share of every source, exact up to rounding; inside a group each
+    halving deals the slots by a draw without replacement that both halves can repeat."""
     here, before = totals.astype(np.int64), np.zeros(len(totals), np.int64)
     low, high = 0, -(-int(here.sum()) // slots)
     while high - low > 1:
-        middle = (low + high) // 2
+        groups = -(-(high - low) // GROUP_SHARDS)
+        middle = low + groups // 2 * GROUP_SHARDS if groups > 1 else (low + high) // 2
         n_left = min((middle - low) * slots, int(here.sum()))
-        if here.sum() < 500_000_000:
-            left = np.random.default_rng((seed, low, high)).multivariate_hypergeometric(here, n_left, method="marginals")
-        else:
+        if groups > 1:
             share = n_left / int(here.sum())
             left = np.floor(here * share).astype(np.int64)
             left[np.argsort(left - here * share, kind="stable")[: n_left - int(left.sum())]] += 1
+        else:
+            left = np.random.default_rng((seed, low, high)).multivariate_hypergeometric(here, n_left, method="marginals")
         if shard < middle:
             here, high = left, middle
         else:
@@ -226,10 +228,17 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
     )
     names = rows.select("source_no", F.col("source").alias("_source")).distinct()  # one row per source
     pieces = pieces.join(names, "source_no")
-    marked = docs.withColumn("_key", F.xxhash64(F.col(text)))
-    same = F.col(key).eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_hash")) & F.col(source).eqNullSafe(F.col("_source"))
-    joined = marked.join(pieces.hint("merge"), same)
-    joined = joined.withColumn("_turn", F.explode("_turns"))
+    # the columns of `docs` travel in a struct, so that none meets a name of these
+    marked = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"),
+        F.col(key).alias("_id"),
+        F.col(text).alias("_text"),
+        F.col(source).alias("_of"),
+        F.xxhash64(F.col(text)).alias("_key"),
+    )
+    same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_hash")) & F.col("_of").eqNullSafe(F.col("_source"))
+    turns = marked.join(pieces.hint("merge"), same).withColumn("_turn", F.explode("_turns"))
     # slices want whole words only once per row, so the cut is one expression over the array
-    cut = joined.withColumn(text, cut_text(F.col(text), F.transform("_turn.spans", lambda s: F.struct(s["first"].cast("int").alias("first"), s["last"].cast("int").alias("last")))))
-    return cut.select(*docs.columns)
+    spans = F.transform("_turn.spans", lambda s: F.struct(s["first"].cast("int").alias("first"), s["last"].cast("int").alias("last")))
+    cut = turns.withColumn("_cut", cut_text(F.col("_text"), spans))
+    return cut.select(*[F.col("_cut").alias(c) if c == text else F.col("_in").getField(c).alias(c) for c in docs.columns])
