@@ -1,18 +1,20 @@
 """Removal of repeated byte strings: a byte goes if a string of `LENGTH` bytes that covers it
 also starts in a document with a smaller id.
 
-Method: suffix order and previous smaller positions, shard by shard.  A window of `LENGTH`
-bytes belongs to the least of its hashed k-grams, so that equal windows of any two documents
-meet in one shard; neighbouring windows with the same least gram travel as one segment of
-text.  A shard sorts the windows of its segments in suffix order, equal ones by document.  The
-longest previous factor of a window reaches `LENGTH` where its previous smaller position in
-that order, the nearest one of a smaller document, agrees in all its bytes (equal windows are
-in document order, so no next smaller one can).  Those windows are removed; the first stay.
+Method: longest previous factors, shard by shard.  A window of `LENGTH` bytes belongs to the least
+of its hashed k-grams, so that equal windows of any two documents meet in one shard;
+neighbouring windows with the same least gram travel as one segment of text.  A shard sorts the
+starts of its windows in suffix order, as far as a segment reaches (`REACH` bytes at most), with
+the common prefix of neighbours.  The previous and the next smaller position of a start are the
+nearest ones in that order that lie in a smaller document; the longer of the two common prefixes
+is its longest previous factor.  Bytes under factors of `LENGTH` and more go; first copies stay.
 
 Before the shards are formed, grams that only one document has are left out: they are counted
-over all documents, and a bit field of fixed size tells the tasks which grams are shared (a
+over all documents, and a bit field of bounded size tells the tasks which grams are shared (a
 wrong bit only costs work).  A segment that equals one of a smaller document in the same task
-is removed there, so that a passage which many documents share meets in few rows.
+is removed there, so that a passage which many documents share meets in few rows.  The segments
+of a gram that more than `HOT_SEGMENTS` texts have would crowd one task; they are taken apart
+into windows, which are dealt by their own bytes and compared with the least document of each.
 
 Null text: empty.  Rows without an id keep their text and take nothing from others.  Texts
 shorter than `LENGTH` stay.  Rows of one id do not remove from each other; each row gets its own
@@ -24,17 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm import batches as B
+from wordloom.llm.fields import bit_field, field_bits, member
 from wordloom.session import bounded_join, written
 
 LENGTH = 50
 GRAM = 20
-FILTER_BITS = 27  # the bit field of shared grams has 2^27 bits, 16 MiB
-SLICE_BYTES = 4 << 20
-SHARD_BYTES = 8 << 20  # segments sorted at once; a larger group of one gram stands alone
+REACH = 80  # a segment of one gram's place is no longer
+SLICE_BYTES = 1 << 20
+SHARD_BYTES = 2 << 20  # segments sorted at once; a larger group of one gram stands alone
+HOT_SEGMENTS = 1 << 15  # texts with one gram, from which on its windows are dealt one by one
 
 
 class Segments:
@@ -83,8 +87,8 @@ class Segments:
         return pa.Array.from_buffers(pa.binary(), len(sizes), buffers)
 
 
-def shared_grams(docs: DataFrame, length: int, gram: int) -> np.ndarray:
-    """Bit field of the hashes of least grams that two documents or more have."""
+def shared_grams(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(g, n), written: the least grams that two texts or more have, and how many have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,36 +96,13 @@ def shared_grams(docs: DataFrame, length: int, gram: int) -> np.ndarray:
                 found = Segments(part.column("text"), length, gram)
                 order = np.lexsort((found.text, found.gram))
                 g, t = found.gram[order], found.text[order]
-                once = np.concatenate([[True], (g[1:] != g[:-1]) | (t[1:] != t[:-1])])[: len(g)]
-                g = g[once]
-                # a gram of many texts of this slice goes on twice, which says enough
-                third = np.concatenate([[False, False], (g[2:] == g[:-2])])[: len(g)]
-                yield pa.RecordBatch.from_arrays([pa.array(g[~third].view(np.int64))], ["g"])
+                g = g[np.concatenate([[True], (g[1:] != g[:-1]) | (t[1:] != t[:-1])])[: len(g)]]
+                first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])[: len(g)])
+                n = np.diff(np.append(first, len(g)))
+                yield pa.RecordBatch.from_arrays([pa.array(g[first].view(np.int64)), pa.array(n)], ["g", "n"])
 
-    half = FILTER_BITS // 2  # bits of a block's number; the rest lies in the block
-    inner = FILTER_BITS - half
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, np.ndarray] = {}
-        for batch in batches:
-            place = batch.column("place").to_numpy()
-            for b in np.unique(place >> inner).tolist():
-                if b not in blocks:
-                    blocks[b] = np.zeros(1 << inner, bool)
-                blocks[b][place[place >> inner == b] & ((1 << inner) - 1)] = True
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(blocks), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in blocks.values()], pa.binary())],
-            ["block", "bits"],
-        )
-
-    places = docs.select("text").mapInArrow(run, "g bigint")
-    shared = places.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    place = shared.select(F.pmod("g", F.lit(1 << FILTER_BITS)).alias("place"))
-    filled = place.repartition(F.shiftright("place", inner)).mapInArrow(fill, "block int, bits binary")
-    field = np.zeros((1 << half, 1 << (inner - 3)), np.uint8)
-    for row in filled.toLocalIterator():  # the blocks of one field of fixed size
-        field[row["block"]] |= np.frombuffer(row["bits"], np.uint8)
-    return field.ravel()
+    places = docs.select("text").mapInArrow(run, "g bigint, n bigint")
+    return written(places.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1"))
 
 
 def segments(docs: DataFrame, field: np.ndarray, length: int, gram: int) -> DataFrame:
@@ -130,13 +111,10 @@ def segments(docs: DataFrame, field: np.ndarray, length: int, gram: int) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        mask = np.uint64((1 << FILTER_BITS) - 1)
         for batch in batches:
             for part in B.slices(batch, "text", SLICE_BYTES):
                 found = Segments(part.column("text"), length, gram)
-                place = found.gram & mask
-                some = np.flatnonzero(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                some = np.flatnonzero(member(shared.value, found.gram))
                 if not len(some):
                     continue
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
@@ -183,57 +161,133 @@ def segments(docs: DataFrame, field: np.ndarray, length: int, gram: int) -> Data
 
 def merged(start: np.ndarray, end: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Intervals sorted by (group, start) -> (index of the first of each run that touches or
-    overlaps, end of the run).  Ends may not fall within a group."""
+    overlaps, end of the run)."""
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    new = np.concatenate([[True], (group[1:] != group[:-1]) | (start[1:] > end[:-1])])
+    shift = group * (int(end.max()) + 1)  # so that the furthest end so far is one of the own group
+    furthest = np.maximum.accumulate(end + shift)
+    new = np.concatenate([[True], (group[1:] != group[:-1]) | (start[1:] + shift[1:] > furthest[:-1])])
     first = np.flatnonzero(new)
-    return first, np.append(end[first[1:] - 1], end[-1])
-
+    last = np.append(first[1:] - 1, len(start) - 1)
+    return first, furthest[last] - shift[last]
 
-def repeated_windows(data: np.ndarray, starts: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
-    """Mask of the windows data[s : s + length] that a smaller document has as well.
 
-    `starts` in suffix order, ties by document; the previous smaller position of a window is
-    the last one of the document before its own among the equal ones."""
-    words = []
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    eight = np.zeros(len(data) + 1, np.uint64)
+def suffix_order(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): the starts in the order of the bytes from there to their ends, REACH at most,
+    ties by document, and the length of the common prefix of each with the one before it."""
+    padded = np.concatenate([data, np.zeros(REACH, np.uint8)])
+    eight = np.zeros(len(data) + REACH - 7, np.uint64)
     for i in range(8):
-        eight[: len(data)] = eight[: len(data)] << np.uint64(8) | padded[i : len(data) + i]
-    for at in range(0, length - 7, 8):
-        words.append(eight[starts + at])
-    if length % 8:
-        words.append(eight[starts + length - 8])  # overlaps the one before
+        eight = eight << np.uint64(8) | padded[i : len(eight) + i]
+    left = np.minimum(ends - starts, REACH)
+    words = []
+    for at in range(0, REACH, 8):
+        beyond = np.clip(8 - (left - at), 0, 8).astype(np.uint64) * np.uint64(8)
+        word = eight[np.minimum(starts + at, len(eight) - 1)]
+        words.append(np.where(beyond < 64, word >> (beyond & np.uint64(63)) << (beyond & np.uint64(63)), np.uint64(0)))
     order = np.lexsort((doc, *reversed(words)))
-    same = np.ones(len(order) - 1, bool)
-    for w in words:
-        ranked = w[order]
-        same &= ranked[1:] == ranked[:-1]
-    ranked_doc = doc[order]
-    # the nearest smaller position agrees in `length` bytes if a smaller one heads the run
-    head = np.flatnonzero(np.concatenate([[True], ~same]))
-    least = np.repeat(ranked_doc[head], np.diff(np.append(head, len(order))))
-    out = np.zeros(len(order), bool)
-    out[order] = ranked_doc > least
+    common, equal = np.zeros(len(order), np.int64), np.ones(max(0, len(order) - 1), bool)
+    for word in words:
+        ranked = word[order]
+        other = ranked[1:] ^ ranked[:-1]
+        same = np.full(len(other), 8)
+        for k in range(8, 0, -1):
+            same[(other >> np.uint64(64 - 8 * k)) != 0] = k - 1
+        common[1:] += np.where(equal, same, 0)
+        equal &= other == 0
+    left = left[order]
+    common[1:] = np.minimum(common[1:], np.minimum(left[1:], left[:-1]))
+    return order, common
+
+
+def smaller_before(doc: np.ndarray, common: np.ndarray, length: int) -> np.ndarray:
+    """Common prefix of each place with the nearest one before it that has a smaller document, if it is
+    `length` or more; else 0 (or less than `length`).
+
+    All places between a place and its candidate have no smaller document, so a candidate's own
+    candidate is the next one to ask; the steps double."""
+    prev, shared = np.arange(len(doc)) - 1, common.copy()
+    open_ = np.flatnonzero((prev >= 0) & (shared >= length) & (doc[prev] >= doc))
+    while len(open_):
+        p = prev[open_]
+        further, least = prev[p], np.minimum(shared[open_], shared[p])
+        prev[open_], shared[open_] = further, least
+        open_ = open_[(further >= 0) & (least >= length) & (doc[further] >= doc[open_])]
+    return np.where((prev >= 0) & (doc[prev] < doc), shared, 0)
+
+
+def longest_previous(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """Longest previous factor of each start, from its previous and its next smaller position; lengths
+    below `length` are not told apart."""
+    order, common = suffix_order(data, starts, ends, doc)
+    before = smaller_before(doc[order], common, length)
+    after = smaller_before(doc[order][::-1], np.append(common[1:], 0)[::-1], length)[::-1]
+    out = np.zeros(len(starts), np.int64)
+    out[order] = np.maximum(before, after)
+    return out
+
+
+def repeated_windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """Mask of the starts whose longest previous factor has `length` bytes or more.  Only windows whose
+    hash is met twice enter the suffix order."""
+    sums, down = B.prefix_hashes(data), B.powers(len(data) + 1)[1]
+    window = (sums[starts + length] - sums[starts]) * down[starts]
+    order = np.argsort(window)
+    ranked = window[order]
+    twice = np.zeros(len(order) + 1, bool)
+    twice[1:-1] = ranked[1:] == ranked[:-1]
+    some = np.sort(order[twice[1:] | twice[:-1]])
+    out = np.zeros(len(starts), bool)
+    out[some] = longest_previous(data, starts[some], ends[some], doc[some], length) >= length
     return out
 
 
+def segment_bytes(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bounds) of the column of segments."""
+    column = rows.column("bytes")
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks)
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    if data is None:
+        return np.zeros(0, np.uint8), bounds - bounds[0]
+    return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def hot_removals(found: DataFrame, length: int) -> DataFrame:
+    """(doc_id, key, start, size): the windows of segments that a smaller document has as well.  One row
+    per different window goes back to the windows, which the adaptive planner splits."""
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.filter(batch.column("bytes").is_valid())
+            for part in B.slices(rows, "bytes", 1 << 16):
+                data, bounds = segment_bytes(part)
+                counts = np.diff(bounds) - length + 1
+                segment = np.repeat(np.arange(len(counts)), counts)
+                inner = np.arange(len(segment)) - np.repeat(np.cumsum(counts) - counts, counts)
+                gather = (bounds[segment] + inner)[:, None] + np.arange(length)
+                windows = pa.Array.from_buffers(pa.binary(length), len(segment), [None, pa.py_buffer(np.ascontiguousarray(data[gather]))])
+                doc, key, start = (part.column(c).to_numpy()[segment] for c in ("doc_id", "key", "start"))
+                yield pa.RecordBatch.from_arrays([windows.cast(pa.binary()), pa.array(doc), pa.array(key), pa.array(start + inner)], ["bytes", "doc_id", "key", "start"])
+
+    windows = found.mapInArrow(apart, "bytes binary, doc_id bigint, key bigint, start bigint").withColumn("h", F.xxhash64("bytes"))
+    least = windows.groupBy("h", "bytes").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    later = windows.join(least.hint("merge"), ["h", "bytes"]).where("doc_id > least")
+    return later.select("doc_id", "key", "start", F.lit(length).cast("bigint").alias("size"))
+
+
 def removals(found: DataFrame, length: int) -> DataFrame:
     """(doc_id, key, start, size): byte runs to remove, from segments dealt by gram."""
 
     def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts)
-        column = table.column("bytes").combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-        data = np.frombuffer(column.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
-        bounds = bounds - bounds[0]
+        data, bounds = segment_bytes(table)
         doc, key, start = (table.column(c).to_numpy() for c in ("doc_id", "key", "start"))
         counts = np.diff(bounds) - length + 1
         segment = np.repeat(np.arange(len(counts)), counts)
         inner = np.arange(len(segment)) - np.repeat(np.cumsum(counts) - counts, counts)
-        hit = repeated_windows(data, bounds[segment] + inner, doc[segment], length)
+        hit = repeated_windows(data, bounds[segment] + inner, bounds[segment + 1], doc[segment], length)
         segment, inner = segment[hit], inner[hit]
         first, last = merged(inner, inner + length, segment)
         s = segment[first]
@@ -279,18 +333,27 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(body).alias("key"), body.alias("text"))
 
 
-def joined_runs(runs: Column) -> Column:
-    """Runs (start, size) in order, those that touch or overlap made one."""
-
-    def add(done: Column, run: Column) -> Column:
-        last = F.element_at(done, -1)
-        end = last["start"] + last["size"]
-        longer = F.struct(last["start"].alias("start"), (F.greatest(end, run["start"] + run["size"]) - last["start"]).alias("size"))
-        widened = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))
-        return F.when((F.size(done) > 0) & (run["start"] <= end), widened).otherwise(F.concat(done, F.array(run)))
+def joined_runs(cuts: DataFrame) -> DataFrame:
+    """(doc_id, key, runs): the runs of each row in order, those that touch or overlap made one."""
+    kind = pa.struct([("start", pa.int64()), ("size", pa.int64())])
 
-    none = F.slice(runs, F.lit(1), F.lit(0))
-    return F.aggregate(runs, none, add)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("runs")
+            flat = lists.flatten()
+            start, size = flat.field("start").to_numpy(), flat.field("size").to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets, np.int64)))
+            first, end = merged(start, start + size, row)
+            sizes = np.bincount(row[first], minlength=batch.num_rows)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            values = pa.StructArray.from_arrays([pa.array(start[first]), pa.array(end - start[first])], fields=list(kind))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("key"), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "key", "runs"]
+            )
+
+    found = F.sort_array(F.collect_list(F.struct("start", "size"))).alias("runs")  # at most the windows of one text
+    each = cuts.groupBy("doc_id", "key").agg(found)
+    return each.mapInArrow(run, "doc_id bigint, key bigint, runs array<struct<start: bigint, size: bigint>>")
 
 
 def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -298,10 +361,19 @@ def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     order; null if there are none.  The runs reach the texts by a size-checked join."""
     rows = keyed(docs, key, text)
     able = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    field = shared_grams(able, length, gram)
-    cuts = removals(segments(able, field, length, gram), length)
-    found = F.sort_array(F.collect_list(F.struct("start", "size")))  # at most the windows of one text
-    runs = written(cuts.groupBy("doc_id", "key").agg(joined_runs(found).alias("runs")))
+    shared = shared_grams(able, length, gram)
+    found = segments(able, bit_field(shared, "g", field_bits(shared.count())), length, gram)
+    hot = written(shared.where(F.col("n") > HOT_SEGMENTS).select("g", F.lit(True).alias("hot")))
+    crowded = hot.count()
+    if crowded:
+        told = bounded_join(found, hot, "g", crowded, 32)
+        some = removals(told.where("hot is null").drop("hot"), length)
+        cuts = some.unionByName(hot_removals(told.where("hot").drop("hot"), length))
+        known = told.where("hot and bytes is null").select("doc_id", "key", "start", "size")
+        cuts = cuts.unionByName(known)
+    else:
+        cuts = removals(found, length)
+    runs = written(joined_runs(cuts))
     count, spans = runs.agg(F.count("*"), F.sum(F.size("runs"))).first()
     row_bytes = 96 + 32 * (spans or 0) // max(1, count)
     return bounded_join(rows, runs, ["doc_id", "key"], count, row_bytes)
