@@ -112,15 +112,20 @@ def words(column: pa.Array, fold: bool = False) -> Words:
     return Words(mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)), bounds)
 
 
+def windows_of(found: Words, width: int) -> np.ndarray:
+    """Hashes of the `width` words from each word on, across texts; the last ones are cut short."""
+    h = found.hashes
+    out = np.zeros(len(h), np.uint64)
+    for i in range(width):
+        out[: len(h) - i] += h[i:] * _MULTIPLIERS[i]
+    return mix(out)
+
+
 def shingle_sets(found: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes, bounds by text).  A text with fewer than `width`
     words has its whole word sequence as one shingle; one without words has none."""
     h, bounds = found.hashes, found.bounds
-    n = len(h)
-    windows = np.zeros(n, np.uint64)
-    for i in range(width):
-        windows[: n - i] += h[i:] * _MULTIPLIERS[i]
-    windows = mix(windows)
+    windows = windows_of(found, width)
     parts, sizes = [], np.zeros(len(bounds) - 1, np.int64)
     for t, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
         if b - a >= width:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.session import written
+from wordloom.session import forget, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def components(links: DataFrame) -> DataFrame:
     smaller neighbours to the smallest of them, until all links lead to roots; the rounds grow
     with the logarithm of the longest path.  A hub is one minimum per task and a join that the
     adaptive planner can split; no group is collected.  Each round is written down, which cuts
-    the lineage."""
+    the lineage, and the one before is deleted."""
     pairs = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now, before = written(pairs), None
     while True:
@@ -31,4 +31,5 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         moved = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        last, now = now, written(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        forget(last)

@@ -7,8 +7,13 @@ order, as many as a linking pair must have one of in common.  Small sets within
 ones enter the lists, too.  The boundary is the largest size up to which listing subsets costs
 no more keys than scanning inverted lists, by the lengths of the lists of such sets.
 
-The order puts shingles of crowded hash buckets last.  It only decides the work: any order
-gives the same links.
+The order puts shingles of crowded hash buckets last and, before them, those first whose words are
+rare together: the sum of the words' log frequencies, counted by hash bucket.  So the first
+shingles of a set are met in copies and hardly anywhere else, at any size of the corpus.  The
+order only decides the work: any order gives the same links.
+
+Keys that only one class has never meet anything.  A first count finds the others; a bit field of
+bounded size lets only those be listed with what a list needs.
 
 Lists are not expanded into pairs.  First every member of a list is compared with the list's
 smallest member, and links are joined into components.  Then the pairs of a list that lie in
@@ -24,16 +29,19 @@ from __future__ import annotations
 import math
 from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm import batches as B
+from wordloom.llm.fields import bit_field, field_bits, member
 from wordloom.llm.graph import components
-from wordloom.session import bounded_join, written
+from wordloom.session import bounded_join, forget, fresh, written
 
 WIDTH = 4
 PERCENT = 85
@@ -62,23 +70,64 @@ def sets_of(part: pa.RecordBatch, text: str, width: int) -> tuple[np.ndarray, np
     return B.shingle_sets(B.words(part.column(text), fold=True), width)
 
 
-def bucket_counts(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """Shingles of all documents by hash bucket; a task hands on one row per bucket."""
+def weighted_sets(part: pa.RecordBatch, text: str, width: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`sets_of` with the weight of each shingle: the sum over its words; 0 for a text that is one shingle."""
+    found = B.words(part.column(text), fold=True)
+    flat, bounds = B.shingle_sets(found, width)
+    own = weights[(found.hashes % np.uint64(ORDER_BUCKETS)).astype(np.int64)]
+    sums = np.zeros(len(own), np.float32)
+    for i in range(width):
+        sums[: len(own) - i] += own[i:]
+    windows = B.windows_of(found, width)
+    out = np.zeros(len(flat), np.float32)
+    for i, (a, b) in enumerate(zip(found.bounds[:-1].tolist(), found.bounds[1:].tolist())):
+        if b - a >= width:
+            at = np.searchsorted(flat[bounds[i] : bounds[i + 1]], windows[a : b - width + 1])
+            out[bounds[i] + at] = sums[a : b - width + 1]
+    return flat, bounds, out
+
+
+def bucket_counts(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles and words of all documents by hash bucket; a task hands on one row per bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(ORDER_BUCKETS, np.int64)
+        counts = np.zeros(2 * ORDER_BUCKETS, np.int64)
         for batch in batches:
             for part in B.slices(batch, text):
-                flat, _ = sets_of(part, text, width)
-                counts += np.bincount((flat % np.uint64(ORDER_BUCKETS)).astype(np.int64), minlength=ORDER_BUCKETS)
+                found = B.words(part.column(text), fold=True)
+                for hashes, first in ((B.shingle_sets(found, width)[0], 0), (found.hashes, ORDER_BUCKETS)):
+                    bucket = (hashes % np.uint64(ORDER_BUCKETS)).astype(np.int64) + first
+                    counts += np.bincount(bucket, minlength=2 * ORDER_BUCKETS)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], ["bucket", "n"])
 
     summed = docs.select(text).mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros(ORDER_BUCKETS, np.int64)
-    got = summed.toPandas()  # at most ORDER_BUCKETS rows
+    out = np.zeros(2 * ORDER_BUCKETS, np.int64)
+    got = summed.toPandas()  # at most 2 ORDER_BUCKETS rows
     out[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return out
+    return out[:ORDER_BUCKETS], out[ORDER_BUCKETS:]
+
+
+@dataclass(frozen=True)
+class Order:
+    """The order of shingles: (crowded buckets packed to bits, weights of words by bucket)."""
+
+    parts: Broadcast
+
+    @classmethod
+    def of(cls, docs: DataFrame, text: str, width: int) -> Order:
+        counts, words = bucket_counts(docs, text, width)
+        crowded = counts > max(np.quantile(counts, CROWDED), 1)
+        weights = np.log1p(words).astype(np.float32)
+        return cls(docs.sparkSession.sparkContext.broadcast((np.packbits(crowded), weights)))
+
+    def sets(self, part: pa.RecordBatch, text: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shingles, bounds, order): `order` sorts the shingles of every text in their global order."""
+        bits, weights = self.parts.value
+        flat, bounds, weight = weighted_sets(part, text, width, weights)
+        late = np.unpackbits(bits)[(flat % np.uint64(ORDER_BUCKETS)).astype(np.int64)]
+        text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        return flat, bounds, np.lexsort((flat, weight, late, text_of))
 
 
 def fingerprints(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,22 +160,28 @@ def prefix_length(n: int, percent: int) -> int:
     return n - least_partner(n, percent) + 1
 
 
-def postings(docs: DataFrame, text: str, width: int, percent: int, crowded: np.ndarray, boundary: int, only_small: bool = False) -> DataFrame:
+def postings(
+    docs: DataFrame,
+    text: str,
+    width: int,
+    percent: int,
+    order: Order,
+    boundary: int,
+    only_small: bool = False,
+    field: Broadcast | None = None,
+) -> DataFrame:
     """(token, f, n, pos): the keys of each class.  pos is the place in the order for shingles,
-    -1 for subsets.  A task lists a class once.
+    -1 for subsets.  A task lists a class once; with a `field`, only keys that are in it.
 
     `only_small` lists the shingles of sets that could be light, whatever the boundary."""
     reach = least_partner(boundary + 1, percent)
-    spark = docs.sparkSession
-    last = spark.sparkContext.broadcast(np.packbits(crowded))  # ORDER_BUCKETS bits
 
-    def keys_of(own: np.ndarray, late: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def keys_of(own: np.ndarray, ordered: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         n = len(own)
         tokens, places = [], []
         if n >= reach or only_small:
             take = prefix_length(n, percent)
-            ordered = np.concatenate([own[~late], own[late]])[:take]
-            tokens.append(ordered)
+            tokens.append(ordered[:take])
             places.append(np.arange(take))
         if n <= boundary and not only_small:
             for c in subset_sizes(n, percent, boundary):
@@ -136,20 +191,19 @@ def postings(docs: DataFrame, text: str, width: int, percent: int, crowded: np.n
         return tokens, places
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(last.value).astype(bool)
         known: set[int] = set()
         for batch in batches:
             for part in B.slices(batch, text):
-                flat, bounds = sets_of(part, text, width)
+                flat, bounds, ranks = order.sets(part, text, width)
                 f, _ = fingerprints(flat, bounds)
-                late = flags[(flat % np.uint64(ORDER_BUCKETS)).astype(np.int64)]
+                ordered = flat[ranks]
                 tokens, places, sizes, names = [], [], [], []
                 for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                     name = int(f[i])
                     if a == b or name in known or (only_small and b - a > boundary):
                         continue
                     known.add(name)
-                    t, p = keys_of(flat[a:b], late[a:b])
+                    t, p = keys_of(flat[a:b], ordered[a:b])
                     tokens += t
                     places += p
                     count = sum(map(len, t))
@@ -158,12 +212,14 @@ def postings(docs: DataFrame, text: str, width: int, percent: int, crowded: np.n
                 if len(known) > 1_000_000:
                     known.clear()
                 if tokens:
+                    token = np.concatenate(tokens)
+                    some = slice(None) if field is None else member(field.value, token)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.concatenate(tokens).view(np.int64)),
-                            pa.array(np.concatenate(names), pa.int64()),
-                            pa.array(np.concatenate(sizes), pa.int32()),
-                            pa.array(np.concatenate(places), pa.int32()),
+                            pa.array(token.view(np.int64)[some]),
+                            pa.array(np.concatenate(names)[some], pa.int64()),
+                            pa.array(np.concatenate(sizes)[some], pa.int32()),
+                            pa.array(np.concatenate(places)[some], pa.int32()),
                         ],
                         ["token", "f", "n", "pos"],
                     )
@@ -171,7 +227,7 @@ def postings(docs: DataFrame, text: str, width: int, percent: int, crowded: np.n
     return docs.select(text).mapInArrow(run, "token bigint, f bigint, n int, pos int")
 
 
-def light_boundary(docs: DataFrame, text: str, width: int, percent: int, crowded: np.ndarray) -> int:
+def light_boundary(docs: DataFrame, text: str, width: int, percent: int, order: Order) -> int:
     """Largest set size up to which subsets cost no more than scanning inverted lists.
 
     A set of size n costs as many keys as it has subsets, against its prefix shingles and the
@@ -179,7 +235,7 @@ def light_boundary(docs: DataFrame, text: str, width: int, percent: int, crowded
     top = 1
     while sum(math.comb(top + 1, c) for c in subset_sizes(top + 1, percent, top + 1)) <= MOST_SUBSETS:
         top += 1
-    small = postings(docs, text, width, percent, crowded, top, only_small=True)
+    small = postings(docs, text, width, percent, order, top, only_small=True)
     lists = small.groupBy("token").agg(F.count("*").alias("k"), F.sum("n").alias("ns"))
     # by the mean size of a list's members: lists, entries, and entries met when scanning
     by_size = lists.groupBy(F.round(F.col("ns") / F.col("k")).cast("int").alias("n")).agg(
@@ -263,15 +319,16 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     `links` (a, b) between classes: they connect all classes that links connect, without all
     pairs of a component."""
     rows = written(set_rows(docs, key, text, width))
-    counts = bucket_counts(docs, text, width)
-    crowded = counts > max(np.quantile(counts, CROWDED), 1)
-    boundary = light_boundary(docs, text, width, percent, crowded)
-    listed = postings(docs, text, width, percent, crowded, boundary)
+    order = Order.of(docs, text, width)
+    boundary = light_boundary(docs, text, width, percent, order)
+    listed = postings(docs, text, width, percent, order, boundary)
     # only lists of two classes or more matter; hot lists are minima per task, then one row
-    hubs = listed.groupBy("token").agg(
-        F.min("f").alias("hub"), F.max("f").alias("top"), (F.count("*") > 2).alias("many")
-    ).where("hub < top").drop("top")
-    shared = written(listed.hint("merge").join(hubs, "token").dropDuplicates(["token", "f"]))
+    hubs = listed.groupBy("token").agg(F.min("f").alias("hub"), F.max("f").alias("top"), (F.count("*") > 2).alias("many"))
+    hubs = written(hubs.where("hub < top").drop("top"))
+    field = docs.sparkSession.sparkContext.broadcast(bit_field(hubs, "token", field_bits(hubs.count())))
+    again = postings(docs, text, width, percent, order, boundary, field=field)
+    shared = written(again.hint("merge").join(hubs, "token").dropDuplicates(["token", "f"]))
+    forget(hubs)
     prefixes = written(shared.where("pos >= 0").groupBy("f").agg(F.collect_list("token").alias("tokens")))
     heads = shared.where("f = hub").groupBy("token").agg(F.first("n").alias("m"), F.first("pos").alias("qos"))
     near = shared.where("f <> hub").hint("merge").join(heads, "token").where(possible(percent))
@@ -287,14 +344,22 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         return written(_of_class(found, text, width))
 
     close = written(likely(first, prefixes, percent, boundary))
-    links = written(verified(close, texts_of(close), text, width, percent))
+    texts = texts_of(close)
+    links = written(verified(close, texts, text, width, percent))
+    forget(texts, close)
     roots = written(components(links))
     # what is left: pairs of a list between components; a list of two has no other pair
     of = shared.where("many").join(roots.select(F.col("node").alias("f"), "root"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     mixed = of.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    members = written(of.join(mixed, "token", "left_semi").select("token", "f", "n", "pos", "root"))
-    others = members.select("token", F.col("f").alias("g"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("root").alias("other"))
-    cross = members.hint("merge").join(others, "token").where("f < g and root <> other").where(possible(percent))
+    # a list meets itself by classes of sizes: sets that link lie in the same one or in neighbours
+    size_class = F.floor(F.log(F.col("n")) / -math.log(percent / 100) + 1e-9).cast("int")
+    members = written(of.join(mixed, "token", "left_semi").select("token", "f", "n", "pos", "root", size_class.alias("size_class")))
+    others = members.select("token", F.col("f").alias("g"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("root").alias("other"), "size_class")
+    others = others.withColumn("size_class", F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)])))
+    apart = (F.col("f") < F.col("g")) & (F.col("root") != F.col("other")) & possible(percent)
+    left, right = members.hint("merge").alias("l"), others.alias("r")
+    same = (F.col("l.token") == F.col("r.token")) & (F.col("l.size_class") == F.col("r.size_class"))
+    cross = left.join(right, same & apart)
     rest = cross.select(F.col("f").alias("a"), F.col("g").alias("b"), "n", "m").dropDuplicates(["a", "b"])
     rest = rest.join(first.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti")
     rest = written(likely(written(rest), prefixes, percent, boundary))
@@ -333,6 +398,7 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 def first_of_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """`docs` without the members of a component other than its smallest doc_id; of equal
     doc_ids all rows stay."""
-    groups = joined(docs, key, text, width, percent)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(written(gone), F.col(key) == F.col("_gone"), "left_anti")
+    groups = joined(docs.select(key, text), key, text, width, percent)
+    name = fresh(docs, "_gone")
+    gone = written(groups.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(gone, F.col(key) == F.col(name), "left_anti")
