@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm import batches as B
@@ -327,6 +327,13 @@ class Keys:
         return self.known
 
 
+def even_names(spark: SparkSession, n: int) -> DataFrame:
+    """(slot, block): for each of n partitions a number that Spark's hash puts there, so that blocks
+    of that name come one to a partition."""
+    names = spark.range(0, 16 * n + 64, 1, 1).select(F.col("id").cast("int").alias("block"))
+    return names.groupBy(F.pmod(F.hash("block"), F.lit(n)).alias("slot")).agg(F.min("block").alias("block"))
+
+
 def scored(docs: DataFrame, values: DataFrame, tokens: int, distinct: int, texts: int, depth: int) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, base_score, score, n_bytes) of `docs` (doc_id, train, like, text).
 
@@ -338,9 +345,11 @@ def scored(docs: DataFrame, values: DataFrame, tokens: int, distinct: int, texts
     total = spans.agg(F.sum("blocks")).first()[0] or 1
     # the blocks of a group follow a hash of its name; groups may share blocks
     first, turn = F.xxhash64("like"), F.pmod(F.xxhash64("doc_id", "text"), F.col("blocks"))
-    block = F.pmod(F.pmod(first, F.lit(total)) + turn, F.lit(total)).cast("int")
+    slot = F.pmod(F.pmod(first, F.lit(total)) + turn, F.lit(total)).cast("int")
     rows = bounded_join(docs, spans, "like", spans.count(), 64, "inner")
-    rows = rows.select("doc_id", "train", "text", block.alias("block")).repartition(total, "block")
+    rows = rows.select("doc_id", "train", "text", slot.alias("slot"))
+    rows = bounded_join(rows, even_names(docs.sparkSession, total), "slot", total, 64)
+    rows = rows.select("doc_id", "train", "text", F.coalesce("block", "slot").alias("block")).repartition(total, "block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted: dict[int, Keys] = {}
