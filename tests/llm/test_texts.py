@@ -191,13 +191,67 @@ def test_substrings_by_seams_of_shards(monkeypatch):
     data = rng.integers(97, 99, 400).astype(np.uint8)
     starts = np.arange(len(data) - 9)
     doc = starts // 100
-    mask = substrings.repeated_windows(data, starts, doc, 10)
+    mask = substrings.repeated_windows(data, starts, np.full(len(starts), len(data)), doc, 10)
     seen = defaultdict(set)
     for s in starts:
         seen[data[s : s + 10].tobytes()].add(doc[s])
     assert mask.tolist() == [min(seen[data[s : s + 10].tobytes()]) < doc[s] for s in starts]
 
 
+def test_longest_previous_factors():
+    """Against the longest common prefix with any start of a smaller document."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    for letters, segments in ((2, 12), (3, 30), (26, 8)):
+        sizes = rng.integers(6, 130, segments)
+        data = rng.integers(97, 97 + letters, int(sizes.sum())).astype(np.uint8)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        if segments == 8:
+            data[bounds[5] : bounds[5] + 100] = data[:100]
+        starts = np.concatenate([np.arange(a, b - 5) for a, b in zip(bounds, bounds[1:])])
+        which = np.searchsorted(bounds, starts, side="right") - 1
+        ends, doc = bounds[which + 1], rng.integers(0, segments // 2, segments)[which]
+
+        def common(s, t, ends=ends, data=data, starts=starts):
+            a = data[starts[s] : min(ends[s], starts[s] + substrings.REACH)]
+            b = data[starts[t] : min(ends[t], starts[t] + substrings.REACH)]
+            n = min(len(a), len(b))
+            differ = np.flatnonzero(a[:n] != b[:n])
+            return differ[0] if len(differ) else n
+
+        got = substrings.longest_previous(data, starts, ends, doc, 6)
+        for s in range(0, len(starts), 7):
+            want = max((common(s, t) for t in np.flatnonzero(doc < doc[s])), default=0)
+            assert got[s] == want if want >= 6 else got[s] < 6
+
+
+def test_substrings_of_a_hot_passage(spark, monkeypatch):
+    """A passage in a third of all documents, in other surroundings each, with and without the split of
+    crowded grams."""
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = []
+    for i in range(240):
+        own = "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 120)))
+        rows.append((i * 7 % 240, own + (passage if i % 3 == 0 else "") + own[::-1]))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(9)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    want = removed_bytes(rows, substrings.LENGTH)
+    for hot in (1 << 15, 40, 1):
+        monkeypatch.setattr(substrings, "HOT_SEGMENTS", hot)
+        assert Counter(tuple(r) for r in substrings.digests(df).select(names).collect()) == want
+
+
+def test_merged_runs():
+    import numpy as np
+
+    start, end = np.array([0, 2, 3, 20, 0, 9, 5, 40]), np.array([9, 4, 12, 22, 9, 10, 6, 41])
+    group = np.array([0, 0, 0, 0, 1, 1, 2, 2])
+    first, last = substrings.merged(start, end, group)
+    assert first.tolist() == [0, 3, 4, 6, 7] and last.tolist() == [12, 22, 10, 6, 41]
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -207,24 +261,18 @@ def distance(a, b):
     return row[-1]
 
 
-def kept_lines(spark, rows, keys):
-    """Texts without repeated lines, by comparing all pairs that agree in two blocks."""
+def kept_lines(rows, keys):
+    """Texts without repeated lines, by comparing all pairs."""
 
     def norm(line):
-        return tuple(regex.sub(r"[^\p{L}\p{N}]+", " ", line.lower()).strip(" ").split(" "))
+        return tuple(regex.sub(r"[^\p{L}\p{N}]+", " ", line.lower()).strip(" ").split())
 
     places = defaultdict(set)
     for d, t, *_ in rows:
         for i, line in enumerate((t or "").split("\n")):
-            if len(norm(line)) >= lines.MIN_WORDS:
+            if norm(line):
                 places[norm(line)].add((-(2**63) if d is None else d, t, i))
-    every = sorted({w for c in places for w in c})
-    hashed = spark.createDataFrame([(w,) for w in every], "w string").select("w", F.xxhash64("w")).collect() if every else []
-    code = {r[0]: r[1] & (2**64 - 1) for r in hashed}
     names = list(places)
-    looked = [{w for w in n if len(w) >= lines.LONG} for n in names]
-    looked = [x if len(x) >= lines.MIN_WORDS else set(n) for x, n in zip(looked, names)]
-    sims = [sum(1 << k for k in range(64) if 2 * sum(code[w] >> k & 1 for w in x) > len(x)) for x in looked]
     root = list(range(len(names)))
 
     def find(x):
@@ -233,10 +281,8 @@ def kept_lines(spark, rows, keys):
         return x
 
     for a, b in combinations(range(len(names)), 2):
-        agree = sum(((sims[a] ^ sims[b]) >> s) & ((1 << n) - 1) == 0 for s, n in lines.BLOCKS)
         longer = max(len(names[a]), len(names[b]))
-        near = (sims[a] ^ sims[b]).bit_count() <= lines.MOST_BITS
-        if agree >= lines.AGREE and near and 5 * distance(names[a], names[b]) <= longer:
+        if 5 * abs(len(names[a]) - len(names[b])) <= longer and 5 * distance(names[a], names[b]) <= longer:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     groups = defaultdict(set)
@@ -264,7 +310,7 @@ def test_lines(spark, docs, rows, nothing):
     keyed = lines.keyed(table, "doc_id", "text").collect()
     keys = {(r["_id"], r["text"]): r["_key"] for r in keyed}
     got = Counter((r["doc_id"], r["text"]) for r in lines.dedup(table).collect())
-    assert got == kept_lines(spark, data, keys)
+    assert got == kept_lines(data, keys)
     assert got[101, "short one"] == 1 and got[102, ""] == 1 and got[103, None] == 1
     assert lines.dedup(nothing).columns == nothing.columns and lines.dedup(nothing).count() == 0
 
@@ -305,15 +351,22 @@ def test_lines_finds_all_similar_pairs(spark):
     assert {r["doc_id"] for r in lines.dedup(df).where("text <> ''").collect()} == want
 
 
-def test_lines_on_edge_rows_without_the_gate(spark, docs, monkeypatch):
-    """The rows of `docs`, with the brute force looking at all pairs."""
-    table = docs.select("doc_id", "text")
-    data = [(r[0], r[1]) for r in table.collect()]
-    keys = {(r["_id"], r["text"]): r["_key"] for r in lines.keyed(table, "doc_id", "text").collect()}
-    got = Counter((r["doc_id"], r["text"]) for r in lines.dedup(table).collect())
-    monkeypatch.setattr(lines, "AGREE", 0)
-    monkeypatch.setattr(lines, "MOST_BITS", 64)
-    assert got == kept_lines(spark, data, keys)
+def test_short_lines(spark):
+    """Very short lines are linked with equal ones only; lines without a word stay."""
+    rows = [(i, f"Click here now\nbody of text number{i} alone\n\n***\nsubscribe, today!\nread {i}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in lines.dedup(df).collect()}
+    assert got[0] == rows[0][1].split("\n")
+    for i in range(1, 6):
+        assert got[i] == ["", "***", f"read {i}"]  # one word of five differs in the second line
+
+
+def test_lines_with_clashing_columns(spark):
+    names = ["_id", "_key", "_gone", "_row", "k1", "pos", "keys", "norm", "hub"]
+    rows = [(i, "one two three four five six" if i % 2 else f"line {i}", *[f"{c}{i}" for c in names]) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{c} string" for c in names))
+    got = sorted(map(tuple, lines.dedup(df).collect()))
+    assert got == sorted((r[0], "" if r[0] % 2 and r[0] > 1 else r[1], *r[2:]) for r in rows)
 
 
 @pytest.mark.parametrize("n", [1, 5, 63, 64, 300, 17_000])
