@@ -130,15 +130,13 @@ def test_most_similar(spark):
         embedding.most_similar(df, "absent").collect()
 
 
-def test_most_similar_batch_over_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(embedding, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(embedding, "VECTOR_BLOCK", 16)
+def test_most_similar_batch_over_many_blocks(spark):
     rows = {f"w{i}": RNG.normal(size=5).astype("float32").astype("float64") for i in range(60)}
     for i in range(40, 60):
         rows[f"w{i}"] = rows["w0"]  # a third of all rows are copies
     df = vector_table(spark, rows.items())
     got = {}
-    for r in embedding.most_similar_batch(df, df, 4).orderBy("query", "rank").collect():
+    for r in embedding.most_similar_batch(df, df, 4, query_block=7, vector_block=16).orderBy("query", "rank").collect():
         got.setdefault(r["query"], []).append(r["token"])
     assert got == {w: python_near(rows, w, 4) for w in rows}
 
@@ -184,8 +182,25 @@ def test_zero_vectors_have_no_neighbours(spark):
     assert got == {"a": ["b", "c"], "b": ["a", "c"], "c": ["b", "a"]}
 
 
-def test_batch_search_shuffles_no_vector(spark):
-    df = spark.range(50).select(F.col("id").cast("string").alias("token"), F.array(F.col("id").cast("float"), F.lit(1.0)).alias("vector"))
-    plan = embedding.most_similar_batch(df, df.limit(3))._jdf.queryExecution().executedPlan().toString()
-    below = plan[plan.index("MapInPandas") :]
-    assert "Exchange" not in below
+def test_batch_search_has_one_plan_for_any_number_of_queries(spark):
+    df = spark.range(500).select(F.col("id").cast("string").alias("token"), F.array(F.col("id").cast("float"), F.lit(1.0)).alias("vector"))
+
+    def nodes(queries):
+        return embedding.most_similar_batch(df, queries, query_block=2, vector_block=9)._jdf.queryExecution().optimizedPlan().toString().count("\n")
+
+    assert nodes(df.where("token < 3")) == nodes(df.where("token < 400"))
+
+
+def test_batch_search_in_many_blocks(spark):
+    """Blocks of any size give the same rows; null and zero vectors take no part."""
+    rows = [(f"w{i}", None if i == 7 else [0.0] * 5 if i == 9 else RNG.normal(size=5).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "token string, vector array<double>").repartition(6)
+    some = df.where("token like '%3%' or token in ('w7', 'w9')")
+    known = {w: np.array(v) for w, v in rows if w not in ("w7", "w9")}
+    for sizes in ((4096, 8192), (3, 20), (50, 1)):
+        got = {}
+        for r in embedding.most_similar_batch(df, some, 4, query_block=sizes[0], vector_block=sizes[1]).orderBy("query", "rank").collect():
+            got.setdefault(r["query"], []).append(r["token"])
+        assert got == {w: python_near(known, w, 4) for w in known if "3" in w}
+    assert embedding.most_similar_batch(df, df.limit(0)).count() == 0
+    assert embedding.most_similar_batch(df.limit(0), df).count() == 0

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-from itertools import islice
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wordloom.functions import hashing
 from wordloom.functions import vectors as vx
@@ -120,10 +115,50 @@ def most_similar(vectors: DataFrame, word: object, n: int = 5, id_col: str = "to
     return scored.select(place.alias("rank"), id_col, "similarity")
 
 
-# Queries that travel to the tasks together, and vectors scored at once: bounds the score
-# matrix of a task to 32 MB.
+# Rows of a block on either side, about: a pair of blocks is one call in one task.
 QUERY_BLOCK = 4096
-VECTOR_BLOCK = 1024
+VECTOR_BLOCK = 8192
+SCORES = 1 << 22  # scores held at once: 32 MB
+
+
+def unit_rows(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows scaled to length one, which of them have a direction) of a column of vectors."""
+    rows = column.combine_chunks()
+    values = rows.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(rows), -1)
+    sizes = np.linalg.norm(values, axis=1)
+    return values / np.where(sizes > 0, sizes, 1)[:, None], sizes > 0
+
+
+def nearest_of_block(queries: pa.Table, vectors: pa.Table, n: int, id_col: str, vector: str) -> pa.Table:
+    """(query, id, similarity): the n nearest rows of `vectors` to each row of `queries`, ties by id."""
+    asked, names = queries.column(id_col).to_pylist(), vectors.column(id_col).to_pylist()
+    taken: tuple[list, list, list] = ([], [], [])
+    if asked and names:
+        order = sorted(range(len(names)), key=names.__getitem__)
+        q, some = unit_rows(queries.column(vector))
+        v, able = unit_rows(vectors.column(vector))
+        order = [i for i in order if able[i]]
+        names, v = [names[i] for i in order], v[order]
+        places: dict[object, list[int]] = {}
+        for i, name in enumerate(names):
+            places.setdefault(name, []).append(i)
+        wanted = np.flatnonzero(some)
+        step = max(1, SCORES // max(1, len(names)))
+        for part in (wanted[i : i + step] for i in range(0, len(wanted) if names else 0, step)):
+            scores = np.round(q[part] @ v.T, 9)
+            for row, i in enumerate(part):
+                scores[row, places.get(asked[i], [])] = -np.inf
+            least = np.partition(scores, -min(n, len(names)), axis=1)[:, -min(n, len(names))]
+            row, col = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+            best = np.lexsort((col, -scores[row, col], row))
+            row, col = row[best], col[best]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[place < n], col[place < n]
+            taken[0].extend(asked[i] for i in part[row])
+            taken[1].extend(names[i] for i in col)
+            taken[2].extend(scores[row, col].tolist())
+    kind = queries.schema.field(id_col).type
+    return pa.table([pa.array(taken[0], kind), pa.array(taken[1], kind), pa.array(taken[2], pa.float64())], ["query", id_col, "similarity"])
 
 
 def most_similar_batch(
@@ -133,53 +168,35 @@ def most_similar_batch(
     id_col: str = "token",
     vector: str = "vector",
     query_block: int = QUERY_BLOCK,
+    vector_block: int = VECTOR_BLOCK,
 ) -> DataFrame:
     """(query, rank, id, similarity) for many query rows at once; exact.
 
-    The queries go to the tasks in blocks of at most `query_block` rows.  The vectors are
-    scored where they lie, each task keeps the n best of each query, and those meet.  No
-    vector is shuffled.  Zero vectors have no similarity and are left out on both sides."""
-    spark = vectors.sparkSession
-    id_type = vectors.schema[id_col].dataType
-    schema = T.StructType(
-        [
-            T.StructField("query", id_type),
-            T.StructField(id_col, id_type),
-            T.StructField("similarity", T.DoubleType()),
-        ]
-    )
-
-    def unit_rows(values: list) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.array([np.asarray(v, "float64") for v in values])
-        sizes = np.linalg.norm(rows, axis=1) if len(rows) else np.zeros(0)
-        return rows / np.where(sizes > 0, sizes, 1)[:, None] if len(rows) else rows, sizes > 0
-
-    def searched(block: list) -> DataFrame:
-        rows, some = unit_rows([r[vector] for r in block])
-        shared = spark.sparkContext.broadcast(([r[id_col] for r, ok in zip(block, some) if ok], rows[some]))
-
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            top: list[list[tuple]] = [[] for _ in ids]
-            for batch in batches:
-                for at in range(0, len(batch), VECTOR_BLOCK):
-                    part = batch.iloc[at : at + VECTOR_BLOCK]
-                    v, able = unit_rows(part[vector].tolist())
-                    names = part[id_col].to_numpy()[able]
-                    order = np.argsort(names, kind="stable")  # ties by id
-                    names, scores = names[order], np.round(q @ v[able][order].T, 9)
-                    first = np.argsort(-scores, axis=1, kind="stable")[:, : n + 1]
-                    for i, places in enumerate(first):
-                        found = [(-scores[i, j], names[j]) for j in places if names[j] != ids[i]]
-                        top[i] = sorted(top[i] + found)[:n]
-            flat = [(ids[i], name, -s) for i, rows in enumerate(top) for s, name in rows]
-            yield pd.DataFrame(flat, columns=["query", id_col, "similarity"])
-
-        return vectors.select(id_col, vector).mapInPandas(best, schema)
-
-    asked, parts = queries.select(id_col, vector).toLocalIterator(), []
-    while block := list(islice(asked, query_block)):
-        parts.append(searched(block))
-    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    Both sides are dealt into blocks by a hash of the id; every pair of a query block and a
+    vector block meets once and hands on the n best of each query, and those meet.  So a task
+    holds two blocks, whatever the number of rows; a row travels once per block of the other
+    side, the plan is the same for any number of queries, and nothing goes through the driver.
+    Smaller blocks are taken where that gives all slots a pair.  Null and zero vectors have no
+    similarity and are left out on both sides; all others have one width."""
+    id_type = vectors.schema[id_col].dataType.simpleString()
+    slots = vectors.sparkSession.sparkContext.defaultParallelism
+    sides = [t.select(id_col, vector).where(F.col(vector).isNotNull()) for t in (queries, vectors)]
+    asked, there = (max(1, t.count()) for t in sides)
+    vector_blocks = -(-there // vector_block)
+    least = min(-(-slots // vector_blocks), -(-asked // 64))  # no fewer than 64 queries for the sake of slots
+    query_blocks = max(-(-asked // query_block), least)
+
+    def dealt(side: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        block = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
+        return side.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    left = dealt(sides[0], "_query_block", query_blocks, "_vector_block", vector_blocks)
+    right = dealt(sides[1], "_vector_block", vector_blocks, "_query_block", query_blocks)
+    pair = ["_query_block", "_vector_block"]
+
+    def best(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        return nearest_of_block(queries, vectors, n, id_col, vector)
+
+    found = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(best, f"query {id_type}, `{id_col}` {id_type}, similarity double")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), id_col))
     return found.withColumn("rank", place).where(F.col("rank") <= n).select("query", "rank", id_col, "similarity")
