@@ -118,3 +118,32 @@ def test_missing_label_is_an_error(spark):
         splitting.split_quotas(df).collect()
     with pytest.raises(Exception, match="a label is missing"):
         splitting.stratified_split(df)
+
+
+def test_the_most_classes(spark, monkeypatch):
+    """One class more than allowed fails before any window is planned."""
+    monkeypatch.setattr(splitting, "MAX_CLASSES", 50)
+
+    def rows(n):
+        return table(spark, [c for c in range(n) for _ in range(4)])
+
+    assert splitting.split_quotas(rows(50), val_size=0.5).count() == 50
+    assert splitting.stratified_split(rows(50), val_size=0.5).where("split = 'val'").count() == 100
+    with pytest.raises(ValueError, match="too many classes"):
+        splitting.split_quotas(rows(51), val_size=0.5)
+    with pytest.raises(ValueError, match="too many classes"):
+        splitting.stratified_split(rows(51), val_size=0.5)
+
+
+def test_ten_thousand_classes(spark):
+    many = spark.range(40_004).selectExpr("id as doc_id", "cast(id % 10001 as int) as label")
+    with pytest.raises(ValueError, match="too many classes"):
+        splitting.split_quotas(many, val_size=0.5)
+    quotas = splitting.split_quotas(many.where("label < 10000"), val_size=0.5)
+    assert quotas.agg(F.count("*"), F.sum("n_train")).first()[:] == (10_000, 20_000)
+
+
+def test_all_labels_missing(spark):
+    df = spark.createDataFrame([(i, None) for i in range(30)], "doc_id bigint, label int")
+    with pytest.raises(Exception, match="a label is missing"):
+        splitting.stratified_split(df)

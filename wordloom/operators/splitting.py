@@ -26,35 +26,29 @@ def split_quotas(df: DataFrame, label: str = "label", val_size: float = VAL_SIZE
     n_val in total is ceil(val_size * rows).  Raises at run time for a missing label, for a
     class with fewer than two rows, and when either side has fewer rows than there are
     classes."""
-    counts = df.groupBy(label).agg(F.count("*").alias("here")).withColumn("bucket", F.lit(""))
-    return _with_quotas(counts, label, val_size).select(
+    counts = df.groupBy(label).agg(F.count("*").alias("here"))
+    return class_quotas(counts, label, val_size).select(
         label, "n", "n_train", (F.col("n") - F.col("n_train")).alias("n_val")
     )
 
 
-def _with_quotas(counts: DataFrame, label: str, val_size: float) -> DataFrame:
-    """Adds `n` and `n_train` of the class to counts (label, bucket, here).  The counts have
-    at most one row per class and bucket, so a single task reads them once."""
-    everything, mine = Window.partitionBy(), Window.partitionBy(label)
-    once = F.col("first") == 1  # one row per class
-    sized = (
-        counts.coalesce(1)
-        .withColumns(
-            {
-                "n": F.sum("here").over(mine).cast("bigint"),
-                "first": F.row_number().over(mine.orderBy("bucket")),
-            }
-        )
-        .withColumns(
-            {
-                "rows": F.sum("here").over(everything).cast("bigint"),
-                "classes": F.count_if(once).over(everything),
-                "smallest": F.min("n").over(everything),
-                "unnamed": F.count_if(F.col(label).isNull()).over(everything),
-            }
-        )
-        .withColumn("train_rows", F.col("rows") - F.ceil(F.lit(float(val_size)) * F.col("rows")))
-    )
+def class_quotas(counts: DataFrame, label: str, val_size: float) -> DataFrame:
+    """(label, n, n_train) from counts (label, here), which may have several rows per class.
+
+    The classes are counted before anything else looks at them, so the windows below see at
+    most MAX_CLASSES rows."""
+    totals = written(counts.groupBy(label).agg(F.sum("here").cast("bigint").alias("n")))
+    if totals.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+        raise ValueError(f"too many classes: more than {MAX_CLASSES}")
+    everything = Window.partitionBy()
+    sized = totals.withColumns(
+        {
+            "rows": F.sum("n").over(everything).cast("bigint"),
+            "classes": F.count("*").over(everything),
+            "smallest": F.min("n").over(everything),
+            "unnamed": F.count_if(F.col(label).isNull()).over(everything),
+        }
+    ).withColumn("train_rows", F.col("rows") - F.ceil(F.lit(float(val_size)) * F.col("rows")))
 
     def error(text: str) -> Column:
         return F.raise_error(F.lit(text)).cast("bigint")
@@ -64,7 +58,6 @@ def _with_quotas(counts: DataFrame, label: str, val_size: float) -> DataFrame:
         F.when(F.col("unnamed") > 0, error("a label is missing"))
         .when(F.col("smallest") < 2, error("a class has fewer than 2 rows"))
         .when(fewest < F.col("classes"), error("one side of the split has fewer rows than there are classes"))
-        .when(F.col("classes") > MAX_CLASSES, error("too many classes"))
         .otherwise(F.col("train_rows"))
     )
     # rows * rows leaves BIGINT at large scale
@@ -77,12 +70,19 @@ def _with_quotas(counts: DataFrame, label: str, val_size: float) -> DataFrame:
     )
     turns = shares.withColumns(
         {
-            "open": F.col("train_rows") - F.sum(F.when(once, F.col("floor"))).over(everything),
-            "turn": F.dense_rank().over(Window.orderBy(F.desc("remainder"), F.asc(label))),
+            "open": F.col("train_rows") - F.sum("floor").over(everything),
+            "turn": F.row_number().over(Window.orderBy(F.desc("remainder"), F.asc(label))),
         }
     )
     n_train = F.col("floor") + F.when(F.col("turn") <= F.col("open"), 1).otherwise(0)
-    return turns.select(*counts.columns, "n", n_train.cast("bigint").alias("n_train"))
+    return turns.select(label, "n", n_train.cast("bigint").alias("n_train"))
+
+
+def _with_quotas(counts: DataFrame, label: str, val_size: float) -> DataFrame:
+    """Adds `n` and `n_train` of the class to counts (label, bucket, here)."""
+    quotas = class_quotas(counts, label, val_size).withColumnRenamed(label, "_class")
+    joined = counts.join(F.broadcast(quotas), F.col(label).eqNullSafe(F.col("_class")))  # MAX_CLASSES rows
+    return joined.select(*counts.columns, "n", "n_train")
 
 
 def split_cuts(
@@ -92,7 +92,7 @@ def split_cuts(
     hashed = df.select(label, key, order_hash(F.col(key), seed).alias("hash"))
     bucket = F.substring("hash", 1, SPLIT_DIGITS)
     upto = F.sum("here").over(Window.partitionBy(label).orderBy("bucket"))
-    filled = hashed.groupBy(label, bucket.alias("bucket")).agg(F.count("*").alias("here"))
+    filled = written(hashed.groupBy(label, bucket.alias("bucket")).agg(F.count("*").alias("here")))
     edge = (
         _with_quotas(filled, label, val_size)
         .withColumn("before", upto - F.col("here"))

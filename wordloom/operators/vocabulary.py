@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from wordloom.operators.documents import token_positions
+from wordloom.operators.splitting import ordered_rank
+from wordloom.session import written
 from wordloom.settings import MAX_VOCAB_SIZE, MIN_FREQ, PAD_IDX, PAD_TOKEN, UNK_IDX, UNK_TOKEN, W2V_MIN_COUNT
 
 
@@ -41,11 +43,12 @@ def build_vocab(
     max_size: int = MAX_VOCAB_SIZE,
     min_freq: int = MIN_FREQ,
 ) -> DataFrame:
-    """(idx INT, token, freq BIGINT): the specials, then words by falling frequency, words
+    """(idx INT, token, freq BIGINT), written: the specials, then words by falling frequency, words
     of equal frequency by first occurrence.
 
-    Each task keeps its own best rows before they meet (top-k), so the final ranking sees
-    the capped vocabulary only."""
+    How many words have each frequency (one row per frequency) tells the frequency at which
+    the cap cuts.  Only words down to that one are ordered, in range partitions with offsets,
+    so no task sees them all, however many share the last frequency."""
     spark = tokenized.sparkSession
     words = (
         token_positions(tokenized, key)
@@ -54,10 +57,13 @@ def build_vocab(
         .agg(F.count("*").alias("freq"), _first_occurrence(tokenized.withColumn("pos", F.lit(0)), key).alias("first"))
         .where(F.col("freq") >= min_freq)
     )
-    by_rank = [F.desc("freq"), F.asc("first")]
-    ranked = words.orderBy(*by_rank).limit(vocabulary_rows(max_size) - 2).select(
-        (F.row_number().over(Window.orderBy(*by_rank)) + 1).alias("idx"), "token", "freq"
-    )
+    words = written(words)
+    most = vocabulary_rows(max_size) - 2
+    before = F.sum("here").over(Window.orderBy(F.desc("freq"))) - F.col("here")
+    sizes = words.groupBy("freq").agg(F.count("*").alias("here")).withColumn("before", before)
+    cut = sizes.where(F.col("before") < most).agg(F.min("freq")).first()[0]
+    chosen = ordered_rank(words.where(F.col("freq") >= F.lit(cut)), F.desc("freq"), F.asc("first"))
+    ranked = chosen.where(F.col("rank") <= most).select((F.col("rank") + 1).cast("int").alias("idx"), "token", "freq")
     specials = spark.range(0, 1, 1, 1).select(
         F.inline(
             F.array(
@@ -68,7 +74,7 @@ def build_vocab(
             )
         )
     )
-    return specials.unionByName(ranked)
+    return written(specials.unionByName(ranked))
 
 
 def frequent_words(tokenized: DataFrame, min_count: int = W2V_MIN_COUNT) -> DataFrame:
