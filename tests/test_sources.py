@@ -1,4 +1,5 @@
 import csv
+import random
 from collections import Counter
 
 import pytest
@@ -166,3 +167,40 @@ def test_ids_do_not_depend_on_splits(spark, tmp_path, multi_line):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert found[0] == {i: f"t{i}" for i in range(1200)} and found[0] == found[1] == found[2]
+
+
+def test_records_of_byte_ranges(spark, tmp_path):
+    """Ranges of any size cut the same records as one task per file: newlines, doubled quotes and
+    characters of several bytes at the borders, blank lines, records over several ranges."""
+    rng = random.Random(8)
+    words = ['a "quoted" word', "été", "line\nbreak", "\n\n", "comma, here", "日本語", '""', "x" * 40, " padded ", ""]
+    for n in range(3):
+        rows = [[str(i % 4 + 1), " ".join(rng.choices(words, k=3)), "\n".join(rng.choices(words, k=rng.randint(0, 9))), str(i)] for i in range(60)]
+        rows[30][2] = "long é\n" * 400
+        write_csv(tmp_path / "set" / f"{n}.csv", rows=rows)
+    with open(tmp_path / "set" / "1.csv", "a", encoding="utf-8", newline="") as f:
+        f.write('\r\n1,last,"no end of line"')
+    path = str(tmp_path / "set")
+    whole = {tuple(r) for r in labelled.read_raw_csv(spark, path, whole_files=True).collect()}
+    assert len(whole) == 181
+    try:
+        for size in ("128m", "2k", "901"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "10")
+            assert {tuple(r) for r in labelled.read_raw_csv(spark, path).collect()} == whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_records_beyond_the_broadcast_budget(spark, tmp_path, budget):
+    path = write_csv(tmp_path / "train.csv", rows=ROWS * 20)
+    assert pairs(labelled.read_labelled_csv(spark, path)) == EXPECTED
+
+
+def test_odd_quotes_are_an_error(spark, tmp_path):
+    path = write_csv(tmp_path / "train.csv")
+    with open(path, "a") as f:
+        f.write('1,5" disk,text,x\n')
+    with pytest.raises(ValueError, match="odd number of quotes"):
+        labelled.read_raw_csv(spark, path)

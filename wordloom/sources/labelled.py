@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wordloom.operators.documents import derive_documents, require_columns
 from wordloom.session import bounded_join, written
 from wordloom.settings import CSV_COLUMNS
+from wordloom.sources.records import csv_records
 
 DEFAULT_PATH = "data/train.csv"
 
@@ -48,18 +49,26 @@ def resolve_csv(spark: SparkSession, path: str | None = None) -> str:
     return path
 
 
-def read_raw_csv(spark: SparkSession, path: str | None = None, multi_line: bool = True) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str | None = None, multi_line: bool = True, whole_files: bool = False) -> DataFrame:
     """All columns as strings plus `doc_id`.  Quotes are doubled inside quoted fields.
 
-    `multi_line=False` lets Spark split large files; use it when no field holds a newline.
-    The files are parsed once, into the shared folder.  `doc_id` is the place of a row in its
-    file after all rows of the files before it by name, whatever the splits were."""
+    Fields may hold newlines: the records of large files are cut in byte ranges (`records`).
+    `multi_line=False` says that none does and saves the counting of quotes; `whole_files=True`
+    parses each file in one task, which also stands quotes inside unquoted fields.  Records are
+    parsed once, into the shared folder.  `doc_id` is the place of a row in its file after all rows
+    of the files before it by name, whatever the splits were."""
     path = resolve_csv(spark, path)
-    df = spark.read.options(multiLine=multi_line, **FORMAT).csv(path)
+    df = spark.read.options(multiLine=multi_line and whole_files, **FORMAT).csv(path)
     require_columns(df, CSV_COLUMNS)
-    file, begin = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
-    # the id rises by one from row to row of a split
-    landed = written(df.select("*", file.alias("_file"), begin.alias("_begin"), F.monotonically_increasing_id().alias("_row")))
+    if multi_line and not whole_files:
+        found = csv_records(spark, path).where("_begin > 0 or _index > 0")  # without the headers
+        shape = ", ".join(f"`{c}` string" for c in df.columns)
+        fields = F.from_csv(F.regexp_replace("record", "\r$", ""), shape, {k: str(v) for k, v in FORMAT.items() if k != "header"})
+        landed = written(found.select(fields.alias("_fields"), "_file", "_begin", F.col("_index").alias("_row"))).select("_fields.*", "_file", "_begin", "_row")
+    else:
+        file, begin = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+        # the id rises by one from row to row of a split
+        landed = written(df.select("*", file.alias("_file"), begin.alias("_begin"), F.monotonically_increasing_id().alias("_row")))
     splits = landed.groupBy("_file", "_begin").agg(F.min("_row").alias("_first"), F.count("*").alias("_rows"))
     earlier = Window.orderBy("_file", "_begin").rowsBetween(Window.unboundedPreceding, -1)  # a row per split
     starts = written(splits.withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows"))
