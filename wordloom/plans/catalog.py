@@ -15,12 +15,13 @@ from wordloom.operators import (
     encoding,
     metrics,
     recurrent,
+    rowlocal,
     runs,
     splitting,
     vocabulary,
 )
 from wordloom.operators.recurrent import RecurrentSpec
-from wordloom.plans import fit, score, views
+from wordloom.plans import fit, score, skipgram, views
 from wordloom.plans.prepare import Prepared, prepare, split_tokens, train_vocab
 from wordloom.session import shared_path, spread, written
 from wordloom.settings import CSV_COLUMNS, PATIENCE
@@ -148,6 +149,17 @@ def encode(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def encode_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """`encode` without a grouping: every row looked up where it is."""
+    prepared = _prepared(spark, sf)
+    words = rowlocal.StaticVocabulary.of(prepared.vocab, prepared.vocab_rows)
+    encoded = rowlocal.encode_rows(prepared.tokenized, words, keep=("doc_id", "label", "split"))
+    return encoded.select(
+        "doc_id", "label", "split", "length", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids")
+    )
+
+
 @query
 def unk_rate(spark: SparkSession, sf: str) -> DataFrame:
     prepared = _prepared(spark, sf)
@@ -449,6 +461,13 @@ def train_word2vec(spark: SparkSession, sf: str) -> DataFrame:
     return model_vectors(model).select("token", F.size("vector").alias("dims"))
 
 
+@query
+def train_word2vec_negative(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of vectors trained with negative samples, block by block."""
+    vectors = skipgram.fit_skipgram(written(_all_tokens(spark, sf)), blocks=2)
+    return vectors.select("token", F.size("vector").alias("dims"))
+
+
 def _fit_facts(prepared: Prepared, histories: DataFrame, best: DataFrame) -> DataFrame:
     """(run_name, n_train, n_val, loss_fell, beats_majority, kept_first_best) per run: what any
     sound fit on this split must show."""
@@ -520,6 +539,17 @@ def score_documents(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.withColumn("prob", F.round("prob", 6))
 
 
+@query
+def score_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """`score_documents` row by row, in the form that a stream uses."""
+    prepared, lazy_matrix = _matrix(spark, sf)
+    matrix = written(lazy_matrix)
+    train = embedding.pool(prepared.train, matrix, "mean", keep=("label",), dim=views.DIM, matrix_rows=prepared.vocab_rows)
+    model = classify.class_centroids(train)
+    scorer = score.RowScorer.of(prepared.vocab, matrix, model, dim=views.DIM, vocab_rows=prepared.vocab_rows, how="mean")
+    return scorer.score(views.load(spark, sf, "documents")).withColumn("prob", F.round("prob", 6))
+
+
 @query
 def rnn_score(spark: SparkSession, sf: str) -> DataFrame:
     """Class scores of all documents by a one-way GRU whose weights are embedding rows."""

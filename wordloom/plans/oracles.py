@@ -450,11 +450,12 @@ oracle(
 )
 
 # --- fits and scoring --------------------------------------------------------------------------------
-oracle(
-    "train_word2vec",
-    body=f"SELECT token, {VECTOR_DIM} AS dims FROM (SELECT unnest(regexp_extract_all(lower(text), {PATTERN}, 0)) AS token "
-    "FROM documents) GROUP BY token HAVING count(*) >= 5",
-)
+for key in ("train_word2vec", "train_word2vec_negative"):
+    oracle(
+        key,
+        body=f"SELECT token, {VECTOR_DIM} AS dims FROM (SELECT unnest(regexp_extract_all(lower(text), {PATTERN}, 0)) AS token "
+        "FROM documents) GROUP BY token HAVING count(*) >= 5",
+    )
 FIT_FACTS = """(SELECT count(*) FROM split WHERE split = 'train') AS n_train, (SELECT count(*) FROM split WHERE split = 'val') AS n_val,
        true AS loss_fell, true AS beats_majority, true AS kept_first_best"""
 oracle("fit_mlp", "split", body=f"SELECT 'mlp' AS run_name, {FIT_FACTS}")
@@ -499,6 +500,8 @@ oracle(
         GROUP BY t.doc_id, w.label_id""",
 )
 
+ORACLES["score_rows"], ORACLES["encode_rows"] = ORACLES["score_documents"], ORACLES["encode"]
+
 # --- files ---------------------------------------------------------------------------------------------
 oracle(
     "csv_source", "decoded",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.operators import classify, embedding, recurrent
+from wordloom.operators import classify, embedding, recurrent, rowlocal
 from wordloom.operators.documents import tokenize
 from wordloom.operators.encoding import encode
 from wordloom.operators.recurrent import RecurrentSpec
@@ -70,3 +72,43 @@ def score_documents_rnn(
     encoded = encode(tokens, vocab, max_len, vocab_rows=vocab_rows)
     scored = recurrent.rnn_score(encoded, matrix, weights, spec, dim=dim, matrix_rows=vocab_rows)
     return classify.ranked_probs(classify.with_probabilities(scored).select("doc_id", "probs"), "doc_id", names)
+
+
+@dataclass(frozen=True)
+class RowScorer:
+    """Texts to ranked classes, row by row: the same for a table and for a stream.
+
+    `model`: linear class weights (a table), a fitted MLlib classifier, or the parameter table of
+    a recurrent network, then with its `spec`."""
+
+    words: rowlocal.StaticVocabulary
+    matrix: DataFrame
+    vectors: rowlocal.StaticMatrix
+    model: DataFrame | Transformer
+    spec: RecurrentSpec | None = None
+    names: tuple[str, ...] = tuple(LABEL_NAMES)
+    how: str = "meanmax"
+    max_len: int = MAX_LEN
+    lower: bool = True
+    dim: int = VECTOR_DIM
+
+    @classmethod
+    def of(
+        cls, vocab: DataFrame, matrix: DataFrame, model: DataFrame | Transformer, dim: int = VECTOR_DIM, vocab_rows: int | None = None, **options: object
+    ) -> RowScorer:
+        words = rowlocal.StaticVocabulary.of(vocab, vocab_rows)
+        return cls(words, matrix, rowlocal.StaticMatrix.of(matrix, dim, vocab_rows), model, dim=dim, **options)
+
+    def score(self, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+        """(key, rank, label_id, label_name, prob) of (key, text)."""
+        tokens = tokenize(docs.select(key, "text"), lower=self.lower)
+        encoded = rowlocal.encode_rows(tokens, self.words, self.max_len, (key,))
+        if self.spec is not None:
+            logits = recurrent.rnn_score(encoded, self.matrix, self.model, self.spec, key, self.dim)
+        else:
+            features = rowlocal.pool_rows(encoded, self.vectors, self.how, (key,))
+            if isinstance(self.model, Transformer):
+                out = self.model.transform(features.select(key, array_to_vector("features").alias("features")))
+                return classify.ranked_probs(out.select(key, vector_to_array("probability").alias("probs")), key, list(self.names))
+            logits = rowlocal.logit_rows(features, self.model)
+        return classify.ranked_probs(classify.with_probabilities(logits), key, list(self.names))

@@ -39,6 +39,7 @@ VECTOR_DIM = 100
 GENERATED_STD = 0.05
 W2V_WINDOW = 5
 W2V_MIN_COUNT = 5
+W2V_NEGATIVE = 10
 W2V_EPOCHS = 5
 W2V_PARTITIONS = 4
 
