@@ -33,3 +33,9 @@ def components(links: DataFrame) -> DataFrame:
         moved = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         last, now = now, written(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         forget(last)
+
+
+def rooted(rows: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
+    """`rows` with the root of the node in column `node` as `name`; a node without links is its own."""
+    of = roots.select(F.col("node").alias(node), F.col("root").alias(name))
+    return rows.join(of, node, "left").withColumn(name, F.coalesce(name, node))

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from wordloom.llm import batches as B
 from wordloom.llm.fields import bit_field, field_bits, member
-from wordloom.llm.graph import components
+from wordloom.llm.graph import components, rooted
 from wordloom.session import bounded_join, forget, fresh, written
 
 WIDTH = 4
@@ -332,7 +332,10 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     prefixes = written(shared.where("pos >= 0").groupBy("f").agg(F.collect_list("token").alias("tokens")))
     heads = shared.where("f = hub").groupBy("token").agg(F.first("n").alias("m"), F.first("pos").alias("qos"))
     near = shared.where("f <> hub").hint("merge").join(heads, "token").where(possible(percent))
-    first = written(near.select(F.col("f").alias("a"), F.col("hub").alias("b"), "n", "m").dropDuplicates(["a", "b"]))
+    first = near.groupBy(F.col("f").alias("a"), F.col("hub").alias("b")).agg(
+        F.first("n").alias("n"), F.first("m").alias("m"), F.count("*").alias("keys")
+    )
+    first = written(first)
     sources = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text))
     classes = rows.where("f <> 0").groupBy("f").agg(F.min("doc_id").alias("doc_id"))
 
@@ -343,13 +346,23 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         found = bounded_join(sources, wanted, "doc_id", wanted.count(), 64, how="inner").select("_f", text)
         return written(_of_class(found, text, width))
 
-    close = written(likely(first, prefixes, percent, boundary))
-    texts = texts_of(close)
-    links = written(verified(close, texts, text, width, percent))
-    forget(texts, close)
+    def links_of(pairs: DataFrame) -> DataFrame:
+        close = written(likely(pairs, prefixes, percent, boundary))
+        texts = texts_of(close)
+        out = written(verified(close, texts, text, width, percent))
+        forget(texts, close)
+        return out
+
+    # a class meets the hub first that it shares most keys with; the members of a large group share
+    # one hub or a few, and after that round most of their other pairs lie within a component
+    best = first.groupBy("a").agg(F.min_by(F.struct("b", "n", "m"), F.struct(-F.col("keys"), "b")).alias("x")).select("a", "x.b", "x.n", "x.m")
+    links = links_of(best)
+    roots = written(components(links))
+    apart = rooted(rooted(first, roots, "a", "root"), roots, "b", "other").where("root <> other").select("a", "b", "n", "m")
+    links = written(links.unionByName(links_of(apart)))
     roots = written(components(links))
     # what is left: pairs of a list between components; a list of two has no other pair
-    of = shared.where("many").join(roots.select(F.col("node").alias("f"), "root"), "f", "left").withColumn("root", F.coalesce("root", "f"))
+    of = rooted(shared.where("many"), roots, "f", "root")
     mixed = of.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
     # a list meets itself by classes of sizes: sets that link lie in the same one or in neighbours
     size_class = F.floor(F.log(F.col("n")) / -math.log(percent / 100) + 1e-9).cast("int")
