@@ -214,8 +214,8 @@ def test_longest_previous_factors():
         ends, doc = bounds[which + 1], rng.integers(0, segments // 2, segments)[which]
 
         def common(s, t, ends=ends, data=data, starts=starts):
-            a = data[starts[s] : min(ends[s], starts[s] + substrings.REACH)]
-            b = data[starts[t] : min(ends[t], starts[t] + substrings.REACH)]
+            a = data[starts[s] : min(ends[s], starts[s] + 6 + substrings.TAIL)]
+            b = data[starts[t] : min(ends[t], starts[t] + 6 + substrings.TAIL)]
             n = min(len(a), len(b))
             differ = np.flatnonzero(a[:n] != b[:n])
             return differ[0] if len(differ) else n

@@ -4,8 +4,8 @@ also starts in a document with a smaller id.
 Method: longest previous factors, shard by shard.  A window of `LENGTH` bytes belongs to the least
 of its hashed k-grams, so that equal windows of any two documents meet in one shard;
 neighbouring windows with the same least gram travel as one segment of text.  A shard sorts the
-starts of its windows in suffix order, as far as a segment reaches (`REACH` bytes at most), with
-the common prefix of neighbours.  The previous and the next smaller position of a start are the
+starts of its windows in suffix order, `LENGTH` + `TAIL` bytes far, with the common prefix of
+neighbours.  The previous and the next smaller position of a start are the
 nearest ones in that order that lie in a smaller document; the longer of the two common prefixes
 is its longest previous factor.  Bytes under factors of `LENGTH` and more go; first copies stay.
 
@@ -35,7 +35,7 @@ from wordloom.session import bounded_join, written
 
 LENGTH = 50
 GRAM = 20
-REACH = 80  # a segment of one gram's place is no longer
+TAIL = 8  # bytes beyond `LENGTH` that the suffix order looks at
 SLICE_BYTES = 1 << 20
 SHARD_BYTES = 2 << 20  # segments sorted at once; a larger group of one gram stands alone
 HOT_SEGMENTS = 1 << 15  # texts with one gram, from which on its windows are dealt one by one
@@ -172,31 +172,41 @@ def merged(start: np.ndarray, end: np.ndarray, group: np.ndarray) -> tuple[np.nd
     return first, furthest[last] - shift[last]
 
 
-def suffix_order(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, common): the starts in the order of the bytes from there to their ends, REACH at most,
-    ties by document, and the length of the common prefix of each with the one before it."""
-    padded = np.concatenate([data, np.zeros(REACH, np.uint8)])
-    eight = np.zeros(len(data) + REACH - 7, np.uint64)
+def window_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    sums, down = B.prefix_hashes(data), B.powers(len(data) + 1)[1]
+    return (sums[starts + length] - sums[starts]) * down[starts]
+
+
+def suffix_order(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): the starts in the order of the bytes from there to their ends, as far as
+    `length` + TAIL, ties by document, and the length of the common prefix of each with the one
+    before it, 0 if it is below `length`.
+
+    The first `length` bytes are ordered by their hash, as no one asks which of two different
+    windows is smaller; neighbours are compared byte by byte."""
+    padded = np.concatenate([data, np.zeros(length + TAIL, np.uint8)])
+    eight = np.zeros(len(data) + length + 1, np.uint64)
     for i in range(8):
         eight = eight << np.uint64(8) | padded[i : len(eight) + i]
-    left = np.minimum(ends - starts, REACH)
-    words = []
-    for at in range(0, REACH, 8):
-        beyond = np.clip(8 - (left - at), 0, 8).astype(np.uint64) * np.uint64(8)
-        word = eight[np.minimum(starts + at, len(eight) - 1)]
-        words.append(np.where(beyond < 64, word >> (beyond & np.uint64(63)) << (beyond & np.uint64(63)), np.uint64(0)))
-    order = np.lexsort((doc, *reversed(words)))
-    common, equal = np.zeros(len(order), np.int64), np.ones(max(0, len(order) - 1), bool)
-    for word in words:
-        ranked = word[order]
-        other = ranked[1:] ^ ranked[:-1]
-        same = np.full(len(other), 8)
-        for k in range(8, 0, -1):
-            same[(other >> np.uint64(64 - 8 * k)) != 0] = k - 1
-        common[1:] += np.where(equal, same, 0)
-        equal &= other == 0
+    left = np.minimum(ends - starts - length, TAIL)
+    beyond = (np.uint64(8) * (TAIL - left).astype(np.uint64)) & np.uint64(63)
+    tail = np.where(left > 0, eight[starts + length] >> beyond << beyond, np.uint64(0))
+    order = np.lexsort((doc, tail, window_hashes(data, starts, length)))
+    ranked = starts[order]
+    same = np.ones(max(0, len(order) - 1), bool)
+    for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 and length > 8 else [])]:
+        word = eight[ranked + at]
+        same &= word[1:] == word[:-1]
+    if length < 8:
+        word = eight[ranked] >> np.uint64(64 - 8 * length)
+        same &= word[1:] == word[:-1]
+    other = tail[order][1:] ^ tail[order][:-1]
+    more = np.full(len(other), TAIL)
+    for k in range(8, 0, -1):
+        more[(other >> np.uint64(64 - 8 * k)) != 0] = k - 1
     left = left[order]
-    common[1:] = np.minimum(common[1:], np.minimum(left[1:], left[:-1]))
+    common = np.zeros(len(order), np.int64)
+    common[1:] = np.where(same, length + np.minimum(more, np.minimum(left[1:], left[:-1])), 0)
     return order, common
 
 
@@ -219,7 +229,7 @@ def smaller_before(doc: np.ndarray, common: np.ndarray, length: int) -> np.ndarr
 def longest_previous(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
     """Longest previous factor of each start, from its previous and its next smaller position; lengths
     below `length` are not told apart."""
-    order, common = suffix_order(data, starts, ends, doc)
+    order, common = suffix_order(data, starts, ends, doc, length)
     before = smaller_before(doc[order], common, length)
     after = smaller_before(doc[order][::-1], np.append(common[1:], 0)[::-1], length)[::-1]
     out = np.zeros(len(starts), np.int64)
@@ -230,8 +240,7 @@ def longest_previous(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc
 def repeated_windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
     """Mask of the starts whose longest previous factor has `length` bytes or more.  Only windows whose
     hash is met twice enter the suffix order."""
-    sums, down = B.prefix_hashes(data), B.powers(len(data) + 1)[1]
-    window = (sums[starts + length] - sums[starts]) * down[starts]
+    window = window_hashes(data, starts, length)
     order = np.argsort(window)
     ranked = window[order]
     twice = np.zeros(len(order) + 1, bool)
