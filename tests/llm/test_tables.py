@@ -260,12 +260,57 @@ def test_pages(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+LEAD = (
+    "<html><body><div class=post><h1>Title {i}</h1><div class=intro>Lead {i} of it</div><div class=text>Long text {w}</div></div>"
+    "<div class=more>Read on</div></body></html>"
+)
+
+
+def test_pages_keep_title_and_lead(spark):
+    rows = [(i, f"http://e.example/{i}", LEAD.format(i=i, w=f"w{i} " * 80), 1) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")).collect()}
+    for i in range(6):
+        assert got[i] == f"Title {i}\nLead {i} of it\nLong text " + " ".join([f"w{i}"] * 80)
+
+
+def test_copies_do_not_make_template(spark):
+    """A host of equal pages keeps their text; copies of one page beside others leave those alone."""
+    copy = LEAD.format(i=1, w="same " * 20)
+    rows = [(i, f"http://f.example/{i}", copy, 1) for i in range(4)]
+    rows += [(10 + i, f"http://g.example/{i}", LEAD.format(i=i if i > 3 else 0, w=f"g{i if i > 3 else 0} " * 20), 1) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")).collect()}
+    for i in range(4):
+        assert got[i] == "Title 1\nLead 1 of it\nLong text " + " ".join(["same"] * 20) + "\nRead on"
+    for i in range(8):
+        k = i if i > 3 else 0
+        assert got[10 + i] == f"Title {k}\nLead {k} of it\nLong text " + " ".join([f"g{k}"] * 20)
+
+
+@pytest.mark.parametrize("depth", [1, 70, 3_000])
+def test_pages_at_any_depth(spark, depth):
+    inner = "<nav><ul><li>MENU ITEM</ul></nav><aside>ADVERT</aside><p>real</p>"
+    page = "<html><body>" + "<section>" * depth + inner + "</section>" * depth + "</body></html>"
+    df = spark.createDataFrame([(1, "http://h.example/", page)], "page_id bigint, url string, html string")
+    assert pages.extract(df).first()["text"] == "real"
+
+
+def tree(text):
+    """(keys, sizes) of a nested tuple."""
+    keys, sizes = [text[0]], [1]
+    for child in text[1]:
+        k, s = tree(child)
+        keys += k
+        sizes += s
+        sizes[0] += s[0]
+    return tuple(keys), tuple(sizes)
+
+
 def test_tree_matching():
     a = ("r", (("x", (("p", ()),)), ("y", ()), ("z", (("p", ()), ("q", ())))))
     b = ("r", (("x", ()), ("z", (("q", ()),)), ("y", ())))
-    found = dom.match(a, b)  # places: r0 x1 p2 y3 z4 p5 q6 / r0 x1 z2 q3 y4
+    found = dom.match(tree(a), tree(b))  # places: r0 x1 p2 y3 z4 p5 q6 / r0 x1 z2 q3 y4
     assert found == {0: 0, 1: 1, 4: 2, 6: 3}
-    assert dom.match(a, ("other", ())) == {}
+    assert dom.match(tree(a), tree(("other", ()))) == {}
 
 
 def test_mix_keeps_null_ids_and_sources_apart(spark):

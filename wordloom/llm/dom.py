@@ -23,7 +23,6 @@ BOILERPLATE_WORDS = set(
 CLOSES_PARAGRAPH = BLOCKS - {"html", "body"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
-DEPTH = 64  # deeper elements count as part of the one at this depth; their text is kept
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.DOTALL
@@ -66,7 +65,6 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     blocks: list[tuple[int, str]] = []
     stack = [0]
     parts: list[str] = []
-    deeper = 0
 
     def end_block() -> None:
         if parts:
@@ -94,10 +92,6 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         tag = m[2].lower()
         if m[1]:
             if tag in BLOCKS:
-                if deeper and tag == "div":
-                    end_block()
-                    deeper -= 1
-                    continue
                 for depth in range(len(stack) - 1, 0, -1):
                     if nodes[stack[depth]].tag == tag:
                         close_down_to(depth)
@@ -126,9 +120,6 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         end_block()
         if tag in VOID:
             continue
-        if len(stack) >= DEPTH:
-            deeper += tag == "div"
-            continue
         key, junk = _describe(tag, m[3])
         nodes.append(Node(tag, key, stack[-1], junk))
         nodes[stack[-1]].children.append(len(nodes) - 1)
@@ -158,7 +149,13 @@ def boilerplate(nodes: list[Node]) -> list[bool]:
     return spread(around)
 
 
-Tree = tuple[str, tuple]  # (key, children)
+Tree = tuple[tuple[str, ...], tuple[int, ...]]  # keys and sizes of the subtrees, depth first
+
+
+def is_boilerplate(key: str) -> bool:
+    """Whether a key names a kind of element that is boilerplate."""
+    tag, *named = key.split(".")
+    return tag in BOILERPLATE_TAGS or not BOILERPLATE_WORDS.isdisjoint(_WORD.findall(" ".join(named)))
 
 
 def skeleton(nodes: list[Node]) -> tuple[Tree, list[int]]:
@@ -174,40 +171,50 @@ def skeleton(nodes: list[Node]) -> tuple[Tree, list[int]]:
             kids.append({})
             kids[above][nodes[i].key] = got
         place[i] = got
-    order: list[int] = []
-
-    def build(s: int) -> Tree:
+    order, rank, open_ = [], [0] * len(keys), [0]
+    while open_:  # depth first, whatever the depth
+        s = open_.pop()
+        rank[s] = len(order)
         order.append(s)
-        return keys[s], tuple(build(k) for k in kids[s].values())
-
-    tree = build(0)
-    rank = {s: r for r, s in enumerate(order)}  # places in depth-first order
-    return tree, [rank[s] for s in place]
-
-
-def tree_size(tree: Tree) -> int:
-    return 1 + sum(map(tree_size, tree[1]))
+        open_.extend(reversed(kids[s].values()))
+    sizes = [1] * len(keys)
+    for s in reversed(order):
+        sizes[rank[s]] = 1 + sum(sizes[rank[k]] for k in kids[s].values())
+    return (tuple(keys[s] for s in order), tuple(sizes)), [rank[s] for s in place]
+
+
+def children(tree: Tree, place: int) -> list[int]:
+    out, at, end = [], place + 1, place + tree[1][place]
+    while at < end:
+        out.append(at)
+        at += tree[1][at]
+    return out
 
 
 def match(a: Tree, b: Tree) -> dict[int, int]:
     """Simple tree matching: the largest order-keeping matching of `a` and `b` that pairs nodes
     of equal key whose parents are paired.  Nodes by their depth-first places."""
-
-    def solve(x: Tree, y: Tree, px: int, py: int) -> tuple[int, list[tuple[int, int]]]:
-        if x[0] != y[0]:
-            return 0, []
-        xs, ys = x[1], y[1]
-        starts_x, starts_y = _places(xs, px + 1), _places(ys, py + 1)
+    if a[0][0] != b[0][0]:
+        return {}
+    pairs = [(0, 0)]
+    below: list[tuple[list[int], list[int]]] = []
+    for x, y in pairs:  # grows: pairs that may be matched, parents first
+        xs, ys = children(a, x), children(b, y)
+        below.append((xs, ys))
+        pairs += [(u, v) for u in xs for v in ys if a[0][u] == b[0][v]]
+    weight: dict[tuple[int, int], int] = {}
+    tables: dict[tuple[int, int], list[list[int]]] = {}
+    for pair, (xs, ys) in zip(reversed(pairs), reversed(below)):
         best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-        pairs: dict[tuple[int, int], tuple[int, list]] = {}
         for i, u in enumerate(xs):
             for j, v in enumerate(ys):
-                w = 0
-                if u[0] == v[0]:
-                    pairs[i, j] = solve(u, v, starts_x[i], starts_y[j])
-                    w = pairs[i, j][0]
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
-        found = [(px, py)]
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weight.get((u, v), 0))
+        tables[pair], weight[pair] = best, 1 + best[-1][-1]
+    found, open_, kids = {}, [(0, 0)], dict(zip(pairs, below))
+    while open_:
+        pair = open_.pop()
+        found[pair[0]] = pair[1]
+        (xs, ys), best = kids[pair], tables[pair]
         i, j = len(xs), len(ys)
         while i and j:
             if best[i][j] == best[i - 1][j]:
@@ -215,16 +222,6 @@ def match(a: Tree, b: Tree) -> dict[int, int]:
             elif best[i][j] == best[i][j - 1]:
                 j -= 1
             else:
-                found += pairs[i - 1, j - 1][1]
+                open_.append((xs[i - 1], ys[j - 1]))
                 i, j = i - 1, j - 1
-        return 1 + best[-1][-1], found
-
-    return dict(solve(a, b, 0, 0)[1])
-
-
-def _places(trees: tuple, start: int) -> list[int]:
-    out = []
-    for t in trees:
-        out.append(start)
-        start += tree_size(t)
-    return out
+    return found

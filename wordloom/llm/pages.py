@@ -5,8 +5,13 @@ skeleton of a host is its reference; every page of the host is aligned to it by
 matching, and each place of the reference gathers how many pages have it, how much text it
 holds and whether that text is the same everywhere.  Constant places are template, varying
 ones are slots.  The wrapper of a host names its content places: the article or main element
-if the host marks one, else the smallest place that holds most of the varying text.  A page's
-content is what it has at those places, without parts marked as boilerplate.
+if the host marks one, else the smallest place that covers all varying text outside boilerplate,
+so that a title and a lead beside the body stay.  A page's content is what it has at those places,
+without parts marked as boilerplate and, outside articles, without template.  Inside an article
+nothing is template: what an article says on every page is still said.
+
+Counts go by different pages: of equal pages of a host each counts as its share of one, so that
+copies do not make each other's text template, nor their skeleton the reference.
 
 Null html: empty text.  Null url: one host.  Equal pages give equal texts.  Counts are combined
 before they are shuffled, so a host with a third of all pages is a few rows per task; wrappers
@@ -25,11 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.batches import slices
-from wordloom.llm.dom import Node, Tree, boilerplate, match, parse, skeleton, tree_size
+from wordloom.llm.dom import Node, Tree, boilerplate, is_boilerplate, match, parse, skeleton
 from wordloom.session import bounded_join, written
 
-MOST_OF_TEXT = 0.6  # share of the varying text that the content place must hold
-MIN_PAGES = 3  # pages a place needs before equal text makes it template
+MIN_PAGES = 3  # different pages a place needs before equal text makes it template
 WRAPPER_BYTES = 16_384
 BATCH_BYTES = 4 << 20
 
@@ -40,10 +44,8 @@ def dump(tree: Tree) -> str:
 
 @lru_cache(4_096)
 def tree_of(text: str) -> Tree:
-    def deep(x: list) -> Tree:
-        return x[0], tuple(deep(c) for c in x[1])
-
-    return deep(json.loads(text))
+    keys, sizes = json.loads(text)
+    return tuple(keys), tuple(sizes)
 
 
 @lru_cache(16_384)
@@ -57,6 +59,13 @@ def with_host(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
 
 
+def with_share(pages: DataFrame) -> DataFrame:
+    """`pages` with `share`: one over the number of equal pages of the host."""
+    copies = pages.groupBy("host", F.xxhash64("html").alias("same")).agg(F.count("*").alias("copies")).where("copies > 1")
+    marked = bounded_join(pages.withColumn("same", F.xxhash64("html")), written(copies), ["host", "same"], None, 96)
+    return marked.withColumn("share", 1 / F.coalesce("copies", F.lit(1))).drop("same", "copies")
+
+
 def skeletons(pages: DataFrame) -> DataFrame:
     """(host, skeleton, pages), counted within batches; sum it up by the keys."""
 
@@ -64,31 +73,32 @@ def skeletons(pages: DataFrame) -> DataFrame:
         for batch in batches:
             counts: Counter = Counter()
             for part in slices(batch, "html", BATCH_BYTES):
-                for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
-                    counts[host, dump(skeleton(parse(page)[0])[0])] += 1
+                rows = part.to_pydict()
+                for host, page, share in zip(rows["host"], rows["html"], rows["share"]):
+                    counts[host, dump(skeleton(parse(page)[0])[0])] += share
             yield pa.RecordBatch.from_pydict(
-                {"host": [k[0] for k in counts], "skeleton": [k[1] for k in counts], "pages": list(counts.values())}
+                {"host": [k[0] for k in counts], "skeleton": [k[1] for k in counts], "pages": pa.array(list(counts.values()), pa.float64())}
             )
 
-    return pages.select("host", "html").mapInArrow(run, "host string, skeleton string, pages bigint")
+    return pages.select("host", "html", "share").mapInArrow(run, "host string, skeleton string, pages double")
 
 
 def references(pages: DataFrame) -> DataFrame:
     """(host, reference): the most frequent skeleton, ties to the smaller string."""
-    counted = skeletons(pages).groupBy("host", "skeleton").agg(F.sum("pages").alias("n"))
+    counted = skeletons(pages).groupBy("host", "skeleton").agg(F.round(F.sum("pages")).alias("n"))
     return counted.groupBy("host").agg(F.min_by("skeleton", F.struct(-F.col("n"), "skeleton")).alias("reference"))
 
 
 def place_texts(pages: DataFrame) -> DataFrame:
     """(host, place, pages, chars, low, high) of pages with their `reference`: over each place
-    the pages that have it, characters, and the least and greatest hash of its text."""
+    the different pages that have it, characters, and the least and greatest hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[tuple[str, int], list] = {}
             for part in slices(batch, "html", BATCH_BYTES):
                 rows = part.to_pydict()
-                for host, page, reference in zip(rows["host"], rows["html"], rows["reference"]):
+                for host, page, reference, share in zip(rows["host"], rows["html"], rows["reference"], rows["share"]):
                     nodes, blocks = parse(page)
                     tree, places = skeleton(nodes)
                     to = aligned(dump(tree), reference)
@@ -99,46 +109,44 @@ def place_texts(pages: DataFrame) -> DataFrame:
                         if place in to:
                             joined = "\n".join(mine)
                             digest = int.from_bytes(hashlib.blake2b(joined.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-                            got = seen.setdefault((host, to[place]), [0, 0, digest, digest])
-                            got[0] += 1
+                            got = seen.setdefault((host, to[place]), [0.0, 0, digest, digest])
+                            got[0] += share
                             got[1] += len(joined)
                             got[2], got[3] = min(got[2], digest), max(got[3], digest)
             values = list(seen.values())
             yield pa.RecordBatch.from_pydict(
                 {"host": pa.array([k[0] for k in seen], pa.string()), "place": pa.array([k[1] for k in seen], pa.int32())}
-                | {c: pa.array([v[i] for v in values], pa.int64()) for i, c in enumerate(("pages", "chars", "low", "high"))}
+                | {"pages": pa.array([v[0] for v in values], pa.float64())}
+                | {c: pa.array([v[i] for v in values], pa.int64()) for i, c in enumerate(("chars", "low", "high"), 1)}
             )
 
-    schema = "host string, place int, pages bigint, chars bigint, low bigint, high bigint"
-    return pages.select("host", "html", "reference").mapInArrow(run, schema)
+    schema = "host string, place int, pages double, chars bigint, low bigint, high bigint"
+    return pages.select("host", "html", "reference", "share").mapInArrow(run, schema)
 
 
 def content_places(reference: str, stats: dict[int, tuple[int, int, bool]]) -> list[int]:
     """Places of the content in a reference.  stats: place -> (pages, chars, constant)."""
-    tree = tree_of(reference)
-    keys: list[str] = []
-    inside: list[range] = []
-
-    def walk(t: Tree) -> None:
-        at = len(keys)
-        keys.append(t[0])
-        inside.append(range(at, at + tree_size(t)))
-        for c in t[1]:
-            walk(c)
-
-    walk(tree)
-    for tags in (("article",), ("main",)):
-        marked = [i for i, k in enumerate(keys) if k.split(".")[0] in tags]
-        outer = [i for i in marked if not any(i in inside[j] and i != j for j in marked)]
+    keys, sizes = tree_of(reference)
+    for tag in ("article", "main"):
+        outer, end = [], 0
+        for i, key in enumerate(keys):
+            if i >= end and key.split(".")[0] == tag:
+                outer.append(i)
+                end = i + sizes[i]
         if outer:
             return outer
-    varying = {p: chars for p, (_, chars, constant) in stats.items() if not constant}
-    total = sum(varying.values())
-    if not total:
+    wanted, end = [], 0
+    for i, key in enumerate(keys):
+        if i < end:
+            continue
+        if is_boilerplate(key):
+            end = i + sizes[i]
+        elif i in stats and stats[i][1] and not stats[i][2]:
+            wanted.append(i)
+    if not wanted:
         return [0]
-    holds = [sum(varying.get(p, 0) for p in inside[i]) for i in range(len(keys))]
-    fit = [i for i in range(len(keys)) if holds[i] >= MOST_OF_TEXT * total and len(inside[i]) > 1] or [0]
-    return [min(fit, key=lambda i: len(inside[i]))]
+    covering = [i for i in range(len(keys)) if i <= wanted[0] and wanted[-1] < i + sizes[i]]
+    return [covering[-1]]
 
 
 def wrappers(pages: DataFrame, refs: DataFrame) -> DataFrame:
@@ -146,7 +154,7 @@ def wrappers(pages: DataFrame, refs: DataFrame) -> DataFrame:
     n = refs.count()
     joined = bounded_join(pages, refs, "host", n, WRAPPER_BYTES, how="inner")
     stats = place_texts(joined).groupBy("host", "place").agg(
-        F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), (F.min("low") == F.max("high")).alias("constant")
+        F.round(F.sum("pages")).alias("pages"), F.sum("chars").alias("chars"), (F.min("low") == F.max("high")).alias("constant")
     )
     constant = F.col("constant") & (F.col("pages") >= MIN_PAGES)
     per_host = stats.groupBy("host").agg(
@@ -213,7 +221,7 @@ def main_text(page: str, reference: str, content: list[int], template: list[int]
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of (page_id, url, html)."""
-    hosted = with_host(pages)
+    hosted = with_share(with_host(pages))
     refs = written(references(hosted))
     rules = written(wrappers(hosted, refs))
     joined = bounded_join(hosted, rules, "host", rules.count(), WRAPPER_BYTES)
