@@ -2,14 +2,18 @@
 
 import hashlib
 import html
+import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import regex
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tests.llm.test_texts import distance
 from wordloom.llm.catalog import REGISTRY
 
 
@@ -71,13 +75,60 @@ def test_page_query(spark, sf_dir):
 
 
 def test_line_query(spark, sf_dir):
+    """Against all pairs of lines; those too far apart by length or by words are not measured."""
     docs = {r["doc_id"]: r["text"] for r in table(spark, sf_dir, "documents").collect()}
-    for r in REGISTRY["op9_lines"](spark, sf_dir).collect():
-        lines = docs.pop(r["doc_id"]).split("\n")
-        assert r["n_lines"] == len(lines) and 0 <= r["n_removed"] <= len(lines)
-        if not r["n_removed"]:
-            assert r["kept_sha256"] == hashlib.sha256("\n".join(lines).encode()).hexdigest()
-    assert not docs
+    places = {}
+    for d, text in sorted(docs.items()):
+        for i, line in enumerate(text.split("\n")):
+            words = tuple(regex.sub(r"[^\p{L}\p{N}]+", " ", line.lower()).split())
+            if words:
+                places.setdefault(words, []).append((d, i))
+    names = sorted(places, key=len)
+    sets, root = [set(n) for n in names], list(range(len(names)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for b, long in enumerate(names):
+        for a in range(b - 1, -1, -1):
+            if 5 * (len(long) - len(names[a])) > len(long):
+                break
+            if 5 * max(len(sets[b] - sets[a]), len(sets[a] - sets[b])) <= len(long) and 5 * distance(names[a], long) <= len(long):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    groups = {}
+    for i, n in enumerate(names):
+        groups.setdefault(find(i), []).extend(places[n])
+    gone = {p for g in groups.values() for p in g} - {min(g) for g in groups.values()}
+    rows = REGISTRY["op9_lines"](spark, sf_dir).collect()
+    assert len(rows) == len(docs) and gone
+    for r in rows:
+        lines = docs[r["doc_id"]].split("\n")
+        kept = "\n".join(x for i, x in enumerate(lines) if (r["doc_id"], i) not in gone)
+        assert r["n_lines"] == len(lines) and r["n_removed"] == sum((r["doc_id"], i) in gone for i in range(len(lines)))
+        assert r["kept_chars"] == len(kept) and r["kept_sha256"] == hashlib.sha256(kept.encode()).hexdigest()
+
+
+def test_ctw_query(spark, sf_dir):
+    """Folds and counts by a plain loop; texts that were learned from need fewer bits than under the word model."""
+    docs = {r["doc_id"]: r["text"] for r in table(spark, sf_dir, "documents").collect()}
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", t.translate(lower)) for d, t in docs.items()}
+    held = {d for d in docs if zlib.crc32(str(d).encode()) % 7 == 2}
+    counts = Counter(w for d in docs.keys() - held for w in [*words[d], None])
+    total, kinds = sum(counts.values()), len(counts)
+    rows = REGISTRY["op12_ctw"](spark, sf_dir).collect()
+    assert {r["doc_id"] for r in rows if r["held_out"]} == held and len(rows) == len(docs)
+    for r in rows:
+        own = [*words[r["doc_id"]], None]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(counts[w] > 0 for w in own), total)
+        assert abs(r["base_score"] - sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in own)) < 1e-6
+    assert all(0.2 < r["bits_per_byte"] < 4 for r in rows if r["n_tokens"] > 30)
+    seen = [r["bits_per_byte"] for r in rows if not r["held_out"] and r["n_tokens"] > 30]
+    new = [r["bits_per_byte"] for r in rows if r["held_out"] and r["n_tokens"] > 30]
+    assert np.mean(seen) < np.mean(new)
 
 
 def test_pipeline_stages(spark, sf_dir, tmp_path):

@@ -36,6 +36,7 @@ CONTAINED_PERCENT = 80
 SCORE_SCALE = 2_000_000
 TOP = 2_000
 NO_LANGUAGE = "und"
+COUNT_BYTES = 900_000  # text bytes hashed at once beside the keys that are added up
 
 _CUT = np.zeros(256, bool)
 _CUT[[ord(c) for c in ".,;:!?\x0a\x0b\x0c\x0d"]] = True
@@ -99,9 +100,9 @@ class Sequences:
         return pa.Array.from_buffers(pa.large_string(), len(at), [None, bounds, pa.py_buffer(self.data[gather])])
 
 
-def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[Sequences]:
+def sequences(batches: Iterator[pa.RecordBatch], limit: int = B.CHUNK_BYTES) -> Iterator[Sequences]:
     for batch in batches:
-        for part in B.slices(batch, "text"):
+        for part in B.slices(batch, "text", limit):
             yield Sequences(part)
 
 
@@ -110,7 +111,7 @@ def counted(docs: DataFrame, fields: list[Broadcast], least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
-        for found in sequences(batches):
+        for found in sequences(batches, COUNT_BYTES):
             *_, (_, prints) = found.frequent([f.value for f in fields])
             keys, n = np.unique(prints.view(np.int64), return_counts=True)
             yield from tally.add(keys, n)
