@@ -2,6 +2,8 @@ import numpy as np
 import pytest
 
 from wordloom.operators.recurrent import RecurrentSpec, rnn_score
+from wordloom.plans.views import drawn_weights, layout_of
+from wordloom.session import written
 
 V, D, H, L, K = 20, 5, 4, 7, 3
 
@@ -102,6 +104,26 @@ def test_scores_equal_step_loop(spark, options, matrix_rows):
         assert np.allclose(r["logits"], one_document(spec, weights, table, docs[r["doc_id"]]), atol=1e-9)
 
 
+def test_full_size_equals_step_loop(spark):
+    """The two-way LSTM of 128 units that is registered as a query, with its drawn weights."""
+    rng = np.random.default_rng(4)
+    spec = RecurrentSpec("lstm", 128, 1, True, "meanmax", use_layer_norm=True, dtype="float64")
+    params = written(drawn_weights(spark, spec))
+    weights = {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in params.collect()}
+    assert {k: list(v.shape) for k, v in weights.items()} == {
+        name: [width] if rows == 1 else [rows, width] for name, rows, width in layout_of(spec)
+    }
+    assert all(abs(v.std() - 0.1) < 0.02 for v in weights.values() if v.size > 1000)
+    table = rng.normal(size=(V, 64)).astype("float32").astype("float64")
+    docs = [[], [3], list(map(int, rng.integers(1, V, 7))), list(map(int, rng.integers(1, V, 40)))]
+    rows = [(i, d + [0] * (40 - len(d)), max(1, len(d))) for i, d in enumerate(docs)]
+    table[0] = 0.0
+    encoded = spark.createDataFrame(rows, "doc_id bigint, input_ids array<int>, length int")
+    matrix = spark.createDataFrame([(i, table[i].tolist()) for i in range(V)], "idx int, vector array<float>")
+    for r in rnn_score(encoded, matrix, params, spec, dim=64).collect():
+        assert np.allclose(r["logits"], one_document(spec, weights, table, docs[r["doc_id"]]), atol=1e-9)
+
+
 def test_matrix_larger_than_its_bound(spark):
     rng, spec = np.random.default_rng(2), RecurrentSpec(hidden_size=H)
     encoded = spark.createDataFrame([(0, [1, 0], 1)], "doc_id bigint, input_ids array<int>, length int")

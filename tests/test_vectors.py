@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wordloom import session
 from wordloom.functions import vectors as vx
 from wordloom.operators import classify, embedding
 
@@ -204,3 +205,23 @@ def test_batch_search_in_many_blocks(spark):
         assert got == {w: python_near(known, w, 4) for w in known if "3" in w}
     assert embedding.most_similar_batch(df, df.limit(0)).count() == 0
     assert embedding.most_similar_batch(df.limit(0), df).count() == 0
+
+
+@pytest.mark.parametrize("how", ["mean", "meanmax"])
+def test_pool_with_a_hot_word_beyond_the_budget(spark, monkeypatch, how):
+    """A word with a third of all tokens travels with the frequent ranks; the shuffle sees rare words only."""
+    rng, dim = np.random.default_rng(8), 4
+    table = np.concatenate([np.zeros((1, dim)), rng.normal(size=(199, dim)).astype("f4")])
+    docs = [[2 if rng.random() < 0.34 else int(rng.integers(3, 200)) for _ in range(30)] for _ in range(120)] + [[]]
+    encoded = spark.createDataFrame([(i, d + [0] * (30 - len(d))) for i, d in enumerate(docs)], "doc_id bigint, input_ids array<int>")
+    matrix = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(table)], "idx int, vector array<float>")
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 20 * (8 * dim + 96))  # twenty ranks
+    pooled = embedding.pool(encoded, matrix, how, dim=dim)
+    plan = pooled._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+    for r in pooled.collect():
+        x = table[docs[r["doc_id"]] or [0]].astype(float)
+        assert np.allclose(r["features"], np.concatenate([x.mean(0), x.max(0)][: 2 if how == "meanmax" else 1]))
+    long = encoded.select(F.explode(F.filter("input_ids", lambda i: i != 0)).alias("idx"))
+    far = long.where("idx >= 20").groupBy("idx").count().agg(F.max("count"), F.sum("count")).first()
+    assert far[0] < 0.02 * far[1]

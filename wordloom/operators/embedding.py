@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import hashing
 from wordloom.functions import vectors as vx
-from wordloom.session import bounded_join
+from wordloom.session import ranked_join
 from wordloom.settings import GENERATED_STD, PAD_IDX, SEED, VECTOR_DIM
 
 POOLINGS = ("mean", "max", "meanmax")
@@ -66,7 +66,8 @@ def pool(
     """(key, *keep, features ARRAY<DOUBLE>): mean, maximum, or mean followed by maximum of
     the vectors at the real positions; zeros for a document without any.
 
-    An encoded table comes out of a grouping by `key`; the explode and the broadcast lookup
+    Ids are ranks by frequency, so beyond the budget only rare words are shuffled.  Within it, an
+    encoded table comes out of a grouping by `key`; the explode and the broadcast lookup
     keep that partitioning, so the vectors are pooled where they are and never shuffled."""
     if how not in POOLINGS:
         raise ValueError(f"how must be one of {', '.join(POOLINGS)}")
@@ -75,7 +76,7 @@ def pool(
     ids = F.when(F.size(real) == 0, F.array(F.lit(PAD_IDX))).otherwise(real)
     long = encoded.select(key, *keep, F.explode_outer(ids).alias("idx"))
     rows = matrix.select("idx", array_to_vector("vector").alias("vector"))
-    joined = bounded_join(long, rows, "idx", matrix_rows, 8 * dim + 96, how="inner")
+    joined = ranked_join(long, rows, "idx", matrix_rows, 8 * dim + 96, how="inner")
     metrics = {"mean": ["mean"], "max": ["max"], "meanmax": ["mean", "max"]}[how]
     pooled = joined.groupBy(key).agg(
         *[F.any_value(c).alias(c) for c in keep], Summarizer.metrics(*metrics).summary(F.col("vector")).alias("s")

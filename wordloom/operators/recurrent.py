@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.session import BROADCAST_BYTES, bounded_join, fits_broadcast
+from wordloom.session import BROADCAST_BYTES, fits_broadcast, ranked_join
 from wordloom.settings import LAYER_EPS, PAD_IDX, RMS_EPS, VECTOR_DIM
 
 # Rows per matrix product inside a task: bounds memory to rows * max_len * 4 * hidden.
@@ -167,7 +167,7 @@ def rnn_score(
 def _with_vectors(encoded: DataFrame, matrix: DataFrame, key: str, dim: int, matrix_rows: int | None) -> DataFrame:
     """Adds `vectors`, one per position; at most `max_len` rows per key are gathered."""
     long = encoded.select(key, "length", F.posexplode_outer("input_ids").alias("pos", "idx"))
-    joined = bounded_join(long, matrix.select("idx", "vector"), "idx", matrix_rows, 8 * dim)
+    joined = ranked_join(long, matrix.select("idx", "vector"), "idx", matrix_rows, 8 * dim)
     cells = F.sort_array(F.collect_list(F.struct("pos", "idx", "vector")))
     grouped = joined.groupBy(key).agg(F.any_value("length").alias("length"), cells.alias("c"))
     return grouped.select(key, "length", F.col("c.idx").alias("input_ids"), F.col("c.vector").alias("vectors"))

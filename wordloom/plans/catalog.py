@@ -21,10 +21,10 @@ from wordloom.operators import (
     vocabulary,
 )
 from wordloom.operators.recurrent import RecurrentSpec
-from wordloom.plans import fit, score, skipgram, views
+from wordloom.plans import baseline, fit, score, skipgram, trials, views
 from wordloom.plans.prepare import Prepared, prepare, split_tokens, train_vocab
 from wordloom.session import shared_path, spread, written
-from wordloom.settings import CSV_COLUMNS, PATIENCE
+from wordloom.settings import CSV_COLUMNS, LABEL_NAMES, PATIENCE
 from wordloom.sources import batches, labelled
 from wordloom.sources import runs as run_files
 from wordloom.sources.vectors import model_vectors, read_vectors, write_vectors
@@ -168,7 +168,8 @@ def unk_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def document_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """Encoded length and known/unknown tokens of every document."""
+    """Encoded length of every document, and known and unknown tokens within that length (`unk_rate`
+    counts all tokens)."""
     encoded = _prepared(spark, sf).encoded
     real = F.filter("input_ids", lambda i: i != 0)
     unknown = F.size(F.filter("input_ids", lambda i: i == 1))
@@ -524,6 +525,58 @@ def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     return facts.join(table.select("run_name", (F.col("rank") >= place).alias("ranked")), "run_name")
 
 
+def _baseline_rows(spark: SparkSession, sf: str) -> DataFrame:
+    prepared, lazy_matrix = _matrix(spark, sf)
+    return written(fit.mlp_features(prepared, written(lazy_matrix), "mean", views.DIM))
+
+
+def _accuracy(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """(n, hits, most): rows, right ones, and rows of the largest class."""
+    scored = classify.with_probabilities(classify.linear_logits(rows, weights))
+    classes = scored.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("y_pred") == F.col("label")).alias("hits"))
+    return classes.agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.max("n").alias("most"))
+
+
+@query
+def fit_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts of the linear baseline: rows of both splits, whether the slope is gone, whether it beats
+    the largest class on the rows it was fitted on."""
+    rows = _baseline_rows(spark, sf)
+    train = rows.where("split = 'train'")
+    fitted = baseline.fit_baseline(train)
+    sizes = rows.agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "val").alias("n_val"))
+    beats = _accuracy(train, fitted.weights).select((F.col("hits") > F.col("most")).alias("beats_majority")).scalar()
+    return sizes.select(F.lit("baseline").alias("run_name"), "n_train", "n_val", F.lit(fitted.slope < 1e-6).alias("converged"), beats.alias("beats_majority"))
+
+
+@query
+def search_trials(spark: SparkSession, sf: str) -> DataFrame:
+    """A search of 30 trials over the baseline's penalty: trials by rung and state, and whether one
+    that went through reaches the share of the largest class."""
+    rows = _baseline_rows(spark, sf)
+    train, val = written(rows.where("split = 'train'")), written(rows.where("split = 'val'"))
+
+    def run(options: trials.Options, budget: int) -> float:
+        weights = baseline.fit_baseline(train, options["l2"], steps=budget, classes=len(LABEL_NAMES)).weights
+        r = _accuracy(val, weights).first()
+        return r["hits"] / r["n"]
+
+    found = written(trials.search(spark, shared_path(spark), run, {"l2": (1e-5, 10.0)}, budgets=(1, 2, 4), parallelism=4))
+    share = val.groupBy("label").count().agg(F.max("count") / F.sum("count")).first()[0]
+    counts = found.groupBy("rung", "budget", "state").agg(F.count("*").alias("trials"), F.max("score").alias("best"))
+    return counts.select("rung", "budget", "state", "trials", ((F.col("state") != "done") | (F.col("best") >= share)).alias("as_good"))
+
+
+@query
+def rnn_score_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Class scores by a two-way LSTM of 128 units with norms, its weights drawn by a rule."""
+    spec = RecurrentSpec("lstm", 128, 1, True, "meanmax", use_layer_norm=True, dtype="float64")
+    prepared, lazy_matrix = _matrix(spark, sf)
+    weights = written(views.drawn_weights(spark, spec))
+    scores = recurrent.rnn_score(prepared.encoded, written(lazy_matrix), weights, spec, dim=views.DIM, matrix_rows=prepared.vocab_rows)
+    return scores.select("doc_id", F.posexplode("logits").alias("label_id", "logit")).withColumn("logit", F.round("logit", 6))
+
+
 @query
 def score_documents(spark: SparkSession, sf: str) -> DataFrame:
     """All documents scored by linear class weights learnt from the training split."""

@@ -459,6 +459,13 @@ for key in ("train_word2vec", "train_word2vec_negative"):
 FIT_FACTS = """(SELECT count(*) FROM split WHERE split = 'train') AS n_train, (SELECT count(*) FROM split WHERE split = 'val') AS n_val,
        true AS loss_fell, true AS beats_majority, true AS kept_first_best"""
 oracle("fit_mlp", "split", body=f"SELECT 'mlp' AS run_name, {FIT_FACTS}")
+oracle(
+    "fit_baseline", "split",
+    body="""SELECT 'baseline' AS run_name, (SELECT count(*) FROM split WHERE split = 'train') AS n_train,
+               (SELECT count(*) FROM split WHERE split = 'val') AS n_val, true AS converged, true AS beats_majority""",
+)
+ORACLES["search_trials"] = """SELECT rung::INTEGER AS rung, budget::INTEGER AS budget, state, trials::BIGINT AS trials, true AS as_good
+FROM (VALUES (0, 1, 'kept', 10), (0, 1, 'pruned', 20), (1, 2, 'kept', 4), (1, 2, 'pruned', 6), (2, 4, 'done', 4)) v(rung, budget, state, trials)"""
 oracle(
     "grid_search", "split",
     body=f"""SELECT run_name, {FIT_FACTS}, true AS ranked

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.functions.hashing import normal_vector
 from wordloom.operators import classify
 from wordloom.operators.documents import derive_documents
 from wordloom.operators.recurrent import RecurrentSpec
 from wordloom.operators.runs import Prefix, running
+from wordloom.settings import SEED
 
 # Width of the vectors in the `embeddings` table.
 DIM = 64
@@ -108,6 +110,35 @@ def run_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def layout_of(spec: RecurrentSpec, dim: int = DIM, classes: int = 4) -> list[tuple[str, int, int]]:
+    """(name, rows, width) of the parameters of a one-layer network with layer norms, in order."""
+    hidden, gates = spec.hidden_size, {"lstm": 4, "gru": 3}[spec.model_type] * spec.hidden_size
+    features = hidden * (2 if spec.bidirectional else 1) * (2 if spec.pooling == "meanmax" else 1)
+    out = []
+    for way in ["l0", "l0_reverse"] if spec.bidirectional else ["l0"]:
+        out += [(f"rnn.weight_ih_{way}", gates, dim), (f"rnn.weight_hh_{way}", gates, hidden)]
+        out += [(f"rnn.bias_ih_{way}", 1, gates), (f"rnn.bias_hh_{way}", 1, gates)]
+    for name, width in (("embedding_norm", dim), ("feature_norm", features)):
+        out += [(f"{name}.weight", 1, width), (f"{name}.bias", 1, width)]
+    return [*out, ("classifier.weight", classes, features), ("classifier.bias", 1, classes)]
+
+
+def drawn_weights(spark: SparkSession, spec: RecurrentSpec, dim: int = DIM, std: float = 0.1) -> DataFrame:
+    """(name, shape, values): parameters of `layout_of` drawn from a normal distribution, each row by
+    its own number, so that a large block is many rows until they are put together."""
+    parts = []
+    for number, (name, rows, width) in enumerate(layout_of(spec, dim)):
+        values = normal_vector(F.col("id") + number * 1_000_000, width, SEED, std)
+        each = spark.range(rows).select("id", values.alias("v"))
+        whole = each.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("id", "v"))), lambda x: x["v"])).alias("values"))
+        shape = F.array(F.lit(width)) if rows == 1 else F.array(F.lit(rows), F.lit(width))
+        parts.append(whole.select(F.lit(name).alias("name"), shape.alias("shape"), "values"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def rnn_weights(spark: SparkSession, sf_dir: str, spec: RecurrentSpec, classes: int = 4) -> DataFrame:
     """(name, shape, values): network parameters taken from consecutive embedding rows, one
     row of a parameter per embedding row, cut to its width."""

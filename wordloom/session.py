@@ -78,6 +78,20 @@ def bounded_join(
     return big.join(side.hint("merge"), on, how)
 
 
+def ranked_join(big: DataFrame, side: DataFrame, on: str, rows: int | None, row_bytes: int, how: str = "left") -> DataFrame:
+    """`bounded_join` to a table whose keys are ranks by frequency, from 0.
+
+    Beyond the broadcast budget the ranks that fit it still travel, and with them the frequent
+    keys; only rows of the others are shuffled.  A key with a third of all rows stays where it is."""
+    if fits_broadcast(side, rows, row_bytes):
+        return big.join(F.broadcast(side), on, how)
+    most = max(0, BROADCAST_BYTES // row_bytes)
+    often = F.col(on) < most
+    near = big.where(often | F.col(on).isNull()).join(F.broadcast(side.where(often)), on, how)
+    far = big.where(~often).join(side.where(~often).hint("merge"), on, how)
+    return near.unionByName(far)
+
+
 def shared_path(spark: SparkSession) -> str:
     """A new path in the shared folder of `spark.checkpoint.dir`.  Only a local master may
     fall back to a folder of its own."""
