@@ -20,6 +20,7 @@ HEADLINE = [
     "token_freq",
     "vocab_build",
     "encode",
+    "encode_rows",
     "unk_rate",
     "training_batches",
     "embedding_matrix",
@@ -31,6 +32,7 @@ HEADLINE = [
     "early_stop",
     "leaderboard",
     "score_documents",
+    "score_rows",
     "rnn_score",
     "rnn_score_bilstm",
     "batch_files",
