@@ -47,6 +47,9 @@ WIDTH = 4
 PERCENT = 85
 ORDER_BUCKETS = 1 << 18
 CROWDED = 0.99  # quantile of the bucket counts above which a bucket's shingles come last
+BIT_WORDS = 4  # a prefix is sketched in 256 bits
+BITS = [f"x{i}" for i in range(BIT_WORDS)]
+OTHER_BITS = [f"y{i}" for i in range(BIT_WORDS)]
 MOST_SUBSETS = 64  # no set above the size that needs more subsets is light
 
 
@@ -160,6 +163,13 @@ def prefix_length(n: int, percent: int) -> int:
     return n - least_partner(n, percent) + 1
 
 
+def prefix_bits(tokens: np.ndarray) -> np.ndarray:
+    """BIT_WORDS numbers in which every token sets one bit."""
+    out = np.zeros(BIT_WORDS * 64, bool)
+    out[(tokens % np.uint64(BIT_WORDS * 64)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").view(np.int64)
+
+
 def postings(
     docs: DataFrame,
     text: str,
@@ -170,8 +180,9 @@ def postings(
     only_small: bool = False,
     field: Broadcast | None = None,
 ) -> DataFrame:
-    """(token, f, n, pos): the keys of each class.  pos is the place in the order for shingles,
-    -1 for subsets.  A task lists a class once; with a `field`, only keys that are in it.
+    """(token, f, n, pos, bits): the keys of each class.  pos is the place in the order for shingles,
+    -1 for subsets; `bits` are those of the class's prefix.  A task lists a class once; with a
+    `field`, only keys that are in it.
 
     `only_small` lists the shingles of sets that could be light, whatever the boundary."""
     reach = least_partner(boundary + 1, percent)
@@ -197,7 +208,7 @@ def postings(
                 flat, bounds, ranks = order.sets(part, text, width)
                 f, _ = fingerprints(flat, bounds)
                 ordered = flat[ranks]
-                tokens, places, sizes, names = [], [], [], []
+                tokens, places, sizes, names, marks = [], [], [], [], []
                 for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                     name = int(f[i])
                     if a == b or name in known or (only_small and b - a > boundary):
@@ -209,6 +220,7 @@ def postings(
                     count = sum(map(len, t))
                     sizes.append(np.full(count, b - a))
                     names.append(np.full(count, name))
+                    marks.append(np.broadcast_to(prefix_bits(ordered[a : a + prefix_length(b - a, percent)]), (count, BIT_WORDS)))
                 if len(known) > 1_000_000:
                     known.clear()
                 if tokens:
@@ -220,11 +232,12 @@ def postings(
                             pa.array(np.concatenate(names)[some], pa.int64()),
                             pa.array(np.concatenate(sizes)[some], pa.int32()),
                             pa.array(np.concatenate(places)[some], pa.int32()),
+                            *(pa.array(x) for x in np.ascontiguousarray(np.concatenate(marks)[some].T)),
                         ],
-                        ["token", "f", "n", "pos"],
+                        ["token", "f", "n", "pos", *BITS],
                     )
 
-    return docs.select(text).mapInArrow(run, "token bigint, f bigint, n int, pos int")
+    return docs.select(text).mapInArrow(run, "token bigint, f bigint, n int, pos int, " + ", ".join(f"{c} bigint" for c in BITS))
 
 
 def light_boundary(docs: DataFrame, text: str, width: int, percent: int, order: Order) -> int:
@@ -250,13 +263,26 @@ def light_boundary(docs: DataFrame, text: str, width: int, percent: int, order:
     return boundary
 
 
-def possible(percent: int):
-    """Filter on (n, pos, m, qos): may sets of these sizes with a common key at these places
-    link?  All earlier places could be common as well."""
+def possible(percent: int, boundary: int) -> Column:
+    """Filter on (n, pos, x.., m, qos, y..): may sets of these sizes with a common key at these places
+    link?  All earlier places could be common as well.
+
+    A bit that only one of two prefixes sets is a shingle of that prefix alone; what is left of
+    the shorter count and what follows the prefixes must do.  That holds for sets with prefixes."""
     n, m, pos, qos = F.col("n"), F.col("m"), F.col("pos"), F.col("qos")
     sizes = (100 * F.least(n, m) >= percent * F.greatest(n, m))
     most = F.least(pos, qos) + 1 + F.least(n - pos - 1, m - qos - 1)
-    return sizes & ((pos < 0) | (qos < 0) | ((100 + percent) * most >= percent * (n + m)))
+    placed = (pos < 0) | (qos < 0) | ((100 + percent) * most >= percent * (n + m))
+
+    def partner(n: Column) -> Column:
+        return F.ceil(F.lit(percent) * n / 100)
+
+    def alone(own: list[str], other: list[str]) -> Column:
+        return sum((F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b)))) for a, b in zip(own, other)), F.lit(0))
+
+    common = F.least(n - partner(n) + 1 - alone(BITS, OTHER_BITS), m - partner(m) + 1 - alone(OTHER_BITS, BITS))
+    enough = (100 + percent) * (common + F.greatest(partner(n), partner(m)) - 1) >= percent * (n + m)
+    return sizes & placed & ((F.least(n, m) <= boundary) | enough)
 
 
 def likely(pairs: DataFrame, prefixes: DataFrame, percent: int, boundary: int) -> DataFrame:
@@ -321,7 +347,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     rows = written(set_rows(docs, key, text, width))
     order = Order.of(docs, text, width)
     boundary = light_boundary(docs, text, width, percent, order)
-    listed = postings(docs, text, width, percent, order, boundary)
+    listed = postings(docs, text, width, percent, order, boundary).select("token", "f")
     # only lists of two classes or more matter; hot lists are minima per task, then one row
     hubs = listed.groupBy("token").agg(F.min("f").alias("hub"), F.max("f").alias("top"), (F.count("*") > 2).alias("many"))
     hubs = written(hubs.where("hub < top").drop("top"))
@@ -330,12 +356,11 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     shared = written(again.hint("merge").join(hubs, "token").dropDuplicates(["token", "f"]))
     forget(hubs)
     prefixes = written(shared.where("pos >= 0").groupBy("f").agg(F.collect_list("token").alias("tokens")))
-    heads = shared.where("f = hub").groupBy("token").agg(F.first("n").alias("m"), F.first("pos").alias("qos"))
-    near = shared.where("f <> hub").hint("merge").join(heads, "token").where(possible(percent))
-    first = near.groupBy(F.col("f").alias("a"), F.col("hub").alias("b")).agg(
-        F.first("n").alias("n"), F.first("m").alias("m"), F.count("*").alias("keys")
+    heads = shared.where("f = hub").groupBy("token").agg(
+        F.first("n").alias("m"), F.first("pos").alias("qos"), *[F.first(x).alias(y) for x, y in zip(BITS, OTHER_BITS)]
     )
-    first = written(first)
+    near = shared.where("f <> hub").hint("merge").join(heads, "token").where(possible(percent, boundary))
+    first = written(near.select(F.col("f").alias("a"), F.col("hub").alias("b"), "n", "m").dropDuplicates(["a", "b"]))
     sources = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text))
     classes = rows.where("f <> 0").groupBy("f").agg(F.min("doc_id").alias("doc_id"))
 
@@ -346,30 +371,20 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         found = bounded_join(sources, wanted, "doc_id", wanted.count(), 64, how="inner").select("_f", text)
         return written(_of_class(found, text, width))
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        close = written(likely(pairs, prefixes, percent, boundary))
-        texts = texts_of(close)
-        out = written(verified(close, texts, text, width, percent))
-        forget(texts, close)
-        return out
-
-    # a class meets the hub first that it shares most keys with; the members of a large group share
-    # one hub or a few, and after that round most of their other pairs lie within a component
-    best = first.groupBy("a").agg(F.min_by(F.struct("b", "n", "m"), F.struct(-F.col("keys"), "b")).alias("x")).select("a", "x.b", "x.n", "x.m")
-    links = links_of(best)
-    roots = written(components(links))
-    apart = rooted(rooted(first, roots, "a", "root"), roots, "b", "other").where("root <> other").select("a", "b", "n", "m")
-    links = written(links.unionByName(links_of(apart)))
+    close = written(likely(first, prefixes, percent, boundary))
+    texts = texts_of(close)
+    links = written(verified(close, texts, text, width, percent))
+    forget(texts, close)
     roots = written(components(links))
     # what is left: pairs of a list between components; a list of two has no other pair
     of = rooted(shared.where("many"), roots, "f", "root")
     mixed = of.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
     # a list meets itself by classes of sizes: sets that link lie in the same one or in neighbours
     size_class = F.floor(F.log(F.col("n")) / -math.log(percent / 100) + 1e-9).cast("int")
-    members = written(of.join(mixed, "token", "left_semi").select("token", "f", "n", "pos", "root", size_class.alias("size_class")))
-    others = members.select("token", F.col("f").alias("g"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("root").alias("other"), "size_class")
+    members = written(of.join(mixed, "token", "left_semi").select("token", "f", "n", "pos", *BITS, "root", size_class.alias("size_class")))
+    others = members.select("token", F.col("f").alias("g"), F.col("n").alias("m"), F.col("pos").alias("qos"), *[F.col(x).alias(y) for x, y in zip(BITS, OTHER_BITS)], F.col("root").alias("other"), "size_class")
     others = others.withColumn("size_class", F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)])))
-    apart = (F.col("f") < F.col("g")) & (F.col("root") != F.col("other")) & possible(percent)
+    apart = (F.col("f") < F.col("g")) & (F.col("root") != F.col("other")) & possible(percent, boundary)
     left, right = members.hint("merge").alias("l"), others.alias("r")
     same = (F.col("l.token") == F.col("r.token")) & (F.col("l.size_class") == F.col("r.size_class"))
     cross = left.join(right, same & apart)
