@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.llm import ann, chat, dom, graph, jaccard, mixing, pages
+from wordloom.llm import ann, chat, dom, graph, jaccard, mixing, pages, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -328,3 +328,32 @@ def test_mix_keeps_null_ids_and_sources_apart(spark):
     for r in mixing.mixed_documents(df).collect():
         got[r["source"]] += len(r["text"].split())
     assert got == want
+
+
+def test_clashing_columns(spark):
+    """Columns of the input that bear names which the operators use inside come back as they were."""
+    rng = random.Random(14)
+    words = "the of and river stone quiet lamp over under green seven walk".split()
+    names = "_t _lang _words _rest _word_share ref_words ref_longest ref_class_share _key _turn _hash _doc _turns source_no _gone _in _id _of _cut".split()
+    rows = [(i, " ".join(rng.choice(words) + str(rng.randint(0, 30)) for _ in range(120)), "en", "s", *[f"{c}{i}" for c in names]) for i in range(12)]
+    rows += [(20, rows[3][1], *rows[3][2:])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in names))
+    own = {r[0]: r[4:] for r in rows}
+    for out in (quality.judge(df), jaccard.first_of_groups(df), mixing.mixed_documents(df)):
+        got = out.collect()
+        assert got and set(df.columns) <= set(out.columns)
+        for r in got:
+            assert tuple(r[c] for c in names) == own[r["doc_id"]]
+    assert {r["doc_id"] for r in jaccard.first_of_groups(df).collect()} == {r[0] for r in rows} - {20}
+
+
+def test_shares_of_large_mixes():
+    """Above a group of shards the totals of the groups follow the sources' shares; all slots are dealt once."""
+    totals = np.array([5_000_000, 3, 2_100_000, 0])
+    n = -(-int(totals.sum()) // 50)
+    parts = [mixing.shard_counts(totals, k, 50, 9) for k in (0, 1, 1023, 1024, 70_000, n - 1)]
+    assert all(int(c.sum()) == 50 for _, c in parts[:-1]) and (parts[0][0] == 0).all()
+    assert (parts[0][0] + parts[0][1] == parts[1][0]).all() and (parts[2][0] + parts[2][1] == parts[3][0]).all()
+    assert (parts[-1][0] + parts[-1][1] == totals).all()
+    middle = parts[4][0] / (70_000 * 50)
+    assert abs(middle[0] - 5_000_000 / 7_100_003) < 0.001
