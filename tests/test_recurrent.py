@@ -43,7 +43,7 @@ def one_document(spec, w, matrix, ids):
         return x
 
     def run(xs, s):
-        h, c, out = np.zeros(H), np.zeros(H), []
+        h, c, out = np.zeros(spec.hidden_size), np.zeros(spec.hidden_size), []
         for x in xs:
             a = w[f"rnn.weight_ih_{s}"] @ x + w[f"rnn.bias_ih_{s}"]
             b = w[f"rnn.weight_hh_{s}"] @ h + w[f"rnn.bias_hh_{s}"]
