@@ -225,3 +225,26 @@ def test_pool_with_a_hot_word_beyond_the_budget(spark, monkeypatch, how):
     long = encoded.select(F.explode(F.filter("input_ids", lambda i: i != 0)).alias("idx"))
     far = long.where("idx >= 20").groupBy("idx").count().agg(F.max("count"), F.sum("count")).first()
     assert far[0] < 0.02 * far[1]
+
+
+@pytest.mark.parametrize("how", ["mean", "max", "meanmax"])
+def test_pool_keeps_vectors_out_of_the_rows(spark, how):
+    """Within the budget no row per token is made, which a grouping would sort and spill; keys and words that
+    repeat, ids without a vector and rows without any known id count as in a join."""
+    matrix = [(0, [0.0, 0.0]), (1, [1.0, -2.0]), (2, [3.0, 4.0]), (2, [5.0, -6.0])]
+    rows = [(7, [1, 2]), (7, [1, 0]), (8, [0, 0]), (9, [3, -1]), (None, [2]), (None, [1, 9]), (10, None), (11, [1, None])]
+    encoded = spark.createDataFrame(rows, "doc_id bigint, input_ids array<int>")
+    table = spark.createDataFrame(matrix, "idx int, vector array<float>")
+    pooled = embedding.pool(encoded, table, how, dim=2)
+    assert "Generate" not in pooled._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for key, ids in rows:
+        real = [i for i in ids or [] if i]
+        for i in real or [0] * (ids is not None):
+            want.setdefault(key, []).extend(v for idx, v in matrix if idx == i)
+    want = {k: np.array(v) for k, v in want.items() if v}
+    got = {r["doc_id"]: r["features"] for r in pooled.collect()}
+    assert got.keys() == want.keys() == {7, 8, None, 11}
+    for key, x in want.items():
+        parts = {"mean": [x.mean(0)], "max": [x.max(0)], "meanmax": [x.mean(0), x.max(0)]}[how]
+        assert np.allclose(got[key], np.concatenate(parts))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -11,10 +13,11 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import hashing
 from wordloom.functions import vectors as vx
-from wordloom.session import ranked_join
+from wordloom.session import fits_broadcast, ranked_join
 from wordloom.settings import GENERATED_STD, PAD_IDX, SEED, VECTOR_DIM
 
 POOLINGS = ("mean", "max", "meanmax")
+POOLED_AT_ONCE = 256  # rows whose vectors are held together
 
 
 def embedding_matrix(
@@ -67,13 +70,17 @@ def pool(
     the vectors at the real positions; zeros for a document without any.
 
     Ids are ranks by frequency, so beyond the budget only rare words are shuffled.  Within it, an
-    encoded table comes out of a grouping by `key`; the explode and the broadcast lookup
-    keep that partitioning, so the vectors are pooled where they are and never shuffled."""
+    encoded table comes out of a grouping by `key`, which the grouping here keeps; the ids stay
+    in their row and the vectors are pooled where they are, neither shuffled nor sorted."""
     if how not in POOLINGS:
         raise ValueError(f"how must be one of {', '.join(POOLINGS)}")
     real = F.filter("input_ids", lambda i: i != PAD_IDX)
     # a document without real tokens pools the all-zero pad row
     ids = F.when(F.size(real) == 0, F.array(F.lit(PAD_IDX))).otherwise(real)
+    if fits_broadcast(matrix, matrix_rows, 8 * dim + 96):
+        rows = encoded.select(key, *keep, ids.alias("_ids")).groupBy(key)
+        whole = rows.agg(*[F.any_value(c).alias(c) for c in keep], F.flatten(F.collect_list("_ids")).alias("_ids"))
+        return pool_lists(whole, matrix, how, (key, *keep), dim)
     long = encoded.select(key, *keep, F.explode_outer(ids).alias("idx"))
     rows = matrix.select("idx", array_to_vector("vector").alias("vector"))
     joined = ranked_join(long, rows, "idx", matrix_rows, 8 * dim + 96, how="inner")
@@ -85,6 +92,45 @@ def pool(
     return pooled.select(key, *keep, (F.concat(*parts) if len(parts) > 1 else parts[0]).alias("features"))
 
 
+def pool_lists(lists: DataFrame, matrix: DataFrame, how: str, keep: tuple[str, ...], dim: int) -> DataFrame:
+    """(*keep, features) of rows with a list `_ids`; the matrix travels to the tasks once.  An id counts as
+    often as the matrix has it, and a row without any known id is left out, as in a join."""
+    rows = matrix.select("idx", F.col("vector").cast("array<double>").alias("vector")).where("idx is not null").toArrow()
+    idx = rows.column("idx").to_numpy()
+    flat = rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(idx), dim)
+    size = int(idx.max()) + 1 if len(idx) else 1
+    times = np.bincount(idx, minlength=size)
+    sums, tops = np.zeros((size, dim)), np.full((size, dim), -np.inf)
+    np.add.at(sums, idx, flat)
+    np.maximum.at(tops, idx, flat)
+    once = bool((times <= 1).all())  # then the two tables differ in unknown ids only, which are left out
+    table = matrix.sparkSession.sparkContext.broadcast((times, sums, sums if once else tops))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times, sums, tops = table.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, POOLED_AT_ONCE):
+                part = batch.slice(at, POOLED_AT_ONCE)
+                ids = part.column("_ids").flatten().to_numpy()
+                row = np.repeat(np.arange(part.num_rows), part.column("_ids").value_lengths().to_numpy())
+                known = (ids >= 0) & (ids < len(times))
+                known[known] = times[ids[known]] > 0
+                ids, row = ids[known], row[known]
+                there, first = np.unique(row, return_index=True)
+                parts = []
+                if len(there) and how != "max":
+                    parts.append(np.add.reduceat(sums[ids], first) / np.add.reduceat(times[ids], first)[:, None])
+                if len(there) and how != "mean":
+                    parts.append(np.maximum.reduceat(tops[ids], first))
+                values = np.concatenate(parts, axis=1) if parts else np.zeros((0, dim))
+                offsets = pa.array(np.arange(len(there) + 1, dtype=np.int32) * values.shape[1])
+                features = pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(there)) for c in keep), features], [*keep, "features"])
+
+    kept = "".join(f"`{c}` {lists.schema[c].dataType.simpleString()}, " for c in keep)
+    return lists.select(*keep, "_ids").mapInArrow(run, kept + "features array<double>")
+
+
 def normalise(df: DataFrame, column: str, kind: str) -> DataFrame:
     """Replaces a vector column by its 'rms' or 'layer' normalised form."""
     if kind not in ("rms", "layer"):
