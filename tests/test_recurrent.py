@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from wordloom.operators import recurrent
 from wordloom.operators.recurrent import RecurrentSpec, rnn_score
 from wordloom.plans.views import drawn_weights, layout_of
 from wordloom.session import written
@@ -142,3 +143,18 @@ def test_matrix_larger_than_its_bound(spark):
 def test_bad_options(options):
     with pytest.raises(ValueError):
         RecurrentSpec(**options)
+
+
+def test_shared_vectors_meet_the_input_weights_once():
+    """Positions that share a vector give the scores of positions with vectors of their own."""
+    spec = recurrent.RecurrentSpec("lstm", 6, 1, True, "meanmax", use_layer_norm=True, dtype="float64")
+    rng = np.random.default_rng(3)
+    weights = {n: rng.standard_normal((r, w) if r > 1 else w) for n, r, w in layout_of(spec, 5)}
+    table = rng.standard_normal((4, 5))
+    lengths = np.array([6, 4, 1])
+    ids = np.where(np.arange(6) < lengths[:, None], rng.integers(1, 4, (3, 6)), 0)
+    shared = recurrent._logits(spec, weights, ids, table, ids, lengths)
+    own = recurrent._logits(spec, weights, ids, table[ids].reshape(18, 5), np.arange(18).reshape(3, 6), lengths)
+    assert np.allclose(shared, own, atol=1e-13)
+    x = np.array([-800.0, -3.0, -1e-9, 0.0, 2.5, 800.0])
+    assert np.allclose(recurrent._tanh(x.copy()), np.tanh(x), atol=1e-15)

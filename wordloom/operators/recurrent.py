@@ -46,8 +46,26 @@ class RecurrentSpec:
             raise ValueError("choose one norm, RMS or layer, not both")
 
 
+def _sigmoid_of_negative(x: np.ndarray) -> np.ndarray:
+    """The sigmoid of -x, in place.  The exponential takes a third of the time of np.tanh."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1.0 + np.tanh(0.5 * x))
+    """In place."""
+    return _sigmoid_of_negative(np.negative(x, out=x))
+
+
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x *= -2
+    _sigmoid_of_negative(x)
+    x *= 2
+    x -= 1
+    return x
 
 
 def _norm(spec: RecurrentSpec, weights: dict, name: str, x: np.ndarray) -> np.ndarray:
@@ -61,13 +79,19 @@ def _norm(spec: RecurrentSpec, weights: dict, name: str, x: np.ndarray) -> np.nd
     return x
 
 
-def _sweep(spec: RecurrentSpec, weights: dict, suffix: str, x: np.ndarray, lengths: np.ndarray):
-    """One direction of one layer.  Rows come longest first, so the rows that have a token
-    at step t are a prefix; a backward sweep thus enters each row at its own last token."""
-    rows, steps, _ = x.shape
+def _sweep(spec: RecurrentSpec, weights: dict, suffix: str, x: np.ndarray, place: np.ndarray, lengths: np.ndarray):
+    """One direction of one layer over the inputs x[place].  Rows come longest first, so the rows that
+    have a token at step t are a prefix; a backward sweep thus enters each row at its own last token."""
+    rows, steps = place.shape
     size = spec.hidden_size
-    gates = x @ weights[f"rnn.weight_ih_{suffix}"].T + weights[f"rnn.bias_ih_{suffix}"]
+    lstm = spec.model_type == "lstm"
+    w_ih, b_ih = weights[f"rnn.weight_ih_{suffix}"].T, weights[f"rnn.bias_ih_{suffix}"]
     w_hh, b_hh = weights[f"rnn.weight_hh_{suffix}"].T, weights[f"rnn.bias_hh_{suffix}"]
+    if lstm:  # tanh(g) = 2 sigmoid(2 g) - 1: all gates by one call; doubling and signs are exact
+        sign = np.repeat(np.array([-1, -1, -2, -1], dtype=x.dtype), size)
+        w_ih, b_ih, w_hh = w_ih * sign, (b_ih + b_hh) * sign, w_hh * sign
+    gates = x @ w_ih
+    gates += b_ih
     h = np.zeros((rows, size), dtype=x.dtype)
     c = np.zeros_like(h)
     out = np.zeros((rows, steps, size), dtype=x.dtype)
@@ -76,35 +100,52 @@ def _sweep(spec: RecurrentSpec, weights: dict, suffix: str, x: np.ndarray, lengt
         live = int(np.searchsorted(-lengths, -t, side="left"))  # rows with length > t
         if live == 0:
             continue
-        here, recur = gates[:live, t], h[:live] @ w_hh + b_hh
-        if spec.model_type == "lstm":
-            i, f, g, o = np.split(here + recur, 4, axis=1)
-            c[:live] = _sigmoid(f) * c[:live] + _sigmoid(i) * np.tanh(g)
-            h[:live] = _sigmoid(o) * np.tanh(c[:live])
+        here, recur = gates[place[:live, t]], h[:live] @ w_hh
+        if lstm:
+            here += recur
+            _sigmoid_of_negative(here)
+            i, f, g, o = (here[:, k * size : (k + 1) * size] for k in range(4))
+            g *= 2
+            g -= 1
+            g *= i
+            c[:live] *= f
+            c[:live] += g
+            h[:live] = _tanh(c[:live].copy())
+            h[:live] *= o
         else:
+            recur += b_hh
             (xr, xz, xn), (hr, hz, hn) = np.split(here, 3, axis=1), np.split(recur, 3, axis=1)
             z = _sigmoid(xz + hz)
-            h[:live] = (1.0 - z) * np.tanh(xn + _sigmoid(xr + hr) * hn) + z * h[:live]
+            h[:live] = (1.0 - z) * _tanh(xn + _sigmoid(xr + hr) * hn) + z * h[:live]
         out[:live, t] = h[:live]
     return out, h
 
 
-def _logits(spec: RecurrentSpec, weights: dict, ids: np.ndarray, vectors: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Class scores of rows sorted by falling length."""
+def _logits(spec: RecurrentSpec, weights: dict, ids: np.ndarray, x: np.ndarray, place: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Class scores of rows sorted by falling length, with the vectors x[place]; a vector that many
+    positions share is normalised and meets the input weights once."""
     steps = int(lengths[0])
-    x = _norm(spec, weights, "embedding_norm", vectors[:, :steps].astype(spec.dtype))
-    mask = (ids[:, :steps] != spec.pad_idx)[:, :, None]
+    place = place[:, :steps]
+    x = _norm(spec, weights, "embedding_norm", x.astype(spec.dtype))
+    mask = ids[:, :steps] != spec.pad_idx
     ways = ["", "_reverse"] if spec.bidirectional else [""]
     for layer in range(spec.num_layers):
-        swept = [_sweep(spec, weights, f"l{layer}{way}", x, lengths) for way in ways]
-        x = np.concatenate([out for out, _ in swept], axis=2)
+        swept = [_sweep(spec, weights, f"l{layer}{way}", x, place, lengths) for way in ways]
+        if layer + 1 < spec.num_layers:
+            x = np.concatenate([out for out, _ in swept], axis=2).reshape(place.size, -1)
+            place = np.arange(place.size).reshape(place.shape)
     if spec.pooling == "last":
         features = np.concatenate([final for _, final in swept], axis=1)
     else:
-        real = np.maximum(mask.sum(axis=1), 1)
-        mean = np.where(mask, x, 0.0).sum(axis=1) / real
-        peak = np.where(mask, x, -np.inf).max(axis=1)
-        features = np.concatenate([mean, np.where(np.isfinite(peak), peak, 0.0)], axis=1)
+        real, pad = np.maximum(mask.sum(axis=1), 1)[:, None], ~mask
+        parts: tuple[list, list] = ([], [])
+        for out, _ in swept:
+            out[pad] = 0.0
+            parts[0].append(out.sum(axis=1) / real)
+            out[pad] = -np.inf
+            peak = out.max(axis=1)
+            parts[1].append(np.where(np.isfinite(peak), peak, 0.0))
+        features = np.concatenate([*parts[0], *parts[1]], axis=1)
     features = _norm(spec, weights, "feature_norm", features)
     return features @ weights["classifier.weight"].T + weights["classifier.bias"]
 
@@ -154,10 +195,12 @@ def rnn_score(
                 ids = np.stack(part["input_ids"].to_numpy())
                 lengths = np.maximum(part["length"].to_numpy(), 1)
                 if table is not None:
-                    vectors = table.value[ids[:, : lengths[0]]]
+                    words, place = np.unique(ids[:, : lengths[0]], return_inverse=True)
+                    vectors, place = table.value[words], place.reshape(len(ids), -1)
                 else:
-                    vectors = np.stack([np.stack(list(v)) for v in part["vectors"]])
-                logits = _logits(spec, params.value, ids, vectors, lengths)
+                    vectors = np.concatenate([np.stack(list(v)) for v in part["vectors"]])
+                    place = np.arange(len(vectors)).reshape(len(ids), -1)
+                logits = _logits(spec, params.value, ids, vectors, place, lengths)
                 yield pd.DataFrame({key: part[key].to_numpy(), "logits": list(logits.astype("float64"))})
 
     key_type = encoded.schema[key].dataType.simpleString()
