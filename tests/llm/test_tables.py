@@ -357,3 +357,15 @@ def test_shares_of_large_mixes():
     assert (parts[-1][0] + parts[-1][1] == totals).all()
     middle = parts[4][0] / (70_000 * 50)
     assert abs(middle[0] - 5_000_000 / 7_100_003) < 0.001
+
+
+def test_quality_rest_takes_one_pattern(spark):
+    """White space goes without a pattern, so that a run of a-z is many words long."""
+    texts = ["", " ", "ab cd\tEf\n\x0b\x0c\rg-1  \x1fé x", "\x08\x0e a"]
+    out = quality.with_rest(spark.createDataFrame([(t,) for t in texts], "_t string"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    for r in out.collect():
+        white = [c for c in r["_t"] if c in " \t\n\x0b\x0c\r"]
+        lower = [c for c in r["_t"] if "a" <= c <= "z"]
+        rest = "".join(c for c in r["_t"] if c not in white and c not in lower)
+        assert (r["_rest"], r["_lower"], r["_white"]) == (rest, len(lower), len(white))

@@ -19,7 +19,7 @@ from wordloom.functions.vectors import bind
 from wordloom.session import bounded_join, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-SPACE = r"[\x20\x09-\x0D]+"
+WHITE = " \n\t\x0b\x0c\r"  # all that is no word's
 SYMBOLS = r"[^#*$%&|<>]+"
 # Character classes among what is neither a-z nor white space: all but their members.
 CLASSES = {
@@ -45,12 +45,16 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 
 def with_rest(rows: DataFrame) -> DataFrame:
     """Rows with `_t` and with `_rest`, the characters of `_t` that are neither a-z nor white
-    space, and `_lower` and `_white`, the numbers of those.  Most of a text is gone after two
-    replacements; all else is counted on the rest."""
-    rows = rows.withColumn("_open", F.regexp_replace("_t", "[a-z]+", ""))
-    rows = rows.withColumn("_rest", F.regexp_replace("_open", SPACE, ""))
-    lower, white = F.length("_t") - F.length("_open"), F.length("_open") - F.length("_rest")
-    return rows.withColumns({"_lower": lower, "_white": white}).drop("_open")
+    space, and `_lower` and `_white`, the numbers of those.  White space goes first, character by
+    character without a pattern; then a run of a-z is many words long.  All else is counted on the
+    rest."""
+    dense = F.col("_t")
+    for white in WHITE:
+        dense = F.replace(dense, F.lit(white), F.lit(""))
+    rows = rows.withColumn("_dense", dense)
+    rows = rows.withColumn("_rest", F.regexp_replace("_dense", "[a-z]+", ""))
+    lower, white = F.length("_dense") - F.length("_rest"), F.length("_t") - F.length("_dense")
+    return rows.withColumns({"_lower": lower, "_white": white}).drop("_dense")
 
 
 def class_counts() -> list[Column]:
@@ -91,7 +95,7 @@ def repeated_words(words: Column) -> Column:
 
 def measured(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """`docs` with the base counts, `_lang`, `_words` and the columns of `with_rest`."""
-    out = docs.drop(*BASE, "_t", "_lang", "_words", "_rest", "_lower", "_white")
+    out = docs.drop(*BASE, "_t", "_lang", "_words", "_dense", "_rest", "_lower", "_white")
     out = with_rest(out.withColumn("_t", F.coalesce(F.col(text), F.lit(""))))
     out = out.withColumn("_lang", F.coalesce(F.col(lang).cast("string"), F.lit("")))
     out = out.withColumn("_words", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)))
