@@ -351,6 +351,18 @@ def test_lines_finds_all_similar_pairs(spark):
     assert {r["doc_id"] for r in lines.dedup(df).where("text <> ''").collect()} == want
 
 
+def test_lines_verifies_few_pairs(spark, monkeypatch):
+    """Lines of the same common words elsewhere are no candidates; changed copies are found."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(20, 60))) for _ in range(300)]
+    copies = [f"{t} z{i}" for i, t in enumerate(texts[:40])]
+    verified, pairs = lines.verified, []
+    monkeypatch.setattr(lines, "verified", lambda p, seqs: (pairs.append(p.count()), verified(p, seqs))[1])
+    df = spark.createDataFrame(list(enumerate(texts + copies)), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in lines.dedup(df).where("text <> ''").collect()} == set(range(300))
+    assert sum(pairs) < 15_000  # of 57,630
+
+
 def test_short_lines(spark):
     """Very short lines are linked with equal ones only; lines without a word stay."""
     rows = [(i, f"Click here now\nbody of text number{i} alone\n\n***\nsubscribe, today!\nread {i}") for i in range(6)]
