@@ -152,6 +152,14 @@ def test_jaccard(spark, width, percent):
     assert jaccard.joined(df.limit(0)).count() == 0
 
 
+def test_jaccard_pairs_by_their_first_key(spark):
+    """A common key so late that too little follows it makes no pair: a set that links shares an earlier one."""
+    bits = ", ".join(f"0L {c}" for c in jaccard.BITS + jaccard.OTHER_BITS)
+    rows = spark.sql(f"SELECT id, 100 n, 100 m, p pos, q qos, {bits} FROM VALUES (1, 8, 8), (2, 9, 0), (3, 0, 9), (4, 12, 12), (5, -1, 3) AS t(id, p, q)")
+    assert [r["id"] for r in rows.where(jaccard.possible(85, 10)).orderBy("id").collect()] == [1, 5]
+
+
+
 def test_subsets_of_small_sets_meet():
     """Any two small sets that link share a listed subset, by the sizes alone."""
     for percent in (70, 80, 85):

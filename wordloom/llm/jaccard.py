@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from wordloom.llm import batches as B
 from wordloom.llm.fields import bit_field, field_bits, member
 from wordloom.llm.graph import components, rooted
-from wordloom.session import bounded_join, forget, fresh, written
+from wordloom.session import bounded_join, fits_broadcast, forget, fresh, written
 
 WIDTH = 4
 PERCENT = 85
@@ -240,7 +240,7 @@ def postings(
     return docs.select(text).mapInArrow(run, "token bigint, f bigint, n int, pos int, " + ", ".join(f"{c} bigint" for c in BITS))
 
 
-def light_boundary(docs: DataFrame, text: str, width: int, percent: int, order: Order) -> int:
+def light_boundary(docs: DataFrame, rows: DataFrame, key: str, text: str, width: int, percent: int, order: Order) -> int:
     """Largest set size up to which subsets cost no more than scanning inverted lists.
 
     A set of size n costs as many keys as it has subsets, against its prefix shingles and the
@@ -248,6 +248,11 @@ def light_boundary(docs: DataFrame, text: str, width: int, percent: int, order:
     top = 1
     while sum(math.comb(top + 1, c) for c in subset_sizes(top + 1, percent, top + 1)) <= MOST_SUBSETS:
         top += 1
+    # texts of larger sets are left out before they are taken apart, if the ids of the others may travel
+    ids = rows.where(F.col("n").between(1, top)).select(F.col("doc_id").alias("_small")).distinct()
+    if fits_broadcast(ids, None, 64):
+        docs = docs.select(F.col(key).cast("bigint").alias("_key"), text)
+        docs = docs.join(F.broadcast(ids), F.col("_key").eqNullSafe(F.col("_small")), "left_semi")
     small = postings(docs, text, width, percent, order, top, only_small=True)
     lists = small.groupBy("token").agg(F.count("*").alias("k"), F.sum("n").alias("ns"))
     # by the mean size of a list's members: lists, entries, and entries met when scanning
@@ -264,14 +269,15 @@ def light_boundary(docs: DataFrame, text: str, width: int, percent: int, order:
 
 
 def possible(percent: int, boundary: int) -> Column:
-    """Filter on (n, pos, x.., m, qos, y..): may sets of these sizes with a common key at these places
-    link?  All earlier places could be common as well.
+    """Filter on (n, pos, x.., m, qos, y..): may sets of these sizes link, if the common key at these
+    places is the first that they share?  Nothing before it is common then.  Sets that link have such
+    a key among their lists, so a pair needs no other.
 
     A bit that only one of two prefixes sets is a shingle of that prefix alone; what is left of
     the shorter count and what follows the prefixes must do.  That holds for sets with prefixes."""
     n, m, pos, qos = F.col("n"), F.col("m"), F.col("pos"), F.col("qos")
     sizes = (100 * F.least(n, m) >= percent * F.greatest(n, m))
-    most = F.least(pos, qos) + 1 + F.least(n - pos - 1, m - qos - 1)
+    most = F.least(n - pos, m - qos)
     placed = (pos < 0) | (qos < 0) | ((100 + percent) * most >= percent * (n + m))
 
     def partner(n: Column) -> Column:
@@ -346,7 +352,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     pairs of a component."""
     rows = written(set_rows(docs, key, text, width))
     order = Order.of(docs, text, width)
-    boundary = light_boundary(docs, text, width, percent, order)
+    boundary = light_boundary(docs, rows, key, text, width, percent, order)
     listed = postings(docs, text, width, percent, order, boundary).select("token", "f")
     # only lists of two classes or more matter; hot lists are minima per task, then one row
     hubs = listed.groupBy("token").agg(F.min("f").alias("hub"), F.max("f").alias("top"), (F.count("*") > 2).alias("many"))
