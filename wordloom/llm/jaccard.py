@@ -106,8 +106,8 @@ def bucket_counts(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, n
 
     summed = docs.select(text).mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(2 * ORDER_BUCKETS, np.int64)
-    got = summed.toPandas()  # at most 2 ORDER_BUCKETS rows
-    out[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    got = summed.toArrow()  # at most 2 ORDER_BUCKETS rows
+    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
     return out[:ORDER_BUCKETS], out[ORDER_BUCKETS:]
 
 
