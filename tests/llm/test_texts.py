@@ -389,3 +389,28 @@ def test_simhash_counters(spark, n):
     row = df.select(lines.simhash(F.col("w")).alias("s"), F.transform("w", lambda w: F.xxhash64(w)).alias("h")).first()
     want = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in row["h"]) > n)
     assert row["s"] & (2**64 - 1) == want
+
+
+def test_lines_slice_by_slice(spark, monkeypatch):
+    """The same lines go if keys are taken in slices; but for the lines to remove no table stays on disk."""
+    rng = random.Random(17)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(60)]) for _ in range(rng.randrange(5, 30))) for _ in range(120)]
+    texts += [f"{t} more" for t in texts[:50]] + texts[:10]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = sorted(map(tuple, lines.dedup(df).collect()))
+    assert sum(not t for _, t in want) >= 10
+    slices, kept = [], set()
+    shared_keys, written, forget = lines.shared_keys, lines.written, lines.forget
+
+    def write(table, *folders):
+        out = written(table, *folders)
+        kept.add(out._wordloom_path)
+        return out
+
+    monkeypatch.setattr(lines, "SLICE_ROWS", 100)
+    monkeypatch.setattr(lines, "shared_keys", lambda keys: (slices.append(1), shared_keys(keys))[1])
+    monkeypatch.setattr(lines, "written", write)
+    monkeypatch.setattr(lines, "forget", lambda *tables: (kept.difference_update(t._wordloom_path for t in tables), forget(*tables))[1])
+    gone = lines.gone_lines(df, "doc_id", "text")
+    assert len(slices) > 4 and gone._wordloom_path in kept and len(kept) < 10  # small tables of links and groups
+    assert sorted(map(tuple, lines.dedup(df).collect())) == want
