@@ -1,9 +1,10 @@
+import gc
 import time
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
-from wordloom.session import written
+from wordloom.session import garbage_collected, written
 
 SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -29,3 +30,17 @@ def test_written_leaves_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not own
     assert [t.agg(F.count("*"), F.sum("count")).first()[:] for t in tables] == [(100, 5_000)] * 3
+
+
+def test_shuffle_files_of_past_jobs_go_meanwhile(spark):
+    before = shuffle_files(spark)
+    with garbage_collected(spark, 0.2):
+        for _ in range(3):
+            spark.range(1_000).groupBy(F.col("id") % 10).count().collect()
+        for _ in range(100):
+            gc.collect()
+            own = shuffle_files(spark) - before
+            if not own:
+                break
+            time.sleep(0.1)
+        assert not own
